@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import jaccard, packing, quality
+from quillspark.llm import jaccard, packing, pieces, quality
 from quillspark.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_quality_classifier"] = op7_quality_classifier
+
+
+def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES["op10_sentencepiece_codec"] = op10_sentencepiece_codec

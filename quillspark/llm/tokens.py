@@ -12,7 +12,7 @@ import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -27,6 +27,52 @@ _BYTES = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in ra
 CACHE_WORDS = 1_000_000
 
 
+class IdCache:
+    """The ids of distinct words in one array; words beyond ``limit`` start it anew."""
+
+    def __init__(self, limit: int = CACHE_WORDS):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = {}
+        self.starts = np.zeros(1, np.int64)  # ids of word k: flat[starts[k]:starts[k+1]]
+        self.flat = np.empty(0, np.uint32)
+
+    def numbers(self, keys: list, encode: Callable[[list[int]], list[list[int]]]) -> np.ndarray:
+        """The numbers of ``keys``; ``encode`` gives the ids of keys[i] for each i of a list."""
+        at = list(map(self.number.get, keys))
+        if None in at:
+            new = list({k: i for i, k in enumerate(keys) if at[i] is None}.values())
+            if len(self.number) + len(new) > self.limit and self.number:
+                self.clear()
+                new = list({k: i for i, k in enumerate(keys)}.values())
+            self._learn([keys[i] for i in new], encode(new))
+            at = list(map(self.number.get, keys))
+        return np.array(at, np.int64)
+
+    def _learn(self, keys: list, encoded: list[list[int]]) -> None:
+        base = len(self.number)
+        self.number.update(zip(keys, range(base, base + len(keys))))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        added = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        ends = self.starts[base] + np.cumsum(sizes)
+        need = int(ends[-1])
+        if need > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(max(need, 2 * len(self.flat)) - len(self.flat), np.uint32)))
+        self.flat[need - len(added) : need] = added
+        if base + len(ends) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.empty(max(len(ends) + 1, len(self.starts)), np.int64)))
+        self.starts[base + 1 : base + 1 + len(ends)] = ends
+
+    def gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words numbered k, where those of each begin and the last end)."""
+        start = self.starts[k]
+        size = self.starts[k + 1] - start
+        before = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[np.arange(before[-1], dtype=np.int64) + np.repeat(start - before[:-1], size)], before
+
+
 class WordTokenizer:
     """Encodes distinct words once, and of those distinct pieces once.
 
@@ -51,14 +97,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.cache_words = cache_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[int, int] = {}  # by the word's hash
+        self.cache = IdCache(cache_words)
         self.known: dict[str, list[int]] = {}
-        self.starts = np.zeros(1, np.int64)  # ids of word k: flat[starts[k]:starts[k+1]]
-        self.flat = np.empty(0, np.uint32)
+
 
     def _ids(self, word: str) -> list[int]:
         if not self.plain or not (word.isascii() and word.isprintable() or _PLAIN(word)):
@@ -74,41 +115,17 @@ class WordTokenizer:
             out += ids
         return out
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
-        encoded = list(map(self._ids, new))
-        base = len(self.number)
-        self.number.update(zip(keys, range(base, base + len(new))))
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        added = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
-        self._grow(added, self.starts[base] + np.cumsum(sizes), base)
-
-    def _grow(self, added: np.ndarray, ends: np.ndarray, base: int) -> None:
-        need = int(ends[-1])
-        if need > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(need, 2 * len(self.flat)) - len(self.flat), np.uint32)))
-        self.flat[need - len(added) : need] = added
-        if base + len(ends) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.empty(max(len(ends) + 1, len(self.starts)), np.int64)))
-        self.starts[base + 1 : base + 1 + len(ends)] = ends
-
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; null as empty."""
         for first, after, raw, starts in words.blocks(texts):
             begin, end, key = words.words(raw)
             keys, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-            at = list(map(self.number.get, keys.tolist()))
-            if None in at:
-                new = [i for i, k in enumerate(at) if k is None]
-                if len(self.number) + len(new) > self.cache_words and self.number:
-                    self._clear()
-                    new = range(len(at))
-                self._learn(keys[new].tolist(), [raw[begin[i] : end[i]].decode("utf-8", "surrogatepass") for i in where[new]])
-                at = list(map(self.number.get, keys.tolist()))
-            k = np.array(at, np.int64)[inverse]
-            start = self.starts[k]
-            size = self.starts[k + 1] - start
-            before = np.concatenate(([0], np.cumsum(size)))
-            ids = self.flat[np.arange(before[-1], dtype=np.int64) + np.repeat(start - before[:-1], size)]
+            if len(self.known) > self.cache.limit:
+                self.known.clear()
+            k = self.cache.numbers(
+                keys.tolist(), lambda new: [self._ids(raw[begin[i] : end[i]].decode("utf-8", "surrogatepass")) for i in where[new]]
+            )
+            ids, before = self.cache.gather(k[inverse])
             cut = before[np.searchsorted(begin, starts)]
             for i in range(after - first):
                 yield ids[cut[i] : cut[i + 1]]

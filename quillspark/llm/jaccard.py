@@ -15,7 +15,7 @@ its size, not its square, unless its members really are unlike each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -320,6 +320,33 @@ def _cross_pairs(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
     return cells.groupBy("run", "lo", "hi").applyInPandas(_cross, "a long, b long")
 
 
+def resolve(runs: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the items ``doc_id`` of ``runs``, by the links among items that share a run.
+
+    sketches: doc_id, n_shingles, sketch of each item. verify: keeps of pairs (a, b)
+    those that link. links: some that are known. Every pair that shares a run is
+    verified, or ruled out by its sketches, or in one component by other links.
+    """
+    # each item against the smallest that shares a run with it
+    least = runs.groupBy("run").agg(F.min("doc_id").alias("a"))
+    first = runs.join(least, "run").where("doc_id > a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    found = verify(sketch_filter(first, sketches))
+    links = found if links is None else links.unionByName(found)
+    components = materialize(connected_components(links, "a", "b"), "components")
+    # in each run, against some item of the component that has most of it
+    labelled = materialize(_label(runs, components), "labelled")
+    some = labelled.groupBy("run", "component").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "run")).alias("a"))
+    some = some.groupBy("run").agg(F.max(F.struct("n", "a", F.col("component").alias("most"))).alias("x"), F.count("*").alias("parts"))
+    some = some.where("parts > 1").select("run", "x.a", "x.most")
+    second = labelled.join(some, "run").where("component != most").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    links = links.unionByName(verify(sketch_filter(second, sketches)))
+    components = materialize(connected_components(links, "a", "b"), "components")
+    # what is left, whole
+    labelled = materialize(_label(runs, components), "labelled")
+    links = links.unionByName(verify(_cross_pairs(labelled, sketches)))
+    return connected_components(links, "a", "b")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, any others).
 
@@ -342,23 +369,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     runs = runs.join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").select("run", F.coalesce("rep", "doc_id").alias("doc_id")).distinct()
     runs = materialize(runs, "runs")
     sketches = materialize(keyed.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "sketches")
-    # each document against the smallest that shares a run with it
-    least = runs.groupBy("run").agg(F.min("doc_id").alias("a"))
-    first = runs.join(least, "run").where("doc_id > a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a"))
-    links = verify(named, sketch_filter(first, sketches)).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    components = materialize(connected_components(links, "a", "b"), "components")
-    # in each run, against some document of the component that has most of it
-    labelled = materialize(_label(runs, components), "labelled")
-    some = labelled.groupBy("run", "component").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "run")).alias("a"))
-    some = some.groupBy("run").agg(F.max(F.struct("n", "a", F.col("component").alias("most"))).alias("x"), F.count("*").alias("parts"))
-    some = some.where("parts > 1").select("run", "x.a", "x.most")
-    second = labelled.join(some, "run").where("component != most").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-    links = links.unionByName(verify(named, sketch_filter(second, sketches)))
-    components = materialize(connected_components(links, "a", "b"), "components")
-    # what is left, whole
-    labelled = materialize(_label(runs, components), "labelled")
-    links = links.unionByName(verify(named, _cross_pairs(labelled, sketches)))
-    components = connected_components(links, "a", "b")
+    links = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    components = resolve(runs, sketches, lambda pairs: verify(named, pairs), links)
     out = sets.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import jaccard, maxscore, packing, passages, pieces, quality
+from quillspark.llm import forest, jaccard, maxscore, packing, passages, pieces, quality, warc
 from quillspark.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,17 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op9_embedding_near_dedup"] = op9_embedding_near_dedup
+
+
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_warc_salvage"] = op3_warc_salvage

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import forest, jaccard, maxscore, packing, passages, pieces, quality, warc
+from quillspark.llm import forest, jaccard, licenses, maxscore, packing, passages, pieces, quality, urllists, warc
 from quillspark.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,60 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_warc_salvage"] = op3_warc_salvage
+
+
+#: The lists' history, as their publishers dated it.
+URL_EVENTS = (
+    ("spam", "block", "domain", "spam-farm.example.org", "add", "2024-01-10"),
+    ("spam", "block", "domain", "spam-farm.example.org", "remove", "2024-05-01"),
+    ("spam", "block", "domain", "spam-farm.example.org", "add", "2024-08-15"),
+    ("spam", "block", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
+    ("gambling", "block", "domain", "casino-win.example.org", "add", "2024-03-01"),
+    ("gambling", "block", "domain", "casino-win.example.org", "remove", "2024-11-30"),
+    ("mobile", "block", "domain", "m.ththth.example.net", "add", "2024-06-01"),
+    ("network", "block", "domain", "example.net", "add", "2024-09-01"),
+    ("network", "block", "domain", "example.net", "remove", "2024-10-01"),
+    ("trusted", "allow", "domain", "therin.example.net", "add", "2024-09-10"),
+    ("pages", "block", "page", "https://therin.example.net/en/770", "add", "2024-01-01"),
+    ("pages", "block", "page", "ththin.example.com/en/671", "add", "2024-01-01"),
+)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture's day follows from its page_id, as the table has none."""
+    events = spark.createDataFrame(URL_EVENTS, "list_name string, policy string, kind string, entry string, action string, listed_on string")
+    events = events.withColumn("listed_on", F.to_date("listed_on"))
+    captures = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched_on"))
+    return urllists.match_lists(captures, events).withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
+QUERIES["op2_url_filters"] = op2_url_filters
+ORACLE_SQL["op2_url_filters"] = f"""
+WITH events(list_name, policy, kind, entry, action, listed_on) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', DATE '{f}')" for a, b, c, d, e, f in URL_EVENTS)}),
+spans AS (SELECT *, lead(listed_on) OVER (PARTITION BY list_name, policy, kind, entry ORDER BY listed_on, action) AS until FROM events),
+captures AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
+    nullif(rtrim(regexp_extract(lower(url), '{urllists.HOST}', 1), '.'), '') AS host, rtrim(regexp_extract(lower(url), '{urllists.PATH}', 1), '/') AS path
+  FROM pages
+), hits AS (
+  SELECT c.page_id, s.list_name, s.policy FROM captures c JOIN spans s
+  ON s.action = 'add' AND s.listed_on <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
+    AND (s.kind = 'domain' AND (c.host = s.entry OR ends_with(c.host, '.' || s.entry)) OR s.kind = 'page' AND c.host || c.path = rtrim(s.entry, '/'))
+)
+SELECT c.page_id, any_value(c.host) AS host, CAST(any_value(c.fetched_on) AS VARCHAR) AS fetched_on, count(h.list_name) AS n_entries,
+  coalesce(string_agg(DISTINCT h.list_name, ',' ORDER BY h.list_name), '') AS lists,
+  coalesce(bool_or(h.policy = 'block'), false) AND NOT coalesce(bool_or(h.policy = 'allow'), false) AS blocked
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id GROUP BY c.page_id
+"""
+
+#: Documents as files of a tree: their repository is the source; one in 25 is a licence file, of its folder or the one above.
+_FILE_DIR = "concat_ws('/', source, lang, concat('p', cast(doc_id % 97 AS string)))"
+_FILE_PATH = f"CASE WHEN doc_id % 50 = 0 THEN concat_ws('/', source, lang, 'LICENSE') WHEN doc_id % 25 = 0 THEN concat({_FILE_DIR}, '/LICENSE.txt') ELSE concat({_FILE_DIR}, '/', cast(doc_id AS string), '.txt') END"
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents").select("doc_id", F.expr(_FILE_PATH).alias("path"), "text"))
+
+
+QUERIES["op5_license_scans"] = op5_license_scans
+ORACLE_SQL["op5_license_scans"] = licenses.oracle(f"SELECT doc_id, {_FILE_PATH} AS path, text FROM documents")

@@ -48,6 +48,18 @@ def _unit(vectors: list, dims: int) -> np.ndarray:
     x = np.zeros((len(vectors), dims))
     for k, v in enumerate(vectors):
         x[k, : len(v)] = v
+    return _scaled(x)
+
+
+def _flat_unit(vectors: pa.Array, dims: int) -> np.ndarray:
+    """The same of an Arrow array of lists, without Python objects."""
+    size = np.asarray(vectors.value_lengths(), np.int64)
+    x = np.zeros((len(vectors), dims))
+    x[np.arange(dims) < size[:, None]] = np.asarray(vectors.flatten())
+    return _scaled(x)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
     # scaled first, so that no square overflows or vanishes
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -70,7 +82,7 @@ def _route(cuts, dims: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(3).to_pylist(), dims)
+            x = _flat_unit(batch.column(3), dims)
             tree, node = (np.asarray(batch.column(k)) for k in (0, 1))
             todo = [(int(t), int(n), np.flatnonzero((tree == t) & (node == n))) for t, n in sorted(set(zip(tree.tolist(), node.tolist())))]
             rows, nodes = [], []
@@ -135,12 +147,18 @@ def forest_links(vectors: DataFrame, dims: int, least: float, trees: int = TREES
         if largest <= group:
             break
         levels = int(np.ceil(np.log2(largest / group))) + 1
-        share = min(1.0, SAMPLE / max(rows, 1))
-        # the same rows in any run; their number is about SAMPLE times the trees they are in
-        sample = placed.where(F.pmod(F.xxhash64("id", F.lit(round_no)), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()
+        # about SAMPLE rows, the same in any run; at first every tree is fitted on all of them
+        chosen = F.pmod(F.xxhash64("id", F.lit(round_no)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / rows) * (1 << 30))
+        source = placed if round_no else vectors.select(F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"), "id", "v")
+        sample = source.where(chosen).toArrow()
+        tree, node = (np.asarray(sample.column(k)) for k in (0, 1))
+        order = np.argsort(np.asarray(sample.column(2)), kind="stable")
+        x = _flat_unit(sample.column(3).combine_chunks(), dims)
         cuts: dict[tuple[int, int], tuple[float, float]] = {}
-        for (t, n), part in sample.groupby(["tree", "node"]):
-            _fit(_unit(part.sort_values("id")["v"].tolist(), dims), int(t), int(n), levels, cuts)
+        for t, n in sorted(set(zip(tree.tolist(), node.tolist()))):
+            part = x[order[((tree == t) & (node == n))[order]]]
+            for k in range(trees) if not round_no else [t]:
+                _fit(part, k, n, levels, cuts)
         if not cuts:
             break
         placed = materialize(placed.mapInArrow(_route(spark.sparkContext.broadcast(cuts), dims), "tree int, node long, id long, v array<float>"), "routed")

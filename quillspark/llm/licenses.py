@@ -4,7 +4,7 @@ All of it is DataFrame and SQL functions. A file's own licence is that of the te
 that one of its lines is most like, if the cosine reaches the threshold. Files without
 one inherit from the nearest directory above that has a licence file.
 
-Only lines with a cue are weighed. Cues are chosen per template, heaviest tokens first,
+Only lines with a cue are weighed. Cues are chosen per template, long and uncommon tokens first,
 until what is left of the template's norm is below the threshold: a line without any
 cue can't reach it, so nothing is lost.
 """
@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.session import materialize
 
-THRESHOLD = 0.6
+THRESHOLD = 0.75
+#: Words that any prose holds, the last choice of a cue; which cues are chosen changes the cost, not the result.
+COMMON = frozenset("a and any be by can file for found free in is it may not of or that the this to under use with work you".split())
 #: Directories with a licence up to which they are broadcast (under 200 bytes each).
 BROADCAST_ROWS = 100_000
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -56,7 +58,7 @@ class Model:
             unit = {t: x / norm for t, x in w.items()}
             self.units.append((name, unit))
             left = 1.0 - sum(unit[t] ** 2 for t in unit if t in cues)
-            for t in sorted(unit, key=lambda t: (-unit[t], t)):
+            for t in sorted(unit, key=lambda t: (t in COMMON, -len(t), t)):
                 if math.sqrt(max(left, 0.0)) < threshold:
                     break
                 if t not in cues:
@@ -66,7 +68,7 @@ class Model:
 
     @property
     def cue_pattern(self) -> str:
-        return "(" + "|".join(re.escape(c).replace("\\-", "-") for c in self.cues) + ")"
+        return "(?:^|[^a-z0-9])(?:" + "|".join(re.escape(c).replace("\\-", "-") for c in self.cues) + ")(?:[^a-z0-9]|$)"
 
 
 def _map(weights: dict[str, float]) -> Column:

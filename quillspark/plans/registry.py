@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from quillspark.plans import cleaning, retrieval  # noqa: F401

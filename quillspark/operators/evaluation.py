@@ -55,11 +55,11 @@ def first_match(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     return rank.select("query_id", F.round(F.coalesce(F.when(F.col("r") <= k, 1.0 / F.col("r")), F.lit(0.0)), 6).alias("rr"))
 
 
-def rollup_means(per_query: DataFrame, by: str, metrics: list[str], total: str = "average") -> DataFrame:
+def rollup_means(per_query: DataFrame, by: str, metrics: list[str], total: str = "average", digits: int = 6) -> DataFrame:
     """``by``, n and the mean of each metric, for each value and over all (``total``); missing and NaN values don't count, and n_<metric> says how many do."""
     clean = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
     return per_query.rollup(by).agg(
-        F.count("*").alias("n"), *(F.round(F.avg(clean(m)), 6).alias(m) for m in metrics), *(F.count(clean(m)).alias(f"n_{m}") for m in metrics)
+        F.count("*").alias("n"), *(F.round(F.avg(clean(m)), digits).alias(m) for m in metrics), *(F.count(clean(m)).alias(f"n_{m}") for m in metrics)
     ).withColumn(by, F.coalesce(by, F.lit(total)))
 
 

@@ -84,5 +84,5 @@ def history(turns: DataFrame, rounds: int = 6) -> DataFrame:
 
 def from_json_text(text: Column, schema: str) -> Column:
     """A JSON object in a model's output: the whole text, else from the first brace to the last."""
-    whole = F.from_json(text, schema)
-    return F.coalesce(whole, F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema))
+    read = lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema))
+    return F.coalesce(read(text), read(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))))

@@ -1,13 +1,13 @@
 """Exact top-k by inner product over sparse integer vectors, with MaxScore.
 
-Every Arrow batch of candidates is a shard: for each (dimension, sign) it has a postings
-list with the largest weight in it. A query's terms with a positive product, in order of
-their bounds, are split so that all those after the split together cannot reach the
-k-th best score so far: a candidate that is only in their lists is not competitive. The
-lists before the split (essential) are traversed and summed; the lists after it are
-probed, largest bound first, only for candidates that can still reach the k-th score.
-Products of opposite signs only lower a score and are taken off the survivors. Shards of
-a partition hand their k-th scores on; partitions merge by rank.
+A block of candidates is a shard: a list of weights per dimension, and the least and
+largest of each, which bound what the dimension can add to a query's score. A query's
+lists in order of their bounds are split so that those after the split together add
+less than a share of the k-th best score so far. The lists before it (essential) are
+traversed for all candidates; those after it are probed only for candidates whose sum
+so far, with all that is left, can still reach the k-th score. Every weight is signed,
+so partial sums are exact and the bounds hold for negative products too. Shards of a
+partition hand their k-th scores on; partitions merge by rank.
 
 Queries are taken in blocks of bounded size, each against all rows.
 """
@@ -25,13 +25,16 @@ from pyspark.sql.window import Window
 QUERY_BLOCK = 4096
 #: Rows of a shard.
 SHARD = 16_384
-_LIMIT = 1 << 24
+#: Queries that go through a shard together, rows that give the first floor, and the share of the floor that probed lists may add.
+TOGETHER, SEED, SHARE = 128, 2048, 0.25
+#: Components beyond it would leave the 53 bits in which sums are exact.
+_LIMIT = 1 << 20
 
 
 def quantise(values: list | None, scale: float) -> np.ndarray | None:
     """floor(scale * x) of each component in double precision; None if null, or any component is null or not finite.
 
-    Products of components beyond 2**24 would leave 64 bits in a sum; they raise.
+    Components beyond 2**20 would leave 53 bits in a sum; they raise.
     """
     if values is None:
         return None
@@ -60,97 +63,77 @@ def _matrix(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray
 
 
 class Shard:
-    """Postings of a block of candidates: per dimension and sign the rows, their weights and the largest."""
+    """A block of candidates: a column of weights per dimension, and the least and largest weight of each."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
-        for d in range(matrix.shape[1]):
-            column = matrix[:, d]
-            for sign in (1, -1):
-                rows = np.flatnonzero(column * sign > 0)
-                if len(rows):
-                    weight = np.abs(column[rows])
-                    self.postings[d, sign] = rows, weight, int(weight.max())
-
-    def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) that hold the shard's part of the k best; only scores of at least ``floor`` matter."""
-        width = min(len(query), self.matrix.shape[1])
-        terms = []
-        for d in np.flatnonzero(query[:width]):
-            list_ = self.postings.get((int(d), 1 if query[d] > 0 else -1))
-            if list_ is not None:
-                q = abs(int(query[d]))
-                terms.append((q * list_[2], q, *list_[:2], int(d)))
-        terms.sort(key=lambda t: (-t[0], t[4]))
-        bounds = np.array([t[0] for t in terms], np.int64)
-        rest = np.concatenate((np.cumsum(bounds[::-1])[::-1], [0]))  # what the terms from there on can add
-        weights = query[:width]
-        own = self.ids == query_id
-        if floor is None or floor <= 0:
-            # k-th score of the rows that the strongest term ranks first
-            seed = terms[0][2][np.argsort(-terms[0][3], kind="stable")[: k + 64]] if terms else np.empty(0, np.int64)
-            seed = seed[~own[seed]]
-            if len(seed) >= k:
-                first = self.matrix[seed, :width] @ weights
-                found = int(np.partition(first, len(first) - k)[len(first) - k])
-                floor = found if floor is None else max(floor, found)
-        if floor is None or floor <= 0:
-            # candidates in no list may compete: all of them are scored
-            keep = np.flatnonzero(~own)
-            scores = self.matrix[keep, :width] @ weights
-            if floor is not None:
-                keep, scores = keep[scores >= floor], scores[scores >= floor]
-            return self._best(keep, scores, k)
-        split = int(np.searchsorted(-rest[:-1], -floor, "right")) if len(terms) else 0  # rest[split:] < floor
-        partial = np.zeros(len(self.ids), np.int64)
-        for _, q, rows, weight, _ in terms[:split]:
-            partial[rows] += q * weight
-        alive = np.flatnonzero((partial + rest[split] >= floor) & (partial > 0) & ~own)
-        score = partial[alive]
-        for at in range(split, len(terms)):
-            d = terms[at][4]
-            score = score + np.maximum(weights[d] * self.matrix[alive, d], 0)
-            able = score + rest[at + 1] >= floor
-            if not able.all():
-                alive, score = alive[able], score[able]
-        # survivors: their products of opposite signs come off
-        score = self.matrix[alive, :width] @ weights
-        able = score >= floor
-        return self._best(alive[able], score[able], k)
-
-    def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.ids[rows]
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+        self.ids, self.matrix = ids, matrix.astype(np.float64)
+        self.low, self.high = self.matrix.min(axis=0), self.matrix.max(axis=0)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, row, score) of all candidates that may be among the k best: those of at least the k-th score known.
+
+        floors: the k-th best score of each query so far, -inf where there are fewer.
+        """
+        width = min(queries.shape[1], self.matrix.shape[1])
+        q, rows = queries[:, :width].astype(np.float64), self.matrix[:, :width]
+        own = query_ids[:, None] == self.ids
+        # the k-th best of some rows is as good a floor
+        seed = q @ rows[:SEED].T
+        seed[own[:, :SEED]] = -np.inf
+        if seed.shape[1] >= k:
+            floors = np.maximum(floors, np.partition(seed, seed.shape[1] - k, axis=1)[:, seed.shape[1] - k])
+        # a dimension adds at most this; the lists of the smallest bounds are not essential
+        bound = np.maximum(q * self.low[:width], q * self.high[:width])
+        order = np.argsort(-bound, axis=1, kind="stable")
+        rest = np.cumsum(np.take_along_axis(bound, order, axis=1)[:, ::-1], axis=1)[:, ::-1]  # what the lists from there on can add
+        allowed = np.where(np.isfinite(floors), np.maximum(floors, 0.0), 0.0) * SHARE
+        spare = (rest <= allowed[:, None]) & (rest >= 0)
+        spare = np.logical_and.accumulate(spare[:, ::-1], axis=1)[:, ::-1]
+        left_over = np.where(spare.any(axis=1), np.take_along_axis(rest, np.minimum(spare.argmax(axis=1), width - 1)[:, None], axis=1)[:, 0], 0.0)
+        probed = np.zeros(q.shape, bool)
+        np.put_along_axis(probed, order, spare, axis=1)
+        # essential lists are traversed for all rows
+        partial = np.where(probed, 0.0, q) @ rows.T
+        partial[own] = -np.inf
+        i, j = np.nonzero((partial + left_over[:, None] >= floors[:, None]) & ~own)
+        # the others are probed for those that are still competitive
+        score = partial[i, j]
+        late = np.where(probed, q, 0.0)
+        for at in range(0, len(i), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            score[part] += np.einsum("pd,pd->p", late[i[part]], rows[j[part]])
+        keep = score >= floors[i]
+        return i[keep], j[keep], score[keep].astype(np.int64)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query: by score, then by id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = place < k
+    return query[keep], ids[keep], scores[keep]
 
 
 def _search(queries, k: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = queries.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
+        empty = np.empty(0, np.int64)
+        best = [(empty, empty, empty)] * -(-len(ids) // TOGETHER)
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD):
-                shard = Shard(*_matrix(batch.slice(at, SHARD), scale))
-                if not len(shard.ids):
+                shard = Shard(*_matrix(batch.slice(at, SHARD), scale)) if batch.num_rows else None
+                if shard is None or not len(shard.ids):
                     continue
-                for n, (i, q) in enumerate(zip(ids.tolist(), matrix)):
-                    had, scores = best[n]
-                    more, gained = shard.search(i, q, k, int(scores[-1]) if len(scores) == k else None)
-                    had, scores = np.concatenate((had, more)), np.concatenate((scores, gained))
-                    order = np.lexsort((had, -scores))[:k]
-                    best[n] = had[order], scores[order]
-        found = [len(x) for x, _ in best]
-        for at in range(0, len(ids), 1024):
-            part = best[at : at + 1024]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids[at : at + 1024], found[at : at + 1024])),
-                    pa.array(np.concatenate([x for x, _ in part])),
-                    pa.array(np.concatenate([s for _, s in part])),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
+                for n, (query, found, scores) in enumerate(best):
+                    part = slice(n * TOGETHER, (n + 1) * TOGETHER)
+                    floors = np.full(len(ids[part]), -np.inf)
+                    full = np.flatnonzero(np.bincount(query, minlength=len(floors)) == k)
+                    floors[full] = scores[np.searchsorted(query, full, "right") - 1]
+                    i, j, more = shard.search(ids[part], matrix[part], k, floors)
+                    best[n] = _best(np.concatenate((query, i)), np.concatenate((found, shard.ids[j])), np.concatenate((scores, more)), k)
+        for n, (query, found, scores) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n * TOGETHER + query]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run
 

@@ -36,8 +36,6 @@ SIMILAR = (3, 4)
 FLUSH, PER_GROUP, LEAST_GROUPS = 400_000, 1_000_000, 64
 #: Words of a paragraph from which on another one can be alike and not equal: 3 shingles of 4.
 LEAST_NEAR = words.SHINGLE + 2
-#: Rows up to which the marks of documents are broadcast (under 100 bytes each).
-BROADCAST_ROWS = 100_000
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[ord(c) for c in ".!?"]] = True
 
@@ -202,10 +200,6 @@ def _paragraph_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(cols, names=["para", "doc_id", "place", "h", "sketch"])
 
 
-def _join_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, "doc_id", how)
-
-
 def repeated_paragraphs(docs: DataFrame, n_words: int, bands: int = BANDS) -> DataFrame:
     """(para, doc_id, place): each repeated paragraph's hash, and where the member that its class keeps stands."""
     groups = max(LEAST_GROUPS, int(n_words / 12 * (bands + 1) / PER_GROUP))
@@ -215,7 +209,7 @@ def repeated_paragraphs(docs: DataFrame, n_words: int, bands: int = BANDS) -> Da
     near = found.where("band")
     holders = near.groupBy("para").agg(F.min("doc_id").alias("doc_id"))
     wanted = holders.groupBy("doc_id").agg(F.collect_set("para").alias("wanted"))
-    found = _join_marks(docs, materialize(wanted, "wanted"), "inner").mapInArrow(
+    found = docs.join(materialize(wanted, "wanted"), "doc_id").mapInArrow(
         _paragraph_shingles, "para long, doc_id long, place long, h array<long>, sketch binary"
     )
     sets = materialize(found.groupBy("para").agg(*(F.min_by(c, F.struct("doc_id", "place")).alias(c) for c in ("doc_id", "place", "h", "sketch"))), "paragraphs")
@@ -299,14 +293,13 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BA
     size = named.agg(F.sum(F.length("text"))).first()[0] or 0
     repeated = repeated_paragraphs(named, size // 6, bands)
     # which documents hold a repeated paragraph that is kept elsewhere
-    small = repeated.select("para").count() <= BROADCAST_ROWS
-    marks = F.broadcast(repeated.withColumnsRenamed({"doc_id": "k_doc", "place": "k_place"})) if small else repeated.withColumnsRenamed({"doc_id": "k_doc", "place": "k_place"})
+    marks = repeated.withColumnsRenamed({"doc_id": "k_doc", "place": "k_place"})
     held = named.mapInArrow(_occurrences, "para long, doc_id long").join(marks, "para").distinct()
     held = held.groupBy("doc_id").agg(F.collect_list(F.struct("para", "k_doc", "k_place")).alias("marks"))
     held = materialize(held, "marks")
     fields = source.schema.fields
     text_at, id_at, marks_at = source.columns.index("text"), source.columns.index("doc_id"), len(fields)
-    joined = source.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, source["doc_id"].cast("long") == held["doc_id"], "left").select(
+    joined = source.join(held, source["doc_id"].cast("long") == held["doc_id"], "left").select(
         *(source[f.name] for f in fields), held["marks"].alias("marks__")
     )
 

@@ -32,6 +32,8 @@ FREQUENT_ENTRIES, FREQUENT_SHARE, FREQUENT_LEAST = 1_000_000, 2000, 16
 FLUSH, PER_GROUP, LEAST_GROUPS = 1_500_000, 1_500_000, 64
 #: Documents of one side of a block of a run.
 BLOCK = 1024
+#: Rows that are compared in one group.
+CELL_ROWS = 10_000
 #: Ids up to which a list of documents is broadcast (8 bytes each, some 30 MB as a relation).
 BROADCAST_IDS = 300_000
 
@@ -47,8 +49,8 @@ def digests(offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity of the counts of a set's shingles in 2**k >= max(64, size) cells, as bits."""
-    width = 1 << max(6, int(len(h) - 1).bit_length())
+    """Parity of the counts of a set's shingles in 2**k >= max(64, 4 * size) cells, as bits."""
+    width = 1 << max(6, int(4 * len(h) - 1).bit_length())
     odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -78,7 +80,7 @@ class _Counts:
             self.fold()
 
     def fold(self) -> None:
-        if not self.held:
+        if not self.size:
             return
         keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
         both = np.concatenate((self.keys, keys))
@@ -277,47 +279,67 @@ def _label(runs: DataFrame, components: DataFrame) -> DataFrame:
     return runs.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in a block of a run, or between two, that sizes and sketches allow."""
-    pdf = pdf.sort_values("doc_id", kind="stable")
-    doc, comp, n = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "component", "n_shingles"))
-    side = pdf["side"].to_numpy()
-    between = bool((side == 1).any())
-    width = min(len(s) for s in pdf["sketch"])
-    folded = np.empty((len(pdf), width // 8), np.uint64)
-    for i, s in enumerate(pdf["sketch"]):
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, the longer folded to the shortest's width."""
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for i, s in enumerate(sketches):
         x = np.frombuffer(s, np.uint64)
-        while len(x) > width // 8:
+        while len(x) > width:
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        folded[i] = x
-    a, b = [], []
-    right = np.flatnonzero(side == 1) if between else np.arange(len(pdf))
-    for i in np.flatnonzero(side == 0):
-        j = right if between else right[right > i]
-        j = j[(comp[j] != comp[i]) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i]))]
-        for k in range(0, len(j), 4096):
-            part = j[k : k + 4096]
-            apart = np.bitwise_count(folded[part] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            part = part[7 * apart <= n[part] + n[i]]
-            a.append(np.full(len(part), doc[i]))
-            b.append(doc[part])
-    empty = np.empty(0, np.int64)
-    a, b = (np.concatenate(x) if x else empty for x in (a, b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        out[i] = x
+    return out
+
+
+def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components within a block, or between two, that sizes and sketches allow; of many such cells."""
+    pdf = pdf.sort_values(["run", "lo", "hi", "side", "doc_id"], kind="stable")
+    doc, comp, n, side, run, lo, hi = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "component", "n_shingles", "side", "run", "lo", "hi"))
+    sketches = pdf["sketch"].tolist()
+    new = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+    found = [np.empty((0, 2), np.int64)]
+    for first, last in zip(new, np.concatenate((new[1:], [len(pdf)]))):
+        middle = first + int(np.searchsorted(side[first:last], 1)) if side[last - 1] == 1 else first
+        if comp[first:last].min() == comp[first:last].max():
+            continue
+        x = _folded(sketches[first:last])
+        c, m, d = comp[first:last], n[first:last], doc[first:last]
+        columns = slice(middle - first, None)
+        step = max(1, (1 << 20) // max(1, x.size))
+        for k in range(0, middle - first if middle > first else last - first, step):
+            rows = slice(k, min(k + step, middle - first) if middle > first else k + step)
+            able = (c[rows, None] != c[columns]) & (4 * np.minimum(m[rows, None], m[columns]) >= 3 * np.maximum(m[rows, None], m[columns]))
+            i, j = np.nonzero(able)
+            i, j = i + k, j + (middle - first)
+            if middle == first:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 1 << 14):
+                p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                apart = np.bitwise_count(x[p] ^ x[q]).sum(axis=1, dtype=np.int64)
+                keep = 7 * apart <= m[p] + m[q]
+                found.append(np.stack((np.minimum(d[p[keep]], d[q[keep]]), np.maximum(d[p[keep]], d[q[keep]])), axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _cross_pairs(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All plausible pairs of different components that share a run, each run dealt in blocks of bounded size."""
-    runs = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = labelled.join(runs.select("run", "size"), "run").join(sketches, "doc_id")
-    # sets of a run are alike in size: classes of 2**k cells, each against itself and the next, keep the sketches comparable
-    n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("doc_id", "run"), F.col("parts")).cast("int"))
+    """All plausible pairs of different components that share a run, dealt in cells of bounded size.
+
+    Runs of more than one component that have the same smallest item are taken as one,
+    so that a pair in many runs of one group is met once.
+    """
+    split = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("least")).where("lo < hi")
+    rows = materialize(labelled.join(split.select("run", "least"), "run").select(F.col("least").alias("run"), "doc_id", "component").distinct(), "split")
+    parts = rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    rows = rows.join(parts, "run").join(sketches, "doc_id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
     rows = rows.withColumn("side", F.when((F.col("lo") != F.col("hi")) & (F.col("part") == F.col("hi")), 1).otherwise(0))
     cells = rows.select("run", "lo", "hi", "side", "doc_id", "component", "n_shingles", "sketch")
-    return cells.groupBy("run", "lo", "hi").applyInPandas(_cross, "a long, b long")
+    # cells are many and mostly tiny: a group holds some thousand rows of them
+    groups = max(LEAST_GROUPS, labelled.count() // CELL_ROWS)
+    return cells.groupBy(F.pmod(F.xxhash64("run", "lo", "hi"), F.lit(groups)).alias("group")).applyInPandas(_cross, "a long, b long")
 
 
 def resolve(runs: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:

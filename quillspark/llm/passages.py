@@ -1,17 +1,21 @@
 """Substring deduplication: passages that repeat across and within documents, by MinHash banding.
 
 The paragraphs that are compared are sentences: texts are cut after ``.``, ``!`` or
-``?`` before a blank, and at newlines, so that a passage pasted into the middle of a
-line is made of whole paragraphs wherever it stands. Paragraphs of fewer than five
-words carry no evidence of their own.
+``?`` before a blank, and at newlines. Paragraphs of fewer than five words carry no
+evidence of their own. A passage may begin and end inside a sentence, or hold no whole
+one: therefore texts are also sampled for stretches of a third of ``min_words`` words, so
+that of any ``min_words`` words in a row at least one stretch is sampled, whatever
+stands around them ("anchors").
 
 1. Every paragraph gets a hash of its words and MinHash values of its 5-word shingles;
    equal paragraphs are found by the hash, near ones by bands of MinHash values, tuned
    for recall at the threshold.
 2. Colliding paragraphs are verified by exact Jaccard similarity of their shingles, and
    components of what links are the classes of repeated paragraphs.
-3. A class keeps its first member (smallest doc_id, then place). In each document the
-   others go where they stand in a run of at least ``min_words`` words.
+3. A class keeps its first member (smallest doc_id, then place); so do equal anchors.
+4. In each document the others are extended word by word on both sides, as far as the
+   words equal those around the member that is kept. Runs of at least ``min_words``
+   words go.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +41,9 @@ SIMILAR = (3, 4)
 FLUSH, PER_GROUP, LEAST_GROUPS = 400_000, 1_000_000, 64
 #: Words of a paragraph from which on another one can be alike and not equal: 3 shingles of 4.
 LEAST_NEAR = words.SHINGLE + 2
+#: Contexts up to which they are broadcast (some 230 bytes each); beyond, a context is dealt to so many tasks.
+BROADCAST_ROWS, SALTS = 50_000, 8
+_ANCHOR = np.uint64(1 << 40)  # tells an anchor's hash from that of a sentence of its words
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[ord(c) for c in ".!?"]] = True
 
@@ -63,6 +71,7 @@ class Paragraphs:
         self.begin, self.end, self.word = words.words(raw)
         n = len(self.word)
         self.text_of_word = np.searchsorted(starts, self.begin, "right") - 1
+        self.sums = np.zeros(n + 1, np.uint64)
         if not n:
             self.first = self.last = self.text = self.size = np.empty(0, np.int64)
             self.hash = np.empty(0, np.uint64)
@@ -77,9 +86,38 @@ class Paragraphs:
         self.size = self.last - self.first
         self.text = self.text_of_word[self.first]
         # a polynomial over the words, so that their order counts
-        power = words._power(words._BASE, "up", n)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * power)))
-        self.hash = words.mix((sums[self.last] - sums[self.first]) * words._power(words._BASE_INV, "down", n)[self.first] + self.size.astype(np.uint64))
+        np.cumsum(self.word * words._power(words._BASE, "up", n), out=self.sums[1:])
+        self.hash = self.hashes(self.first, self.size)
+
+    def hashes(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The hash of each stretch of ``size`` words from word ``first`` on."""
+        down = words._power(words._BASE_INV, "down", len(self.word))
+        return words.mix((self.sums[first + size] - self.sums[first]) * down[first] + size.astype(np.uint64))
+
+    def anchor_hashes(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return words.mix(self.hashes(first, size) ^ _ANCHOR)
+
+    def anchors(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the sampled stretches of ``min_words`` // 2 words.
+
+        A stretch is sampled if its hash is the least of some ``min_words`` words of one
+        text; stretches of fewer than five different words carry no evidence.
+        """
+        size = min_words // 3
+        n, wide = len(self.word) - size + 1, min_words - size + 1
+        windows = n - wide + 1
+        if windows < 1 or size < words.SHINGLE:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        h = self.anchor_hashes(np.arange(n), np.full(n, size))
+        least = _sliding(h, wide, np.minimum)
+        least[self.text_of_word[:windows] != self.text_of_word[min_words - 1 : min_words - 1 + windows]] = 0
+        padded = np.zeros(windows + 2 * (wide - 1), np.uint64)
+        padded[wide - 1 : wide - 1 + windows] = least
+        at = np.flatnonzero(_sliding(padded, wide, np.maximum) == h)
+        if len(at):
+            held = np.sort(self.word[at[:, None] + np.arange(size)], axis=1)
+            at = at[(held[:, 1:] != held[:, :-1]).sum(axis=1) + 1 >= words.SHINGLE]
+        return at, h[at]
 
     def minhashes(self, which: np.ndarray, bands: int) -> np.ndarray:
         """[paragraph, band] for paragraphs of five words and more."""
@@ -95,6 +133,28 @@ class Paragraphs:
         return np.stack([np.minimum.reduceat(words.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1)), cuts) for k in range(bands)], axis=1)
 
 
+def _sliding(x: np.ndarray, wide: int, best: np.ufunc) -> np.ndarray:
+    """The least (or largest) of each ``wide`` values in a row."""
+    have = 1
+    while 2 * have <= wide:
+        x, have = best(x[:-have], x[have:]), 2 * have
+    return best(x[: len(x) - (wide - have)], x[wide - have :])
+
+
+def _first_two(para: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal paragraphs the first, which stands for all, and the second, which tells that there are more."""
+    order = np.lexsort((place, doc, para))
+    new = np.concatenate((np.ones(min(1, len(para)), bool), para[order][1:] != para[order][:-1]))
+    return order[new], order[1:][~new[1:] & new[:-1]]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts and marks are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
 
@@ -107,7 +167,7 @@ def _by_group(group: np.ndarray, groups: int, *columns: np.ndarray) -> list[byte
     return [np.int64(b - a).tobytes() + b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _entries(groups: int, bands: int):
+def _entries(groups: int, bands: int, min_words: int):
     """Blocks by group: (paragraph, doc_id, place) by the paragraph's hash, and (key, paragraph, doc_id) by the keys of its bands."""
 
     def pack(exact: list[tuple], near: list[tuple]) -> pa.RecordBatch:
@@ -122,20 +182,23 @@ def _entries(groups: int, bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, near, size = [], [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             ids = _ids(batch.column(0))
             for first, after, raw, starts in words.blocks(batch.column(1).to_pylist()):
                 p = Paragraphs(raw, starts)
                 which = np.flatnonzero(p.size >= words.SHINGLE)
-                if not len(which):
+                at, anchor = p.anchors(min_words)
+                if not len(which) and not len(at):
                     continue
                 doc, place, para = ids[first + p.text[which]], p.begin[p.first[which]] - starts[p.text[which]], p.hash[which]
-                # of equal paragraphs of the block the first stands for all, and a second tells that there are more
-                order = np.lexsort((place, doc, para))
-                new = np.concatenate(([True], para[order][1:] != para[order][:-1]))
-                heads, seconds = order[new], order[1:][~new[1:] & new[:-1]]
+                heads, seconds = _first_two(para, doc, place)
+                text = p.text_of_word[at]
+                a_doc, a_place = ids[first + text], p.begin[at] - starts[text]
                 for rows in (heads, seconds):
                     exact.append((para[rows], doc[rows], place[rows]))
+                for rows in _first_two(anchor, a_doc, a_place):
+                    exact.append((anchor[rows], a_doc[rows], a_place[rows]))
+                    size += len(rows)
                 long = heads[p.size[which[heads]] >= LEAST_NEAR]
                 if len(long):
                     m = p.minhashes(which[long], bands)
@@ -184,7 +247,7 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _paragraph_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(para, doc_id, place, h, sketch) of the wanted paragraphs of (doc_id, text, wanted array of hashes), each at its first place in the document."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids, wanted = _ids(batch.column(0)), batch.column(2).to_pylist()
         for first, after, raw, starts in words.blocks(batch.column(1).to_pylist()):
             p = Paragraphs(raw, starts)
@@ -200,10 +263,10 @@ def _paragraph_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(cols, names=["para", "doc_id", "place", "h", "sketch"])
 
 
-def repeated_paragraphs(docs: DataFrame, n_words: int, bands: int = BANDS) -> DataFrame:
-    """(para, doc_id, place): each repeated paragraph's hash, and where the member that its class keeps stands."""
-    groups = max(LEAST_GROUPS, int(n_words / 12 * (bands + 1) / PER_GROUP))
-    blocks = docs.mapInArrow(_entries(groups, bands), "p int, block binary")
+def repeated_paragraphs(docs: DataFrame, n_words: int, bands: int = BANDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(para, doc_id, place): each repeated paragraph's or anchor's hash, and where the member that its class keeps stands."""
+    groups = max(LEAST_GROUPS, int(n_words / 12 * (bands + 2) / PER_GROUP))
+    blocks = docs.mapInArrow(_entries(groups, bands, min_words), "p int, block binary")
     found = materialize(blocks.groupBy("p").applyInPandas(_collisions, "run long, band boolean, para long, doc_id long, place long"), "collisions")
     exact = found.where("NOT band").select("para", "doc_id", "place")
     near = found.where("band")
@@ -231,54 +294,170 @@ def repeated_paragraphs(docs: DataFrame, n_words: int, bands: int = BANDS) -> Da
     return materialize(named.join(kept, "class").select("para", F.col("keep.doc_id").alias("doc_id"), F.col("keep.place").alias("place")), "repeated")
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(para, doc_id): the paragraphs that each document holds."""
-    for batch in batches:
-        ids = _ids(batch.column(0))
-        for first, after, raw, starts in words.blocks(batch.column(1).to_pylist()):
-            p = Paragraphs(raw, starts)
-            which = np.flatnonzero(p.size >= words.SHINGLE)
-            yield pa.RecordBatch.from_arrays([pa.array(p.hash[which].view(np.int64)), pa.array(ids[first + p.text[which]])], names=["para", "doc_id"])
+MARK = "para long, doc_id long, place long, span long"
+END = "doc_id long, at int, right boolean, k_doc long, k_place long, anchor boolean"
+CONTEXT = "k_doc long, k_place long, right boolean, anchor boolean, context binary"
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
 
 
-def _remove(text: str, raw: bytes, marks: dict[int, tuple[int, int]], doc_id: int, min_words: int) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text without its runs of repeated paragraphs, and (byte place, bytes, words) of each run."""
+def _occurrences(min_words: int):
+    """MARK: the paragraphs and anchors that each document holds, at byte ``place``; ``span`` is the first word << 32, plus the number of words << 1, plus 1 for an anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            ids = _ids(batch.column(0))
+            for first, after, raw, starts in words.blocks(batch.column(1).to_pylist()):
+                p = Paragraphs(raw, starts)
+                which = np.flatnonzero(p.size >= words.SHINGLE)
+                at, anchor = p.anchors(min_words)
+                begin = np.concatenate((p.first[which], at))
+                text = p.text_of_word[begin]
+                n = np.concatenate((p.size[which] << 1, np.full(len(at), min_words // 3 << 1 | 1)))
+                base = np.searchsorted(p.text_of_word, np.arange(after - first))  # first word of each text
+                para = np.concatenate((p.hash[which], anchor)).view(np.int64)
+                yield _batch(MARK, para, ids[first + text], p.begin[begin] - starts[text], (begin - base[text]) << 32 | n)
+
+    return run
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets and fields of an array<struct> column; a null list has no elements."""
+    flat = column.flatten()
+    counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
+    return np.concatenate(([0], np.cumsum(counts))), {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+
+
+def _ends(reach: int):
+    """END: where the runs of a document's marks end, with the kept members that stand at most ``reach`` words from there, one of each kept document and shift."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            out: list[tuple] = []
+            offsets, marks = _lists(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:]):
+                span, place, k_doc, k_place = (marks[x][a:b] for x in ("span", "place", "k_doc", "k_place"))
+                start = span >> 32
+                stop = start + ((span & 0xFFFFFFFF) >> 1)
+                order = np.argsort(start, kind="stable")
+                far = np.maximum.accumulate(stop[order])
+                cuts = [0, *(np.flatnonzero(start[order][1:] > far[:-1]) + 1).tolist(), len(order)]
+                for x, y in zip(cuts[:-1], cuts[1:]):
+                    rows, low, high = order[x:y], start[order[x]], far[y - 1]
+                    best: dict[tuple, int] = {}
+                    for k in rows[start[rows] < low + reach][::-1].tolist():
+                        best[int(k_doc[k]), int(k_place[k] - place[k]), False] = k  # the leftmost is the last to be put
+                    near = rows[stop[rows] > high - reach]
+                    for k in near[np.argsort(stop[near], kind="stable")].tolist():
+                        best[int(k_doc[k]), int(k_place[k] - place[k]), True] = k
+                    out += [(doc, int(stop[k] if right else start[k]), right, d, int(k_place[k]), bool(span[k] & 1)) for (d, _, right), k in best.items()]
+            if out:
+                yield _batch(END, *zip(*out))
+
+    return run
+
+
+def _contexts(reach: int, min_words: int):
+    """CONTEXT of (doc_id, text, wanted array of (k_place, right, anchor)): the 32-bit hashes of up to ``reach`` words beside a kept member, the nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            ids, wanted = _ids(batch.column(0)), batch.column(2).to_pylist()
+            for first, after, raw, starts in words.blocks(batch.column(1).to_pylist()):
+                p = Paragraphs(raw, starts)
+                word = p.word.astype(np.uint32)
+                edge = np.searchsorted(p.text_of_word, np.arange(after - first + 1))
+                out: list[tuple] = []
+                for t in range(after - first):
+                    for place, right, anchor in (tuple(w.values()) for w in wanted[first + t]):
+                        k = int(np.searchsorted(p.begin, starts[t] + place))
+                        if k >= edge[t + 1] or p.begin[k] != starts[t] + place:
+                            continue  # another row of this doc_id
+                        if right:
+                            k = k + min_words // 3 if anchor else int(p.last[np.searchsorted(p.last, k, "right")])
+                            side = word[k : min(k + reach, edge[t + 1])]
+                        else:
+                            side = word[max(k - reach, edge[t]) : k][::-1]
+                        out.append((int(ids[first + t]), place, right, anchor, side.tobytes()))
+                if out:
+                    yield _batch(CONTEXT, *zip(*out))
+
+    return run
+
+
+def _marks(docs: DataFrame, repeated: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, marks, sides): what of each document repeats a kept member, and the words beside that at the ends of runs."""
+    reach = min_words - 1
+    kept = repeated.withColumnsRenamed({"doc_id": "k_doc", "place": "k_place"})
+    held = docs.mapInArrow(_occurrences(min_words), MARK).join(kept, "para").where("NOT (doc_id = k_doc AND place = k_place)")
+    held = materialize(held.groupBy("doc_id").agg(F.collect_list(F.struct("para", "place", "span", "k_doc", "k_place")).alias("marks")), "marks")
+    ends = materialize(held.mapInArrow(_ends(reach), END), "ends")
+    wanted = ends.groupBy(F.col("k_doc").alias("doc_id")).agg(F.collect_set(F.struct("k_place", "right", "anchor")).alias("wanted"))
+    contexts = docs.join(materialize(wanted, "contexts-wanted"), "doc_id").mapInArrow(_contexts(reach, min_words), CONTEXT)
+    key = ["k_doc", "k_place", "right", "anchor"]
+    contexts = materialize(contexts.where("octet_length(context) > 0"), "contexts")
+    if contexts.count() <= BROADCAST_ROWS:
+        sides = ends.join(F.broadcast(contexts), key)
+    else:  # a passage that many documents hold is met in several tasks
+        salted = contexts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sides = ends.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
+    sides = sides.groupBy("doc_id").agg(F.collect_list(F.struct("at", "right", "context")).alias("sides"))
+    marks = F.transform("marks", lambda x: F.struct(x["para"].alias("para"), x["span"].alias("span")))
+    return materialize(held.select("doc_id", marks.alias("marks")).join(sides, "doc_id", "left"), "sides")
+
+
+def _remove(text: str, raw: bytes, para: np.ndarray, span: np.ndarray, sides: list[dict], min_words: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without its runs of repeated words, and (byte place, bytes, words) of each run."""
     p = Paragraphs(raw + b" ", np.array([0, len(raw) + 1]))
-    if not len(p.size):
-        return text, []
-    place = p.begin[p.first]
-    stop = p.end[p.last - 1]
-    state = np.zeros(len(p.size), np.int8)  # 1 repeated and not the one kept, 0 of too few words to tell, -1 stays
-    for k, (h, n) in enumerate(zip(p.hash.view(np.int64).tolist(), p.size.tolist())):
-        if n >= words.SHINGLE:
-            keep = marks.get(h)
-            state[k] = 1 if keep is not None and keep != (doc_id, int(place[k])) else -1
+    total = len(p.word)
+    at, size, anchor = span >> 32, (span & 0xFFFFFFFF) >> 1, span & 1 == 1
+    there = at + size <= total  # marks of another row of this doc_id do not count
+    para, at, size, anchor = para[there].view(np.uint64), at[there], size[there], anchor[there]
+    same = np.where(anchor, p.anchor_hashes(at, size), p.hashes(at, size)) == para
+    edges = np.zeros(total + 1, np.int64)
+    np.add.at(edges, at[same], 1)
+    np.add.at(edges, (at + size)[same], -1)
+    covered = np.cumsum(edges[:-1]) > 0
+    marked, word = covered.copy(), p.word.astype(np.uint32)
+    for side in sides:
+        k, context = side["at"], np.frombuffer(side["context"], np.uint32)
+        if side["right"]:
+            if 0 < k <= total and marked[k - 1]:
+                mine = word[k : k + len(context)]
+                covered[k : k + _equal(mine, context)] = True
+        elif k < total and marked[k]:
+            mine = word[max(0, k - len(context)) : k][::-1]
+            covered[k - _equal(mine, context) : k] = True
+    # whole paragraphs of too few words to tell go with what stands on both sides of them
+    able = covered | np.repeat(p.size < words.SHINGLE, p.size)
+    change = np.flatnonzero(np.diff(np.concatenate(([False], able, [False])).astype(np.int8)))
     spans: list[tuple[int, int, int]] = []
-    k = 0
-    while k < len(state):
-        if state[k] != 1:
-            k += 1
-            continue
-        last = k
-        j = k
-        while j < len(state) and state[j] >= 0:
-            if state[j] == 1:
-                last = j
-            j += 1
-        n = int(p.size[k : last + 1].sum())
-        if n >= min_words:
-            spans.append((int(place[k]), int(stop[last] - place[k]), n))
-        k = j
+    for a, b in zip(change[0::2].tolist(), change[1::2].tolist()):
+        inside = np.flatnonzero(covered[a:b])
+        if len(inside) and inside[-1] - inside[0] + 1 >= min_words:
+            first, last = a + int(inside[0]), a + int(inside[-1])
+            spans.append((int(p.begin[first]), int(p.end[last] - p.begin[first]), last - first + 1))
     if not spans:
         return text, []
-    out, at = [], 0
-    for begin, size, _ in spans:
-        out.append(raw[at:begin])
-        at = begin + size
-    out.append(raw[at:])
+    out, done = [], 0
+    for begin, length, _ in spans:
+        out.append(raw[done:begin])
+        done = begin + length
+    out.append(raw[done:])
     return b"".join(out).decode("utf-8", "surrogatepass"), spans
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values at the beginning of both are equal."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else n
+
+
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and ``removed``: array of (place, size, words) in bytes of the old text.
 
@@ -291,26 +470,23 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BA
     source = docs.drop("removed")
     named = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = named.agg(F.sum(F.length("text"))).first()[0] or 0
-    repeated = repeated_paragraphs(named, size // 6, bands)
-    # which documents hold a repeated paragraph that is kept elsewhere
-    marks = repeated.withColumnsRenamed({"doc_id": "k_doc", "place": "k_place"})
-    held = named.mapInArrow(_occurrences, "para long, doc_id long").join(marks, "para").distinct()
-    held = held.groupBy("doc_id").agg(F.collect_list(F.struct("para", "k_doc", "k_place")).alias("marks"))
-    held = materialize(held, "marks")
+    held = _marks(named, repeated_paragraphs(named, size // 6, bands, min_words), min_words)
     fields = source.schema.fields
-    text_at, id_at, marks_at = source.columns.index("text"), source.columns.index("doc_id"), len(fields)
+    text_at, marks_at = source.columns.index("text"), len(fields)
     joined = source.join(held, source["doc_id"].cast("long") == held["doc_id"], "left").select(
-        *(source[f.name] for f in fields), held["marks"].alias("marks__")
+        *(source[f.name] for f in fields), held["marks"].alias("marks__"), held["sides"].alias("sides__")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts, removed = [], []
-            for i, text, found in zip(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), batch.column(marks_at).to_pylist()):
+            offsets, marks = _lists(batch.column(marks_at))
+            para, span = marks["para"].astype(np.int64), marks["span"].astype(np.int64)
+            for k, (text, sides) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(marks_at + 1).to_pylist())):
                 spans: list = []
-                if text and found:
-                    marks = {x["para"]: (x["k_doc"], x["k_place"]) for x in found}
-                    text, spans = _remove(text, text.encode("utf-8", "surrogatepass"), marks, int(i), min_words)
+                a, b = offsets[k], offsets[k + 1]
+                if text and b > a:
+                    text, spans = _remove(text, text.encode("utf-8", "surrogatepass"), para[a:b], span[a:b], sides or [], min_words)
                 texts.append(text)
                 removed.append([{"place": a, "size": b, "words": c} for a, b, c in spans])
             cols = [pa.array(texts, batch.column(k).type) if k == text_at else batch.column(k) for k in range(marks_at)]

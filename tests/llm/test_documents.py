@@ -309,6 +309,29 @@ def test_substring_dedup(spark):
     assert passages.bands_for(0.75, 0.99) == 4
 
 
+def test_passages_pasted_inside_sentences(spark):
+    """Verbatim repeats of just over 50 words go, wherever sentences begin and end; shorter ones stay."""
+    rng = np.random.default_rng(11)
+
+    def run(n, tag):
+        return [f"{tag}{x}" for x in rng.integers(0, 3000, n)]
+
+    rows, want = [], {}
+    for k, (n, every) in enumerate((n, every) for n in (40, 49, 50, 51, 55, 60, 90) for every in (7, 23, 1000)):
+        w = run(n, f"p{k}x")
+        shared = " ".join(x + "." * (j % every == every - 1) for j, x in enumerate(w))
+        a, b, c, d = (" ".join(run(15, f"{t}{k}x")) for t in "abcd")
+        rows += [(2 * k, f"{a} {shared} {b}."), (2 * k + 1, f"{c} {shared} {d}.")]
+        want[2 * k], want[2 * k + 1] = rows[-2][1], f"{c}  {d}." if n >= 50 else rows[-1][1]
+    whole = [*run(12, "e"), "end."]
+    left, right = run(30, "l"), run(30, "r")
+    rows += [(100, " ".join(["Start", *left[:-1], "stop.", *whole * 2, *right]) + " one."), (101, " ".join([*left[9:-1], "stop.", *whole * 2, *right[:9]]) + " other.")]
+    got = {r.doc_id: (r.text, r.removed) for r in passages.substring_dedup(odd_documents(spark, rows)).collect()}
+    assert {k: got[k][0] for k in want} == want
+    assert all(x.words == len(rows[k][1][x.place : x.place + x.size].split()) for k in want for x in got[k][1])
+    assert got[100][0] == rows[-2][1] and got[101][0] == " other."
+
+
 def test_near_paragraphs_are_found(spark):
     rng = np.random.default_rng(9)
     base = [f"n{x}" for x in rng.integers(0, 3000, 60)]

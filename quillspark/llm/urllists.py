@@ -31,6 +31,11 @@ def page_of(url: Column) -> Column:
     return F.concat(host_of(url), F.rtrim(path, F.lit("/")))
 
 
+def listed_page(entry: Column) -> Column:
+    """A page entry as ``page_of`` names captures; an entry may leave the scheme out."""
+    return page_of(F.when(F.lower(entry).rlike(r"^[a-z][a-z0-9+.-]*://"), entry).otherwise(F.concat(F.lit("http://"), entry)))
+
+
 def domains_of(host: Column) -> Column:
     """The host and every domain above it."""
     parts = F.split(host, r"\.")
@@ -69,7 +74,7 @@ def match_lists(captures: DataFrame, events: DataFrame) -> DataFrame:
     rows = captures.select("page_id", "url", "fetched_on", host_of(F.col("url")).alias("host"), page_of(F.col("url")).alias("page"))
     hosts = rows.select("host").where("host IS NOT NULL").distinct().withColumn("entry", F.explode(domains_of(F.col("host"))))
     by_host = hosts.join(spans.where("kind = 'domain'"), "entry")
-    pages = spans.where("kind = 'page'").withColumn("page", F.rtrim("entry", F.lit("/")))
+    pages = spans.where("kind = 'page'").withColumn("page", listed_page(F.col("entry")))
     rows = _lookup(_lookup(rows, by_host, "host", "of_host"), pages, "page", "of_page")
     none = F.array().cast("array<struct<list_name:string,policy:string,entry:string,since:date,until:date>>")
     both = F.concat(F.coalesce("of_host", none), F.coalesce("of_page", none))

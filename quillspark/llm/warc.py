@@ -3,7 +3,8 @@
 The reader walks an archive member by member (or, uncompressed, version line by version
 line) in bounded memory. Where a member does not inflate, or a record's header, length
 or digest does not hold, it searches for the next valid member or version line, goes on
-from there, and logs the bytes in between as a quarantined gap.
+from there, and logs the bytes in between as a quarantined gap. What a member holds is
+searched in the same way, also the part that inflated before an error.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ CHUNK = 1 << 20
 #: Revisits up to which their list is broadcast (16 bytes each).
 BROADCAST_ROWS = 200_000
 GZIP = b"\x1f\x8b\x08"
+VERSION_LINE = re.compile(rb"WARC/\d")
+#: Bytes that are inflated at once where a member is damaged.
+STEP = 4096
 DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 RECORDS = "archive string, place long, bytes long, status string, headers map<string,string>, payload binary"
 
@@ -89,47 +93,90 @@ def _headers(head: bytes) -> dict[str, str] | None:
     return out if out.get("content-length", "").isdigit() else None
 
 
-def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
-    """(headers, block, size) of the record that ``raw`` begins with, if it is whole and its digest holds."""
-    stop = raw.find(b"\r\n\r\n")
+def _said(headers: dict[str, str]) -> str | None:
+    """The SHA-1 that a record names for its block."""
+    said = headers.get("warc-block-digest") or (headers.get("warc-payload-digest") if headers.get("warc-type") in ("response", "resource", "metadata") else None)
+    return said[5:] if said and said.lower().startswith("sha1:") else None
+
+
+def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """(headers, block, size) of the record that ``raw`` holds at ``at``, if it is whole and its digest holds."""
+    stop = raw.find(b"\r\n\r\n", at)
     if stop < 0:
         return None
-    headers = _headers(raw[:stop])
+    headers = _headers(raw[at:stop])
     if headers is None:
         return None
     n = int(headers["content-length"])
     block = raw[stop + 4 : stop + 4 + n]
     if len(block) < n or raw[stop + 4 + n : stop + 8 + n] != b"\r\n\r\n":
         return None
-    said = headers.get("warc-block-digest") or (headers.get("warc-payload-digest") if headers.get("warc-type") in ("response", "resource", "metadata") else None)
-    if said and said.lower().startswith("sha1:") and said[5:] != digest(block):
+    said = _said(headers)
+    if said is not None and said != digest(block):
         return None
-    return headers, block, stop + 8 + n
+    return headers, block, stop + 8 + n - at
+
+
+def _records(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], bool]:
+    """The valid records of a member's content, and whether there is nothing else in it."""
+    found, at, clean = [], 0, True
+    while at < len(content):
+        one = _parse(content, at)
+        if one is not None:
+            found.append(one[:2])
+            at += one[2]
+            continue
+        clean = False
+        line = VERSION_LINE.search(content, at + 1)
+        at = line.start() if line else len(content)
+    return found, clean
 
 
-def _member(window: _Bytes) -> tuple[bytes, int] | None:
-    """(content, size) of the gzip member that the window begins with, if it inflates to its end and its check holds."""
+def _member(window: _Bytes) -> tuple[bytes, int, str]:
+    """(content, size, state) of the gzip member that the window begins with.
+
+    state: "whole" if it inflates to its end and its check holds, "short" if the stream
+    ends before, "bad" for an error; content is then what inflates up to there.
+    """
     z = zlib.decompressobj(31)
     out, used = [], 0
-    try:
-        while not z.eof:
-            if not window.fill(used + 1):
-                return None
-            part = window.held[used : used + CHUNK]
+    while not z.eof:
+        if not window.fill(used + 1):
+            return b"".join(out), used, "short"
+        part = window.held[used : used + CHUNK]
+        before = z.copy()
+        try:
             out.append(z.decompress(part))
-            used += len(part) - len(z.unused_data)
-    except zlib.error:
-        return None
-    return b"".join(out), used
-
-
-def _resync(window: _Bytes, skip: int) -> None:
-    """Drops bytes up to the next place, at least ``skip`` on, where a member or a version line may begin; or all."""
+        except zlib.error:
+            more, n = _before_error(before, part)
+            return b"".join([*out, more]), used + n, "bad"
+        used += len(part) - len(z.unused_data)
+    return b"".join(out), used, "whole"
+
+
+def _before_error(z, part: bytes) -> tuple[bytes, int]:
+    """What inflates of a part before its error, and how many bytes that takes."""
+    out, at = [], 0
+    for step in (STEP, 1):
+        try:
+            while at < len(part):
+                before = z.copy() if step > 1 else None
+                out.append(z.decompress(part[at : at + step]))
+                at += step
+        except zlib.error:
+            z = before
+    return b"".join(out), at
+
+
+def _resync(window: _Bytes, skip: int, plain: int = 0) -> None:
+    """Drops bytes up to the next place, at least ``skip`` on, where a member or, at least ``plain`` on, a version line may begin; or all."""
+    plain += window.at
     window.fill(skip + CHUNK)
     window.drop(min(skip, len(window.held)))
     while True:
         window.fill(CHUNK)
-        found = [k for k in (window.held.find(GZIP), window.held.find(b"WARC/1.")) if k >= 0]
+        line = VERSION_LINE.search(window.held, max(0, plain - window.at))
+        found = [k for k in (window.held.find(GZIP), line.start() if line else -1) if k >= 0]
         if found:
             window.drop(min(found))
             return
@@ -142,24 +189,21 @@ def _resync(window: _Bytes, skip: int) -> None:
 def salvage(stream) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | None]]:
     """(place, bytes, status, headers, block) of a stream: status ``ok``, or ``gap`` for quarantined bytes.
 
-    An empty stream has no rows; one without any valid record is a single gap.
+    An empty stream has no rows; one without any valid record is a single gap. Records
+    of a gzip member have its place and size. A member that holds anything but valid
+    records is also a gap, as what it loses has no place of its own in the stream. Of a
+    member that fails its check, only records whose digest holds are valid.
     """
     window = _Bytes(stream)
     gap = None
     while window.fill(1):
         found: list[tuple[dict[str, str], bytes]] = []
-        size = 0
+        size, state, clean = 0, "whole", True
         if window.fill(3) and window.held[:3] == GZIP:
-            inflated = _member(window)
-            if inflated is not None:
-                content, size = inflated
-                while content:
-                    one = _parse(content)
-                    if one is None:
-                        found = []
-                        break
-                    found.append(one[:2])
-                    content = content[one[2] :]
+            content, size, state = _member(window)
+            found, clean = _records(content)
+            if state == "bad":
+                found = [one for one in found if _said(one[0]) is not None]
         elif window.fill(8) and window.held[:5] == b"WARC/":
             need = CHUNK
             while True:
@@ -171,7 +215,7 @@ def salvage(stream) -> Iterator[tuple[int, int, str, dict[str, str] | None, byte
                 stop = window.held.find(b"\r\n\r\n")
                 head = _headers(window.held[:stop]) if stop >= 0 else None
                 want = stop + 8 + int(head["content-length"]) if head else 0
-                if window.ended or want <= len(window.held) or want > need and b"\r\n\r\nWARC/1." in window.held[stop:]:
+                if window.ended or want <= len(window.held) or want > need and re.search(rb"\r\n\r\nWARC/\d", window.held[stop:]):
                     break
                 need = want
         if found:
@@ -180,10 +224,14 @@ def salvage(stream) -> Iterator[tuple[int, int, str, dict[str, str] | None, byte
                 gap = None
             for headers, block in found:
                 yield window.at, size, "ok", headers, block
-            window.drop(size)
-        else:
-            gap = window.at if gap is None else gap
-            _resync(window, 1)
+            if state == "whole":
+                if not clean:
+                    yield window.at, size, "gap", None, None
+                window.drop(size)
+                continue
+        gap = window.at if gap is None else gap
+        # a stored member shows its records' text: those that were found are not read again
+        _resync(window, 1, size if found else 0)
     if gap is not None and window.at > gap:
         yield gap, window.at - gap, "gap", None, None
 

@@ -4,6 +4,7 @@ import base64
 import datetime
 import hashlib
 import io
+import zlib
 
 import numpy as np
 import pytest
@@ -108,6 +109,32 @@ def test_salvage(zipped):
     assert list(warc.salvage(io.BytesIO(b""))) == [] and [s for _, _, s, _, _ in warc.salvage(io.BytesIO(b"nothing here"))] == ["gap"]
 
 
+def test_salvage_inside_members():
+    """A bad record of a member, a failed check and a member that breaks off cost what they hit, no more."""
+    parts = records(6)
+    ids = lambda raw: [h["x-page-id"] for _, _, s, h, _ in warc.salvage(io.BytesIO(raw)) if s == "ok"]
+    gaps = lambda raw: [(a, n) for a, n, s, _, _ in warc.salvage(io.BytesIO(raw)) if s == "gap"]
+    whole, other = warc._gzip(b"".join(parts)), warc._gzip(warc.record(b"", {"X-Page-Id": "next"}))
+    assert ids(whole + other) == [*"012345", "next"] and gaps(whole + other) == []
+    one_bad = warc._gzip(b"".join([*parts[:2], parts[2].replace(b"body", b"BODY"), *parts[3:]]))
+    assert ids(one_bad + other) == [*"01345", "next"] and gaps(one_bad + other) == [(0, len(one_bad))]
+    failed = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids(failed + other) == [*"012345", "next"] and gaps(failed + other) == [(0, len(failed))]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = stored.compress(b"".join(parts)) + stored.flush()
+    cut = stored[: stored.index(b"body 4")]
+    assert ids(cut) == [*"0123"] and gaps(cut) == [(0, len(cut))]
+    broken = bytearray(stored)
+    broken[stored.index(b"body 1") + 1] ^= 1
+    assert ids(bytes(broken) + other) == [*"02345", "next"]
+
+
+def test_salvage_of_other_versions():
+    parts = [r.replace(b"WARC/1.0", b"WARC/0.18", 1) for r in records(4)]
+    raw = b"".join([*parts[:1], parts[1].replace(b"body", b"BODY"), *parts[2:]])
+    assert [h["x-page-id"] for _, _, s, h, _ in warc.salvage(io.BytesIO(b"junk" + raw)) if s == "ok"] == ["0", "2", "3"]
+
+
 def test_read_warc_lists_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(records(2)) + b"tail")
     rows = warc.read_warc(spark, str(tmp_path)).collect()

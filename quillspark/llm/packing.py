@@ -145,7 +145,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIE
         histogram[length] = n
     rows, bound = int(histogram.sum()), dff_bound(histogram, capacity)
     out = "row long, length long, sequence_id long, offset long, open boolean"
-    todo, placed, closed = pieces.select("row", "length"), [], 0
+    todo, placed, closed, before = pieces.select("row", "length"), [], 0, None
     for round_no in range(MAX_ROUNDS):
         if not rows:
             break
@@ -156,13 +156,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIE
         n, loose, loose_rows = packed.agg(
             F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("open"), F.col("sequence_id"))), F.count_if("open")
         ).first()
+        if before is not None and n >= before[1]:  # nothing gained: the pieces stay where they were
+            placed.append(before[0])
+            break
         # certified: no packing of all pieces takes fewer; or one group has packed what was open
-        if closed + n <= bound or groups == 1 or round_no == MAX_ROUNDS - 1 or loose_rows > 0.9 * rows:
+        if closed + n <= bound or groups == 1 or round_no == MAX_ROUNDS - 1:
             placed.append(packed)
             break
         placed.append(packed.where(~F.col("open")))
         closed += n - loose
-        todo, rows = packed.where("open").select("row", "length"), loose_rows
+        before = packed.where("open"), loose
+        todo, rows = before[0].select("row", "length"), loose_rows
     if not placed:
         places = spark.createDataFrame([], out)
     else:

@@ -205,6 +205,32 @@ def test_packing(spark):
     assert packing.pack_documents(odd_documents(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("bad", ["first", "later"])
+def test_packing_rounds(spark, monkeypatch, bad):
+    """A round that gains nothing is undone; one that opens all its sequences is followed by another."""
+    real = packing._pack_group
+
+    def pack(capacity, round_no):
+        run = real(capacity, round_no)
+
+        def alone(key, df):
+            out = run(key, df)
+            out["sequence_id"], out["offset"], out["open"] = (round_no << 56) + (key[0] << 28) + np.arange(len(out)), 0, round_no == 0
+            return out
+
+        return alone if (round_no == 0) == (bad == "first") else run
+
+    monkeypatch.setattr(packing, "_pack_group", pack)
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(k, int(n)) for k, n in enumerate(rng.integers(3, 15, 200))], "doc_id long, length long")
+    got = packing.pack_pieces(rows, 20, per_task=40).toPandas()
+    assert sorted(got.doc_id) == list(range(200)) and got.groupby("sequence_id").length.sum().max() <= 20
+    if bad == "first":
+        assert got.sequence_id.nunique() < 150
+    else:
+        assert (got.sequence_id < 1 << 56).all()
+
+
 def test_word_tokenizer_equals_library(sf):
     import pyarrow.parquet as pq
 

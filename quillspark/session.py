@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +33,18 @@ def get_spark(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spa
     return ensure_importable(spark)
 
 
+#: Rows that a Python worker gets at once; texts of some kB then take a few MB there and in the JVM.
+BATCH_ROWS = 1000
+
+
 def ensure_importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and bound the batches they get.
 
-    On a cluster the package is shipped with ``--py-files``; then this changes nothing.
+    On a cluster the package is shipped with ``--py-files``; then the path changes nothing.
     """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(size)) > BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -64,15 +72,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file of a table whose rows are counted before it is written.
+ROWS_PER_FILE = 50_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: what follows survives the loss of any executor, and the
-    optimiser sees the true size.
+    optimiser sees the true size. rows: a bound of its rows, where one is known; then
+    a small table is written by few tasks and not by one for each shuffle partition.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` gave, once what was made of them is written itself; others are left alone."""
+    for table in tables:
+        held, path = _written.pop(id(table), (None, ""))
+        if held is not None and held() is table:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

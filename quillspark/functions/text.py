@@ -101,24 +101,27 @@ def chunk_id(doc_id: Column | str, kind: str, index: Column) -> Column:
     return F.concat(F.substring(base, 1, 48), F.lit(f"__{kind}_"), F.lpad(index.cast("string"), 4, "0"))
 
 
+# The titles' patterns, in the order in which they are tried, with the levels that they give.
+NUMERAL_TITLE, BRACKET_TITLE, NUMBER_TITLE = r"^[一二三四五六七八九十]+[、.]", r"^[（(][一二三四五六七八九十\d]+[）)]", r"^\d+(?:\.\d+)*[、. ]"
+TITLE_LEVELS = ((NUMERAL_TITLE, 1), (BRACKET_TITLE, 2), (r"^\d+[、.]", 3))
+BARE_NUMBER_TITLE, BARE_NUMBER_LEVEL = r"^\d+(?:[、\s]|$)", 3
+SHORT_TITLE, SHORT_LEVEL, LONG_LEVEL = 18, 2, 1
+CAPTION_TITLE, CAPTION_CHARS, TITLE_CHARS, CONTENTS_TITLE = "^(资料来源|图|表)", 12, 20, "目录"
+
+
 def is_structural_title(text: Column | str) -> Column:
     """Short, numbered or table-of-contents titles; sentences and captions are none."""
     t = clean_text(text)
-    numbered = t.rlike(r"^[一二三四五六七八九十]+[、.]") | t.rlike(r"^[（(][一二三四五六七八九十\d]+[）)]") | t.rlike(r"^\d+(?:\.\d+)*[、. ]")
-    caption = t.rlike("^(资料来源|图|表)") & (F.length(t) > 12)
-    return (t != "") & (t.contains("目录") | (~t.rlike(f"[{SENTENCE_END}]") & ~caption & (numbered | (F.length(t) <= 20))))
+    numbered = t.rlike(NUMERAL_TITLE) | t.rlike(BRACKET_TITLE) | t.rlike(NUMBER_TITLE)
+    caption = t.rlike(CAPTION_TITLE) & (F.length(t) > CAPTION_CHARS)
+    return (t != "") & (t.contains(CONTENTS_TITLE) | (~t.rlike(f"[{SENTENCE_END}]") & ~caption & (numbered | (F.length(t) <= TITLE_CHARS))))
 
 
 def title_level(text: Column | str) -> Column:
-    """0 no title, 1 to 3 by numbering, dotted numbers by their depth, other short titles 2, long ones 1."""
+    """0 no title, else by the first pattern that fits; a number and a point is level 3, however many numbers follow; other short titles 2, long ones 1."""
     t = clean_text(text)
-    dotted = F.regexp_extract(t, r"^(\d+(?:\.\d+)+)", 1)
-    level = (
-        F.when(t.rlike(r"^[一二三四五六七八九十]+、"), 1)
-        .when(t.rlike(r"^[（(][一二三四五六七八九十\d]+[）)]"), 2)
-        .when(t.rlike(r"^\d+[、.](?!\d)"), 3)
-        .when(dotted != "", F.length(dotted) - F.length(F.replace(dotted, F.lit("."), F.lit(""))) + 3)
-        .when(F.length(t) <= 18, 2)
-        .otherwise(1)
-    )
+    level = None
+    for pattern, n in TITLE_LEVELS:
+        level = F.when(t.rlike(pattern), n) if level is None else level.when(t.rlike(pattern), n)
+    level = level.when(t.rlike(BARE_NUMBER_TITLE), BARE_NUMBER_LEVEL).when(F.length(t) <= SHORT_TITLE, SHORT_LEVEL).otherwise(LONG_LEVEL)
     return F.when(is_structural_title(t), level).otherwise(0)

@@ -10,9 +10,6 @@ from quillspark.functions import text as T
 # What marks noise, and how often an edge text must repeat.
 EDGE_LENGTH, EDGE_REPEATS, EDGE_TOP, EDGE_BOTTOM = 80, 3, 0.08, 0.92
 DEFAULT_SECTION = "正文"
-TERMINAL_TITLES = ("免责声明", "分析师声明", "评级说明", "法律声明", "投资评级说明")
-RELATED_TITLE = r"相关研究|相关报告"
-RISK = r"风险提示|风险因素"
 SOURCE_ONLY = r"^(资料来源|数据来源|来源)"
 
 
@@ -37,13 +34,6 @@ def page_edge(top: Column, bottom: Column, height: Column) -> Column:
     return (top <= EDGE_TOP * height) | (bottom >= EDGE_BOTTOM * height)
 
 
-def repeated_on_pages(blocks: DataFrame, repeats: int = 2, share: float = 0.3) -> DataFrame:
-    """Keys on that many distinct pages and that share of a document's pages."""
-    pages = blocks.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    keys = blocks.groupBy("doc_id", T.edge_key("text").alias("key")).agg(F.count_distinct("page").alias("n")).where("key != ''")
-    return keys.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(repeats), F.ceil(share * F.col("pages")))).select("doc_id", "key", "n")
-
-
 def noise_reason(text: Column, kind: Column) -> Column:
     """Why a block is noise by itself; null if it is not. The first rule that holds counts."""
     t = T.clean_text(text)
@@ -57,35 +47,6 @@ def noise_reason(text: Column, kind: Column) -> Column:
     )
 
 
-def clean_blocks(blocks: DataFrame) -> DataFrame:
-    """Adds ``reason`` (null: kept) by the ordered rules, with regions that a title opens.
-
-    A related-reports title drops what follows up to the next other title; a terminal
-    title drops all that follows; a text on risks is always kept and ends either. Which
-    region a block is in follows from the last marker before it.
-    """
-    t, kind = T.clean_text("text"), F.col("type")
-    title = kind == "title"
-    risk = (kind == "text") & t.rlike(RISK)
-    related, terminal = title & t.rlike(RELATED_TITLE), title & F.regexp_replace(t, "^[：:;；]+|[：:;；]+$", "").isin(*TERMINAL_TITLES)
-    rows = blocks.withColumns({"risk__": risk, "related__": related, "terminal__": terminal, "other__": title & ~related & ~terminal})
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # a terminal region outlasts titles, so islands are cut at risk texts first
-    rows = rows.withColumn("island__", F.coalesce(F.sum(F.col("risk__").cast("int")).over(before), F.lit(0)))
-    inside = Window.partitionBy("doc_id", "island__").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("after_terminal__", F.coalesce(F.max(F.col("terminal__").cast("int")).over(inside), F.lit(0)) == 1)
-    marker = F.when(F.col("related__"), "related").when(F.col("other__"), "title")
-    rows = rows.withColumn("region__", F.last(marker, True).over(inside))
-    reason = (
-        F.coalesce(noise_reason(F.col("text"), kind), F.lit(None).cast("string")),
-        F.when(F.col("related__"), "related_report_title").when(F.col("terminal__"), "terminal_section_title"),
-        F.when(F.col("after_terminal__"), "terminal_section_block").when((F.col("region__") == "related") & kind.isin("text", "title") & ~F.col("other__"), "related_report_block"),
-    )
-    rows = rows.withColumn("reason", F.when(F.col("risk__"), F.lit(None)).otherwise(F.coalesce(*reason)))
-    return rows.drop("risk__", "related__", "terminal__", "other__", "island__", "after_terminal__", "region__")
-
-
 def assign_sections(blocks: DataFrame, level: Column | None = None) -> DataFrame:
     """Adds section and subsection: titles carried forward, each level resetting those below."""
     lv = F.when(F.col("type") == "title", T.title_level("text") if level is None else level).otherwise(0)
@@ -109,16 +70,6 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0)) / width
 
 
-def columns_of_page(lines: DataFrame, width: str = "width") -> DataFrame:
-    """doc_id, page, split: where two columns part, at the widest gap of x0 with four lines on either side; null if there is none."""
-    w = Window.partitionBy("doc_id", "page").orderBy("x0", "ord")
-    rows = lines.withColumn("next", F.lead("x0").over(w)).withColumn("n", F.row_number().over(w))
-    rows = rows.withColumn("total", F.count("*").over(Window.partitionBy("doc_id", "page")))
-    gap, at = F.col("next") - F.col("x0"), (F.col("next") + F.col("x0")) / 2
-    able = (F.col("n") >= 4) & (F.col("total") - F.col("n") >= 4) & (gap >= 0.09 * F.col(width)) & at.between(0.20 * F.col(width), 0.75 * F.col(width))
-    return rows.groupBy("doc_id", "page").agg(F.max_by(F.when(able, at), F.when(able, gap)).alias("split"))
-
-
 def nearest_texts(anchors: DataFrame, texts: DataFrame, count: int = 3) -> DataFrame:
     """anchor, side, n, text: the closest texts above and below each anchor on its page (columns doc_id, page, top, bottom)."""
     a = anchors.select("doc_id", "page", F.col("block_id").alias("anchor"), F.col("top").alias("a_top"), F.col("bottom").alias("a_bottom"))
@@ -128,3 +79,31 @@ def nearest_texts(anchors: DataFrame, texts: DataFrame, count: int = 3) -> DataF
     w = Window.partitionBy("doc_id", "anchor", "side").orderBy("distance", "block_id")
     rows = pairs.withColumn("side", side).withColumn("distance", distance).where("side IS NOT NULL").withColumn("n", F.row_number().over(w))
     return rows.where(F.col("n") <= count).select("doc_id", "anchor", "side", "n", "text")
+
+
+def surrounding_sentences(anchors: DataFrame, texts: DataFrame, limit: int = 3, blocks: int = 3) -> DataFrame:
+    """doc_id, anchor, context: the ``limit`` sentences closest to each anchor on its page, in order: those above it first, then those below.
+
+    anchors, texts: doc_id, page, block_id, x0, top, bottom (texts: text). Sentences of the
+    ``blocks`` nearest blocks on either side count, each once; anchors without any are left out.
+    """
+    near = nearest_blocks(anchors, texts, blocks)
+    parts = near.select("doc_id", "anchor", "side", F.col("n").alias("k"), F.posexplode(F.transform(T.split_sentences("text"), T.clean_text)).alias("at", "s"))
+    # above, the nearest block's last sentence comes first; below, the nearest block's first
+    order = Window.partitionBy("doc_id", "anchor").orderBy(F.col("side") != "above", "k", F.when(F.col("side") == "above", -F.col("at")).otherwise(F.col("at")))
+    first = parts.withColumn("o", F.row_number().over(order)).groupBy("doc_id", "anchor", "s").agg(F.min(F.struct("o", "side")).alias("m"))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "anchor").orderBy("m.o"))).where(F.col("r") <= limit)
+    place = F.when(F.col("m.side") == "above", -F.col("r")).otherwise(F.col("r"))
+    rows = ranked.groupBy("doc_id", "anchor").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "s"))).alias("parts"))
+    return rows.select("doc_id", "anchor", F.array_join(F.transform("parts", lambda p: p["s"]), " ").alias("context"))
+
+
+def nearest_blocks(anchors: DataFrame, texts: DataFrame, count: int) -> DataFrame:
+    """doc_id, anchor, side, n, text: the ``count`` texts of a page before each anchor, and after it, in order of their tops; n counts from the anchor."""
+    a = anchors.select("doc_id", "page", F.col("block_id").alias("anchor"), F.col("top").alias("a_top"), F.col("bottom").alias("a_bottom"))
+    pairs = a.join(texts.select("doc_id", "page", "block_id", "x0", "top", "bottom", "text"), ["doc_id", "page"])
+    side = F.when(F.col("bottom") <= F.col("a_top"), "above").when(F.col("top") >= F.col("a_bottom"), "below")
+    rows = pairs.withColumn("side", side).where("side IS NOT NULL").withColumn("up", F.col("side") == "above")
+    key = lambda c: F.when(F.col("up"), -F.col(c)).otherwise(F.col(c))
+    w = Window.partitionBy("doc_id", "anchor", "side").orderBy(key("top"), key("x0"), "block_id")
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= count).select("doc_id", "anchor", "side", "n", "text")

@@ -58,9 +58,10 @@ def first_match(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
 def rollup_means(per_query: DataFrame, by: str, metrics: list[str], total: str = "average", digits: int = 6) -> DataFrame:
     """``by``, n and the mean of each metric, for each value and over all (``total``); missing and NaN values don't count, and n_<metric> says how many do."""
     clean = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
-    return per_query.rollup(by).agg(
-        F.count("*").alias("n"), *(F.round(F.avg(clean(m)), digits).alias(m) for m in metrics), *(F.count(clean(m)).alias(f"n_{m}") for m in metrics)
-    ).withColumn(by, F.coalesce(by, F.lit(total)))
+    rows = per_query.rollup(by).agg(
+        F.grouping(by).alias("all__"), F.count("*").alias("n"), *(F.round(F.avg(clean(m)), digits).alias(m) for m in metrics), *(F.count(clean(m)).alias(f"n_{m}") for m in metrics)
+    )
+    return rows.withColumn(by, F.when(F.col("all__") == 1, F.lit(total)).otherwise(F.col(by))).drop("all__")
 
 
 def winners(means: DataFrame, routes: tuple[str, str], metric: str) -> DataFrame:
@@ -68,3 +69,28 @@ def winners(means: DataFrame, routes: tuple[str, str], metric: str) -> DataFrame
     wide = means.groupBy("group").pivot("route", list(routes)).agg(F.first(metric))
     a, b = (F.col(r) for r in routes)
     return wide.withColumn("winner", F.when(F.abs(a - b) <= 1e-12, "tie").when(a > b, routes[0]).otherwise(routes[1]))
+
+
+def matched_components(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, rank, id, matched: for each hit the components, and groups of equivalent evidence in them, that it holds a pair of.
+
+    hits: query_id, rank, id, doc_id, block_ids; gold: query_id, component, group_id,
+    doc_id, block_id. matched: array<struct<component, group_id, block_ids>> in order,
+    empty for a hit that matches nothing.
+    """
+    pairs = hits.select("query_id", "rank", "id", "doc_id", F.explode("block_ids").alias("block_id"))
+    found = pairs.join(gold.select("query_id", "component", "group_id", "doc_id", "block_id").distinct(), ["query_id", "doc_id", "block_id"])
+    groups = found.groupBy("query_id", "id", "component", "group_id").agg(F.array_sort(F.collect_set("block_id")).alias("block_ids"))
+    report = groups.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("component", "group_id", "block_ids"))).alias("matched"))
+    rows = hits.select("query_id", "rank", "id").join(report, ["query_id", "id"], "left")
+    empty = F.array().cast(report.schema["matched"].dataType)
+    return rows.select("query_id", "rank", "id", F.coalesce("matched", empty).alias("matched"))
+
+
+def comparison(means: DataFrame, routes: list[str], metrics: list[str], group: str = "query_type") -> DataFrame:
+    """group, metric, a column per route, best: the route of the highest mean, the first of those within 1e-12 of it."""
+    long = means.select(group, "route", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))))
+    wide = long.groupBy(group, "metric").pivot("route", routes).agg(F.first("value"))
+    top = F.greatest(*(F.col(r) for r in routes)) if len(routes) > 1 else F.col(routes[0])
+    best = F.coalesce(*(F.when(top - F.col(r) <= 1e-12, F.lit(r)) for r in routes))
+    return wide.withColumn("best", best)

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def test_text_functions(spark):
     assert one(spark, T.normalize_query(x), "甲，乙？ c:d") == "甲 乙 c d"
     assert one(spark, T.first_nonempty_line(x), "\n \n b \nc") == "b"
     assert one(spark, T.title_from_id(x), "12_2024-01-02_a_b") == "a b"
-    assert [one(spark, T.title_level(x), t) for t in ("一、总论", "（二）分论", "3、细节", "2.1.3 节", "短标题", "这是一个句子。")] == [1, 2, 3, 5, 2, 0]
+    assert [one(spark, T.title_level(x), t) for t in ("一、总论", "（二）分论", "3、细节", "2.1.3 节", "短标题", "这是一个句子。")] == [1, 2, 3, 3, 2, 0]
     assert one(spark, T.tokens(x), None) == [] and one(spark, T.token_count(x), None) == 0
 
 
@@ -72,8 +73,48 @@ def test_sections_and_cleaning(spark):
     df = spark.createDataFrame(rows, "doc_id int, ord int, page int, type string, text string")
     got = {r.ord: (r.section, r.subsection) for r in blocks.assign_sections(df).collect()}
     assert got[1] == ("一、总论", "") and got[3] == ("一、总论", "（一）分论") and got[7] == ("二、其他", "")
-    why = {r.ord: r.reason for r in blocks.clean_blocks(df).collect()}
-    assert [why[k] for k in range(12)] == [None, None, None, None, "related_report_title", "related_report_block", None, None, "terminal_section_title", "terminal_section_block", None, "empty"]
+    lone = spark.createDataFrame([(None, 1.0), ("a", 2.0), ("a", 4.0)], "kind string, value double")
+    means = {r.kind: (r.n, r.value) for r in evaluation.rollup_means(lone, "kind", ["value"]).collect()}
+    assert means == {None: (1, 1.0), "a": (2, 3.0), "average": (3, round(7 / 3, 6))}
+
+
+def plain_pack(units, size, overlap):
+    """Packing by its definition, a unit at a time."""
+    out, held, seed, page = [], [], "", 0
+
+    def text_of():
+        return "\n\n".join(t for t in [seed, *(u[0] for u in held)] if t)
+
+    for unit in [*units, None]:
+        spent = chunking.count_tokens(seed) + sum(chunking.count_tokens(u[0]) for u in held)
+        if held and (unit is None or spent + chunking.count_tokens(unit[0]) > size):
+            text, pages = text_of(), [p for p in [page, *(u[2] for u in held)] if p]
+            out.append((text, [b for u in held for b in u[1]], min(pages), max(pages)))
+            seed, page, held = chunking.overlap_tail(text, overlap), max(pages), []
+        if unit is not None:
+            held.append(unit)
+    return out
+
+
+def test_chunks_equal_a_plain_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for doc in range(6):
+        for k in range(int(rng.integers(0, 25))):
+            words = " ".join(f"w{x}" + ("。" if x % 7 == 0 else "") for x in rng.integers(0, 50, int(rng.integers(0, 40))))
+            rows.append((doc, "s" if k % 9 else "t", "", k, 1 + k // 4, f"b{k}", words))
+    units = spark.createDataFrame(rows, "doc_id long, section string, subsection string, ord int, page int, block_id string, text string")
+    got = {}
+    for r in chunking.chunk_sections(units, 30, 8).orderBy("doc_id", "section", "chunk_no").collect():
+        got.setdefault((r.doc_id, r.section), []).append((r.text, r.block_ids, r.page_start, r.page_end))
+    want = {}
+    for key in sorted({(r[0], r[1]) for r in rows}):
+        items = []
+        for r in (r for r in rows if (r[0], r[1]) == key):
+            items += [(p, [r[5] if n == 0 else f"{r[5]}#part{n + 1}"], r[4]) for n, p in enumerate(chunking.split_long(r[6], 30))]
+        if items:
+            want[key] = [(t.strip(), list(dict.fromkeys(b)), x, y) for t, b, x, y in plain_pack(items, 30, 8)]
+    assert got == want and any("#part2" in b for chunks in got.values() for c in chunks for b in c[1])
 
 
 def test_chunk_packing():

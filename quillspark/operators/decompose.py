@@ -14,12 +14,29 @@ SUMMARY_WORDS = ("以及", "一下", "和", "与", "及", "、")
 PLANS = {"compare": (2, 25, 5), "summary": (3, 15, 4)}
 
 
+#: Parts of a document id that hold one of these are no names.
+NO_NAMES = ("证券", "研究院", "大学", "行业", "周报", "点评", "策略", "计算机", "电子", "公用事业", "互联网")
+
+
 def entity_dictionary(names: DataFrame, column: str) -> DataFrame:
     """Distinct names of two characters and more, longest first."""
     name = T.strip(column)
     return names.select(name.alias("name")).where(F.length("name") >= 2).distinct().orderBy(F.desc(F.length("name")), "name")
 
 
+def names_of_documents(docs: DataFrame) -> DataFrame:
+    """name: the companies of documents (doc_id, company), and the parts of their ids that read like names, each once.
+
+    A part is what stands between underscores, without digits; names have two characters
+    and more, an ideograph, and none of the words of NO_NAMES.
+    """
+    part = T.strip(F.regexp_replace("part", r"\d+", ""))
+    parts = docs.select(F.explode(F.split(F.col("doc_id").cast("string"), "_")).alias("part")).select(part.alias("name"))
+    parts = parts.where((F.length("name") >= 2) & F.col("name").rlike("[一-鿿]") & ~F.col("name").rlike("|".join(NO_NAMES)))
+    companies = docs.select(T.strip("company").alias("name")).where("name != ''")
+    return companies.unionByName(parts).distinct()
+
+
 def entity_spans(query: Column, names: Column) -> Column:
     """array<struct<start, name>> by place: longest names first, each at its first place, none over another."""
     at = F.transform(names, lambda n: F.struct(F.instr(query, n).alias("start"), n.alias("name")))
@@ -66,6 +83,13 @@ def branches(planned: DataFrame) -> DataFrame:
     return planned.select("query_id", F.posexplode(parts).alias("branch", "query"))
 
 
+def planned_branches(planned: DataFrame) -> DataFrame:
+    """query_id, branch, query, query_type ("fact" without a plan), branch_candidate_k, branch_output_k (null without a plan)."""
+    parts = F.coalesce(F.col("plan.subqueries"), F.array("query"))
+    kind = F.coalesce("plan.query_type", F.lit("fact")).alias("query_type")
+    return planned.select("query_id", kind, F.col("plan.branch_candidate_k").alias("branch_candidate_k"), F.col("plan.branch_output_k").alias("branch_output_k"), F.posexplode(parts).alias("branch", "query"))
+
+
 def infer_type(query: Column, components: Column) -> Column:
     """summary, compare or fact: by cue words first, then by the number of gold components."""
     has = lambda cues: F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains(query, c))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from quillspark.session import new_path
+
 # The floor of a norm, and the lists an index probes.
 NORM_FLOOR, PROBES = 1e-12, 16
+#: Queries that are sent to every task at once; 4096 of 1024 dimensions are 32 MB.
+QUERY_BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,10 +31,28 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query_id, rank, id, score. vectors: id, v; queries: query_id, q; a stated set of queries that fits a task."""
-    rows = vectors.select("id", l2_normalize("v").alias("v")).crossJoin(F.broadcast(queries.select("query_id", l2_normalize("q").alias("q"))))
-    return _ranked(rows.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), digits).alias("score")), k)
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int | None = None) -> DataFrame:
+    """``search`` of all queries, a bounded block of them at a time; beyond one block each is a job that writes its hits."""
+    blocks = max(1, -(-queries.count() // (block or QUERY_BLOCK)))
+    if blocks == 1:
+        return search(queries)
+    path, schema = new_path(queries.sparkSession, "hits"), None
+    for n in range(blocks):
+        hits = search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
+        hits.write.parquet(f"{path}/block={n}")
+        schema = hits.schema
+    return queries.sparkSession.read.schema(schema).parquet(path)
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int | None = None) -> DataFrame:
+    """query_id, rank, id, score. vectors: id, v; queries: query_id, q, taken in blocks that are sent to every task."""
+    rows = vectors.select("id", l2_normalize("v").alias("v"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        pairs = rows.crossJoin(F.broadcast(asked.select("query_id", l2_normalize("q").alias("q"))))
+        return _ranked(pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), digits).alias("score")), k)
+
+    return in_blocks(queries, search, block)
 
 
 def nearest_lists(vectors: DataFrame, centroids: DataFrame, probes: int, key: str, vector: str) -> DataFrame:
@@ -39,16 +63,54 @@ def nearest_lists(vectors: DataFrame, centroids: DataFrame, probes: int, key: st
     return rows.where(F.col("n") <= probes).select(key, "list_id")
 
 
-def ivf_top_k(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int = PROBES, digits: int = 6) -> DataFrame:
-    """As exact_top_k over the rows of the ``probes`` lists closest to each query."""
-    # the closest list of each row, without a shuffle
+def assigned(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """id, v (of unit length), list_id of the closest centroid (list_id, c), without a shuffle; centroids are as few as ``list_count``."""
     lists = F.broadcast(centroids.agg(F.collect_list(F.struct("list_id", l2_normalize("c").alias("c"))).alias("lists")))
     rows = vectors.select("id", l2_normalize("v").alias("v")).crossJoin(lists)
     best = F.array_max(F.transform("lists", lambda x: F.struct(F.round(dot(F.col("v"), x["c"]), 9).alias("s"), (-x["list_id"]).alias("n"))))
-    rows = rows.select("id", "v", (-best["n"]).alias("list_id"))
-    probed = nearest_lists(queries, centroids, probes, "query_id", "q").join(F.broadcast(queries.select("query_id", l2_normalize("q").alias("q"))), "query_id")
-    hits = rows.join(F.broadcast(probed), "list_id")
-    return _ranked(hits.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), digits).alias("score")), k)
+    return rows.select("id", "v", (-best["n"]).alias("list_id"))
+
+
+def _probe(rows: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, digits: int, block: int | None) -> DataFrame:
+    def search(asked: DataFrame) -> DataFrame:
+        probed = nearest_lists(asked, centroids, probes, "query_id", "q").join(asked.select("query_id", l2_normalize("q").alias("q")), "query_id")
+        hits = rows.join(F.broadcast(probed), "list_id")  # a block of queries, each for its lists
+        return _ranked(hits.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), digits).alias("score")), k)
+
+    return in_blocks(queries, search, block or max(1, QUERY_BLOCK // max(1, probes)))
+
+
+def ivf_top_k(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int = PROBES, digits: int = 6, block: int | None = None) -> DataFrame:
+    """As exact_top_k over the rows of the ``probes`` lists closest to each query."""
+    return _probe(assigned(vectors, centroids), queries, centroids, k, probes, digits, block)
+
+
+class InvertedFile:
+    """An index on disk: vectors in a folder per list, so that a search reads the probed lists only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.centroids = spark.read.parquet(f"{path}/centroids")
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, lists: int | None = None, sample: int = 200_000) -> InvertedFile:
+        """Fits ``lists`` (by default the root of the rows) centroids on at most about ``sample`` rows, by hash of the id, and writes every row to its list."""
+        n = vectors.count()
+        share = min(1.0, sample / max(1, n))
+        chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else vectors
+        kmeans_centroids(chosen.where("v IS NOT NULL"), list_count(n, lists)).write.mode("overwrite").parquet(f"{path}/centroids")
+        index = cls(vectors.sparkSession, path)
+        rows = assigned(vectors.where("v IS NOT NULL"), index.centroids)
+        # a large list is written by several tasks
+        rows.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        return index
+
+    def search(self, queries: DataFrame, k: int, probes: int = PROBES, digits: int = 6) -> DataFrame:
+        """As exact_top_k, from the ``probes`` lists closest to each query."""
+        wanted = nearest_lists(queries, self.centroids, probes, "query_id", "q").select("list_id").distinct()
+        ids = [r.list_id for r in wanted.collect()]  # no more than there are lists
+        rows = self.spark.read.parquet(f"{self.path}/lists").where(F.col("list_id").isin(*ids) if ids else F.lit(False))
+        return _probe(rows, queries, self.centroids, k, probes, digits, None)
 
 
 def list_means(vectors: DataFrame, by: str, vector: str) -> DataFrame:

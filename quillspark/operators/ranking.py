@@ -23,21 +23,22 @@ def keep_first(hits: DataFrame, by: list[str], key: str, order: list[str]) -> Da
     return hits.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
 
 
-def branch_union(hits: DataFrame, per_branch: int, k: int) -> DataFrame:
+def branch_union(hits: DataFrame, per_branch: int, k: int, order: tuple[str, ...] = ("score",)) -> DataFrame:
     """Compare plans: each branch's first hits, each item once (by branch, then rank), best scores first."""
     rows = keep_first(hits.where(F.col("rank") <= per_branch), ["query_id"], "id", ["branch", "rank"])
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id").orderBy(*map(F.desc, order), "id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def quota_merge(hits: DataFrame, quota: int, extra: int, k: int) -> DataFrame:
+def quota_merge(hits: DataFrame, quota: int, extra: int, k: int, order: tuple[str, ...] = ("score",)) -> DataFrame:
     """Summary plans: ``quota`` hits of each branch, then the ``extra`` best left over that are not there yet, best scores first."""
     first = keep_first(hits.where(F.col("rank") <= quota), ["query_id"], "id", ["branch", "rank"])
     rest = hits.where(F.col("rank") > quota).join(first.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    rest = keep_first(rest, ["query_id"], "id", ["branch", "rank"])
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "branch", "id")
+    w = Window.partitionBy("query_id", "id").orderBy(*map(F.desc, order), "branch", "rank")
+    rest = rest.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
+    w = Window.partitionBy("query_id").orderBy(*map(F.desc, order), "branch", "id")
     rest = rest.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= extra).drop("n__")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id").orderBy(*map(F.desc, order), "id")
     return first.unionByName(rest).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 

@@ -173,7 +173,7 @@ _NORM = r"lower(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^\s+|\s+$'
 
 @_register(
     "claim_support",
-    rf"""WITH {_bm25_sql('', _BODY, _ASKED)}, c AS (SELECT query_id, rank, id, substr(b.text, 1, 60) AS claim, d.text AS cited FROM top JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = top.id WHERE rank <= 3),
+    rf"""WITH {_bm25_sql('', _BODY, _ASKED)}, c AS (SELECT query_id, rank, id, b.text AS claim, d.text AS cited FROM top JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = top.id WHERE rank <= 3),
 w AS (SELECT *, {_words_sql('claim')} AS asked, {_words_sql('cited')} AS there, regexp_extract_all(claim, '\d+(?:\.\d+)?%?') AS numbers,
   list_filter(regexp_split_to_array(claim, '[，。；、,:：\s]+'), lambda p: length(p) >= 4) AS phrases FROM c),
 s AS (SELECT *, len(list_intersect(asked, there)) AS shared FROM w)
@@ -183,7 +183,7 @@ SELECT query_id, CAST(rank AS BIGINT) AS rank, id, {_NORM.format('claim')} <> ''
 )
 def claim_support(spark: SparkSession, sf: str) -> DataFrame:
     rows = _body_hits(spark, sf, 3).join(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("cited")), "id")
-    rows = rows.join(F.broadcast(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("claim"))), "query_id")
+    rows = rows.join(F.broadcast(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("claim"))), "query_id")
     return rows.select("query_id", "rank", "id", evidence.claim_supported(F.col("claim"), F.col("cited")).alias("supported"))
 
 
@@ -212,15 +212,29 @@ def route_queries(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", evidence.route(F.col("text"), CHAT, DOMAIN, GENERAL).alias("decision"))
 
 
+_ASKED_OF_NATIONS = """asked AS (SELECT n_nationkey AS query_id, n_name AS a, lead(n_name) OVER (ORDER BY n_nationkey) AS b, lead(n_name, 2) OVER (ORDER BY n_nationkey) AS c FROM nation)"""
+
+
 @_register(
     "decompose_plan",
-    """SELECT 1 AS query_id, 0 AS branch, '甲公司 毛利率' AS query UNION ALL SELECT 1, 1, '乙公司 毛利率' UNION ALL
-SELECT 2, 0, '甲公司 经营情况' UNION ALL SELECT 2, 1, '乙公司 经营情况' UNION ALL SELECT 2, 2, '丙集团 经营情况' UNION ALL SELECT 3, 0, '甲公司的收入'""",
+    f"""WITH {_ASKED_OF_NATIONS}
+SELECT query_id, 0 AS branch, a || ' 毛利率 margin' AS query FROM asked WHERE query_id % 3 = 0 AND b IS NOT NULL UNION ALL SELECT query_id, 1, b || ' 毛利率 margin' FROM asked WHERE query_id % 3 = 0 AND b IS NOT NULL
+UNION ALL SELECT query_id, 0, a || ' 经营情况' FROM asked WHERE query_id % 3 = 1 AND c IS NOT NULL UNION ALL SELECT query_id, 1, b || ' 经营情况' FROM asked WHERE query_id % 3 = 1 AND c IS NOT NULL
+UNION ALL SELECT query_id, 2, c || ' 经营情况' FROM asked WHERE query_id % 3 = 1 AND c IS NOT NULL UNION ALL SELECT query_id, 0, '关于' || a || '的收入' FROM asked WHERE query_id % 3 = 2""",
 )
 def decompose_plan(spark: SparkSession, sf: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "甲公司和乙公司相比，毛利率谁更高？"), (2, "总结一下甲公司、乙公司与丙集团的经营情况。"), (3, "甲公司的收入")], "query_id int, query string")
-    names = spark.createDataFrame([("甲公司",), ("乙公司",), ("丙集团",), ("公司",)], "name string")
-    return decompose.branches(decompose.plan(asked, names))
+    """Each nation is asked about: compared with the next, summed up with the next two, or by itself."""
+    nation = read(spark, sf, "nation")
+    w = Window.orderBy("n_nationkey")  # a row per nation
+    rows = nation.select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("a"), F.lead("n_name").over(w).alias("b"), F.lead("n_name", 2).over(w).alias("c"))
+    kind = F.col("query_id") % 3
+    query = (
+        F.when((kind == 0) & F.col("b").isNotNull(), F.concat("a", F.lit("和"), "b", F.lit("相比，的毛利率 margin 谁更高？")))
+        .when((kind == 1) & F.col("c").isNotNull(), F.concat(F.lit("总结一下"), "a", F.lit("、"), "b", F.lit("与"), "c", F.lit("经营情况。")))
+        .when(kind == 2, F.concat(F.lit("关于"), "a", F.lit("的收入")))
+    )
+    asked = rows.select("query_id", query.alias("query")).where("query IS NOT NULL")
+    return decompose.branches(decompose.plan(asked, nation.select(F.col("n_name").alias("name"))))
 
 
 @_register("first_title_per_source", "SELECT source, arg_min(title, doc_id) AS title, count(*) AS docs FROM (SELECT source, doc_id, nullif(regexp_replace(string_split(text, chr(10))[1], '^\\s+|\\s+$', '', 'g'), '') AS title FROM documents) GROUP BY source")

@@ -1,7 +1,7 @@
 """Registered retrieval and evaluation queries, and the SQL each must equal.
 
 Documents are the corpus, benchmark passages the queries; a document that contains a
-passage is gold for it. Embeddings with vec_id below 20 are the vector queries.
+passage is gold for it. Embeddings with a vec_id divisible by 50 are the vector queries.
 """
 
 from __future__ import annotations
@@ -154,11 +154,35 @@ def per_source_cap(spark: SparkSession, sf: str) -> DataFrame:
     return capped.where(F.col("rank") <= K).select("query_id", "rank", "id", "source", "score")
 
 
-def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, component, id: the documents that contain a passage; the passages are a bounded set."""
+#: Passages up to which every document is searched for all of them; beyond, they meet by five of their words.
+BROADCAST_PASSAGES = 1000
+
+
+def gold(spark: SparkSession, sf: str, most: int = BROADCAST_PASSAGES) -> DataFrame:
+    """query_id, component, id: the documents that contain a passage."""
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    rows = read(spark, sf, "documents").join(F.broadcast(items), F.col("text").contains(F.col("passage")))
-    return rows.select("query_id", F.lit(0).alias("component"), F.col("doc_id").alias("id"))
+    rows = containing(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), items, most)
+    return rows.select("query_id", F.lit(0).alias("component"), "id")
+
+
+def containing(docs: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """docs (id, text) joined with the items (query_id, passage) that their texts contain.
+
+    Of more than ``most`` items those of seven words and more meet documents by their
+    second to sixth word, which stand whole in any text that contains them; the rest of
+    them, of at most six words each, are few kinds of text and are broadcast.
+    """
+    held = F.col("text").contains(F.col("passage"))
+    if items.count() <= most:
+        return docs.join(F.broadcast(items), held)
+    five = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, 5), " "))
+    words = lambda c: F.split(F.col(c), r"\s+")
+    long = F.size(words("passage")) >= 7
+    keyed = items.where(long).withColumn("key", five(words("passage"), F.lit(2)))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words("text")) - 4, F.lit(1))), lambda i: five(words("text"), i))
+    met = docs.select("id", F.explode(F.array_distinct(every)).alias("key")).join(keyed.select("key", "query_id", "passage"), "key")
+    found = met.select("id", "query_id", "passage").join(docs, "id").where(held)
+    return found.select("id", "text", "query_id", "passage").unionByName(docs.join(F.broadcast(items.where(~long)), held))
 
 
 _TWO_SQL = """two AS (SELECT query_id // 2 AS query_id, query_id % 2 AS component, id FROM gold),
@@ -217,12 +241,12 @@ def first_match_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _UNIT = "unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-12)) AS v FROM embeddings)"
-_DENSE = f"{_UNIT}, near AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.v, d.v), 6) AS score FROM unit q JOIN unit d ON q.vec_id < 20), hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank, id, score FROM near QUALIFY rank <= {K})"
+_DENSE = f"{_UNIT}, near AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.v, d.v), 6) AS score FROM unit q JOIN unit d ON q.vec_id % 50 = 0), hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank, id, score FROM near QUALIFY rank <= {K})"
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return rows, rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
 @_register("dense_topk", f"WITH {_DENSE} SELECT * FROM hits")
@@ -252,14 +276,14 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 _IVF = f"""{_UNIT}, means AS (SELECT label AS list_id, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
 cents AS (SELECT list_id, list_transform(c, lambda x: x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-12)) AS c FROM means),
 placed AS (SELECT vec_id, v, list_id FROM unit, cents QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, c), 9) DESC, list_id) = 1),
-probed AS (SELECT vec_id AS query_id, v AS q, list_id FROM unit, cents WHERE vec_id < 20 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, c), 9) DESC, list_id) <= 3),
+probed AS (SELECT vec_id AS query_id, v AS q, list_id FROM unit, cents WHERE vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, c), 9) DESC, list_id) <= 16),
 ivf AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank, id, score
   FROM (SELECT query_id, vec_id AS id, round(list_dot_product(q, v), 6) AS score FROM placed JOIN probed USING (list_id)) QUALIFY rank <= {K})"""
 
 
 def _ivf(spark: SparkSession, sf: str) -> DataFrame:
     rows, queries = _vectors(spark, sf)
-    return dense.ivf_top_k(rows, queries, materialize(dense.list_means(rows, "label", "v"), "centroids"), K, probes=3)
+    return dense.ivf_top_k(rows, queries, materialize(dense.list_means(rows, "label", "v"), "centroids"), K)
 
 
 @_register("ivf_topk", f"WITH {_IVF} SELECT * FROM ivf")
@@ -269,7 +293,7 @@ def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(
     "ann_overlap",
-    f"""WITH {_IVF}, near AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.v, d.v), 6) AS score FROM unit q JOIN unit d ON q.vec_id < 20),
+    f"""WITH {_IVF}, near AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.v, d.v), 6) AS score FROM unit q JOIN unit d ON q.vec_id % 50 = 0),
 hits AS (SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {K})
 SELECT h.query_id, round(count(i.id) / {K}, 6) AS overlap FROM hits h LEFT JOIN ivf i ON i.query_id = h.query_id AND i.id = h.id GROUP BY 1""",
 )

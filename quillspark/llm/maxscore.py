@@ -1,13 +1,14 @@
 """Exact top-k by inner product over sparse integer vectors, with MaxScore.
 
-A block of candidates is a shard: a list of weights per dimension, and the least and
-largest of each, which bound what the dimension can add to a query's score. A query's
-lists in order of their bounds are split so that those after the split together add
-less than a share of the k-th best score so far. The lists before it (essential) are
-traversed for all candidates; those after it are probed only for candidates whose sum
-so far, with all that is left, can still reach the k-th score. Every weight is signed,
-so partial sums are exact and the bounds hold for negative products too. Shards of a
-partition hand their k-th scores on; partitions merge by rank.
+A block of candidates is a shard: for each dimension a posting list of the candidates
+with a weight other than 0, and the least and largest weight, which bound what the list
+can add to a query's score. A query's lists in order of their bounds are split so that
+those after the split together add no more than a share of the k-th best score so far.
+The lists before it (essential) are traversed; those after it are only probed, one by
+one, for candidates whose sum so far, with all that the lists left can add, still reaches
+the k-th score. A shard whose bounds together stay below that score is skipped. Every
+weight is signed, so partial sums are exact and the bounds hold for negative products
+too. Shards of a partition hand their k-th scores on; partitions merge by rank.
 
 Queries are taken in blocks of bounded size, each against all rows.
 """
@@ -21,144 +22,227 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Queries of a block, sent to every task: 4096 of 64 dimensions are 2 MB.
-QUERY_BLOCK = 4096
+from quillspark.session import new_path
+
+#: Queries of a block, sent to every task: 16,384 of 64 dimensions are 8 MB.
+QUERY_BLOCK = 16_384
 #: Rows of a shard.
 SHARD = 16_384
-#: Queries that go through a shard together, rows that give the first floor, and the share of the floor that probed lists may add.
-TOGETHER, SEED, SHARE = 128, 2048, 0.25
-#: Components beyond it would leave the 53 bits in which sums are exact.
-_LIMIT = 1 << 20
-
-
-def quantise(values: list | None, scale: float) -> np.ndarray | None:
-    """floor(scale * x) of each component in double precision; None if null, or any component is null or not finite.
-
-    Components beyond 2**20 would leave 53 bits in a sum; they raise.
-    """
-    if values is None:
-        return None
-    x = np.array([np.nan if v is None else v for v in values], np.float64)
-    if not np.isfinite(x).all():
-        return None
-    x = np.floor(scale * x)
-    if len(x) and np.abs(x).max() > _LIMIT:
-        raise ValueError(f"components must be below {_LIMIT / scale:g}")
-    return x.astype(np.int64)
-
-
-def _matrix(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, rows): the usable vectors of (id, vector), short ones filled with 0."""
-    ids, rows = [], []
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        x = quantise(v, scale)
-        if x is not None and i is not None:
-            ids.append(i)
-            rows.append(x)
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width), np.int64)
-    for k, x in enumerate(rows):
-        out[k, : len(x)] = x
-    return np.array(ids, np.int64), out
+#: Rows that give a query its first k-th score, queries that do so together, and the share of that score which probed lists may add.
+SEED, TOGETHER, SHARE = 2048, 256, 0.25
+#: A list that holds fewer of its shard's rows than one in so many is kept as rows and weights, others as a column.
+SPARSE = 4
+#: Largest component of ordinary vectors; larger ones are scored apart, in integers of any size.
+ORDINARY = 1 << 20
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
+
+
+def quantised(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, rows): floor(scale * x) in double precision of the usable vectors of (id, vector), short ones filled with 0."""
+    ids, vectors = batch.column(0), batch.column(1)
+    size = np.asarray(vectors.value_lengths().fill_null(0), np.int64)
+    x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64)
+    row = np.repeat(np.arange(len(size)), size)
+    usable = np.asarray(ids.is_valid()) & np.asarray(vectors.is_valid())
+    usable[row[~np.isfinite(x)]] = False
+    width = int(size[usable].max()) if usable.any() else 0
+    out = np.zeros((len(size), width))
+    place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    keep = usable[row]
+    out[row[keep], place[keep]] = np.floor(scale * x[keep])
+    return np.asarray(ids.fill_null(0), np.int64)[usable], out[usable]
 
 
 class Shard:
-    """A block of candidates: a column of weights per dimension, and the least and largest weight of each."""
-
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix.astype(np.float64)
-        self.low, self.high = self.matrix.min(axis=0), self.matrix.max(axis=0)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, row, score) of all candidates that may be among the k best: those of at least the k-th score known.
-
-        floors: the k-th best score of each query so far, -inf where there are fewer.
-        """
-        width = min(queries.shape[1], self.matrix.shape[1])
-        q, rows = queries[:, :width].astype(np.float64), self.matrix[:, :width]
-        own = query_ids[:, None] == self.ids
-        # the k-th best of some rows is as good a floor
-        seed = q @ rows[:SEED].T
-        seed[own[:, :SEED]] = -np.inf
-        if seed.shape[1] >= k:
-            floors = np.maximum(floors, np.partition(seed, seed.shape[1] - k, axis=1)[:, seed.shape[1] - k])
-        # a dimension adds at most this; the lists of the smallest bounds are not essential
-        bound = np.maximum(q * self.low[:width], q * self.high[:width])
-        order = np.argsort(-bound, axis=1, kind="stable")
-        rest = np.cumsum(np.take_along_axis(bound, order, axis=1)[:, ::-1], axis=1)[:, ::-1]  # what the lists from there on can add
-        allowed = np.where(np.isfinite(floors), np.maximum(floors, 0.0), 0.0) * SHARE
-        spare = (rest <= allowed[:, None]) & (rest >= 0)
-        spare = np.logical_and.accumulate(spare[:, ::-1], axis=1)[:, ::-1]
-        left_over = np.where(spare.any(axis=1), np.take_along_axis(rest, np.minimum(spare.argmax(axis=1), width - 1)[:, None], axis=1)[:, 0], 0.0)
-        probed = np.zeros(q.shape, bool)
-        np.put_along_axis(probed, order, spare, axis=1)
-        # essential lists are traversed for all rows
-        partial = np.where(probed, 0.0, q) @ rows.T
-        partial[own] = -np.inf
-        i, j = np.nonzero((partial + left_over[:, None] >= floors[:, None]) & ~own)
-        # the others are probed for those that are still competitive
-        score = partial[i, j]
-        late = np.where(probed, q, 0.0)
-        for at in range(0, len(i), 1 << 15):
-            part = slice(at, at + (1 << 15))
-            score[part] += np.einsum("pd,pd->p", late[i[part]], rows[j[part]])
-        keep = score >= floors[i]
-        return i[keep], j[keep], score[keep].astype(np.int64)
-
-
-def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query: by score, then by id."""
-    order = np.lexsort((ids, -scores, query))
-    query, ids, scores = query[order], ids[order], scores[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    keep = place < k
-    return query[keep], ids[keep], scores[keep]
+    """The posting lists of a block of candidates with ordinary weights."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, kind: type = np.float64):
+        self.ids, self.n, self.width = ids, len(ids), rows.shape[1]
+        self.low, self.high = rows.min(axis=0), rows.max(axis=0)  # with 0 for candidates that a list leaves out
+        held = np.count_nonzero(rows, axis=0)
+        self.whole = held * SPARSE >= self.n
+        self.at = np.cumsum(self.whole) - 1  # of a whole list: its column
+        self.columns = np.ascontiguousarray(rows[:, self.whole].T.astype(kind))
+        self.postings = {int(d): (r := np.flatnonzero(rows[:, d]), rows[r, d]) for d in np.flatnonzero(~self.whole & (held > 0))}
+
+    def traverse(self, query: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The sum over these lists for all candidates."""
+        whole = lists[self.whole[lists]]
+        total = (query[whole].astype(self.columns.dtype) @ self.columns[self.at[whole]]).astype(np.float64) if len(whole) else np.zeros(self.n)
+        for d in lists[~self.whole[lists]].tolist():
+            if d in self.postings:
+                rows, weights = self.postings[d]
+                total[rows] += query[d] * weights
+        return total
+
+    def probe(self, d: int, rows: np.ndarray) -> np.ndarray:
+        """The weights of list ``d`` for these candidates."""
+        if self.whole[d]:
+            return self.columns[self.at[d], rows].astype(np.float64)
+        out = np.zeros(len(rows))
+        if d in self.postings:
+            held, weights = self.postings[d]
+            at = np.minimum(np.searchsorted(held, rows), len(held) - 1)
+            there = held[at] == rows
+            out[there] = weights[at[there]]
+        return out
+
+    def seeds(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """For each query a score that k candidates reach, -inf where the first SEED rows are too few."""
+        n, floors = min(SEED, self.n), np.full(len(queries), -np.inf)
+        if n < k:
+            return floors
+        for a in range(0, len(queries), TOGETHER):
+            part = queries[a : a + TOGETHER]
+            score = part[:, self.whole].astype(self.columns.dtype) @ self.columns[:, :n]
+            score = score.astype(np.float64)
+            for d, (rows, weights) in self.postings.items():
+                few = rows < n
+                score[:, rows[few]] += part[:, d, None] * weights[few]
+            score[query_ids[a : a + TOGETHER, None] == self.ids[:n]] = -np.inf
+            floors[a : a + TOGETHER] = np.partition(score, n - k, axis=1)[:, n - k]
+        return floors
+
+    def search(self, query_id: int, query: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the candidates that score ``floor`` or more. query: of the shard's width."""
+        bound = np.maximum(query * self.low, query * self.high)
+        order = np.argsort(-bound, kind="stable")
+        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)  # what the lists from there on can add
+        if rest[0] < floor:
+            return np.empty(0, np.int64), np.empty(0)
+        split = int(np.argmax(rest <= max(floor, 0.0) * SHARE)) if floor > -np.inf else self.width
+        score = self.traverse(query, order[:split])
+        at = np.flatnonzero(score + rest[split] >= floor)
+        at = at[self.ids[at] != query_id]
+        score = score[at]
+        for n in range(split, self.width):
+            if not len(at):
+                break
+            d = int(order[n])
+            score += query[d] * self.probe(d, at)
+            competitive = score + rest[n + 1] >= floor
+            if not competitive.all():
+                at, score = at[competitive], score[competitive]
+        return at, score
+
+
+def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of each query and row in integers of any size; those beyond 64 bits count as the largest, or least, of 64 bits."""
+    width = min(queries.shape[1], rows.shape[1])
+    whole = lambda x: np.array([[int(c) for c in r[:width]] for r in x], object).reshape(len(x), width)
+    score = whole(queries).dot(whole(rows).T) if width else np.zeros((len(queries), len(rows)), object)
+    return np.array([[min(max(int(s), _LEAST), _MOST) for s in r] for r in score], np.int64).reshape(len(queries), len(rows))
+
+
+class Best:
+    """The k best candidates of each query so far: by score, then by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64))] * queries
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(ids):
+            return
+        ids, scores = (np.concatenate(x) for x in zip(self.found[query], (ids, scores.astype(np.int64))))
+        order = np.lexsort((ids, ~scores))[: self.k]  # ~s is -s - 1, which no s overflows
+        self.found[query] = ids[order], scores[order]
+
+    def floor(self, query: int) -> float:
+        """No more than the k-th score, -inf where there are fewer."""
+        scores = self.found[query][1]
+        return float(scores[-1]) if len(scores) == self.k else -np.inf
+
+
+def _fitted(rows: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` components, missing ones as 0."""
+    return rows[:, :width] if rows.shape[1] >= width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
 def _search(queries, k: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = queries.value
-        empty = np.empty(0, np.int64)
-        best = [(empty, empty, empty)] * -(-len(ids) // TOGETHER)
+        query_ids, asked = queries.value
+        best = Best(len(query_ids), k)
+        large = np.abs(asked).max(axis=1, initial=0) > ORDINARY
+        usual = np.flatnonzero(~large)
+
+        def shard(ids: np.ndarray, rows: np.ndarray) -> None:
+            huge = np.abs(rows).max(axis=1, initial=0) > ORDINARY
+            # what is not ordinary meets everything, one by one; then the rest
+            for q, r in ((np.flatnonzero(large), np.arange(len(ids))), (usual, np.flatnonzero(huge))):
+                for a in range(0, len(r) if len(q) else 0, 256):
+                    part = r[a : a + 256]
+                    for b in range(0, len(q), 256):
+                        for n, scores in zip(q[b : b + 256].tolist(), _exact(asked[q[b : b + 256]], rows[part])):
+                            other = ids[part] != query_ids[n]
+                            best.add(n, ids[part][other], scores[other])
+            ids, rows = ids[~huge], rows[~huge]
+            if not len(ids) or not len(usual):
+                return
+            peak = rows.shape[1] * np.abs(rows).max(initial=0) * np.abs(asked[usual]).max(initial=0)
+            lists = Shard(ids, rows, np.float32 if peak < 1 << 24 else np.float64)  # either holds all sums exactly
+            wanted = _fitted(asked[usual], lists.width)
+            floors = np.array([best.floor(n) for n in usual.tolist()])
+            new = np.flatnonzero(floors == -np.inf)
+            floors[new] = lists.seeds(query_ids[usual[new]], wanted[new], k)
+            for n, query, floor in zip(usual.tolist(), wanted, floors.tolist()):
+                at, scores = lists.search(int(query_ids[n]), query, floor)
+                best.add(n, ids[at], scores)
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                shard = Shard(*_matrix(batch.slice(at, SHARD), scale)) if batch.num_rows else None
-                if shard is None or not len(shard.ids):
-                    continue
-                for n, (query, found, scores) in enumerate(best):
-                    part = slice(n * TOGETHER, (n + 1) * TOGETHER)
-                    floors = np.full(len(ids[part]), -np.inf)
-                    full = np.flatnonzero(np.bincount(query, minlength=len(floors)) == k)
-                    floors[full] = scores[np.searchsorted(query, full, "right") - 1]
-                    i, j, more = shard.search(ids[part], matrix[part], k, floors)
-                    best[n] = _best(np.concatenate((query, i)), np.concatenate((found, shard.ids[j])), np.concatenate((scores, more)), k)
-        for n, (query, found, scores) in enumerate(best):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[n * TOGETHER + query]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+            held.append(quantised(batch, scale))
+            if sum(len(i) for i, _ in held) >= SHARD:
+                shard(*_joined(held))
+                held = []
+        if held:
+            shard(*_joined(held))
+        for a in range(0, len(query_ids), 4096):
+            part = best.found[a : a + 4096]
+            sizes = [len(i) for i, _ in part]
+            if sum(sizes):
+                columns = np.repeat(query_ids[a : a + 4096], sizes), *(np.concatenate(x) for x in zip(*part))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0) -> DataFrame:
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    width = max(rows.shape[1] for _, rows in held)
+    return np.concatenate([i for i, _ in held]), np.concatenate([_fitted(rows, width) for _, rows in held])
+
+
+HITS = "query_id long, vec_id long, score long"
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows, ties to the smaller vec_id.
 
     vectors, queries: vec_id, embedding (others are ignored). A vector that is null, or
     holds a null or non-finite component, or has a null vec_id, takes no part; of
-    vectors of different length the missing components are 0. A row is no candidate for
-    queries of its own vec_id. Rows that repeat a vec_id are candidates each; a query
-    that repeats one is taken once, the first of its vectors in order. Fewer than k
-    candidates are all returned; without queries the result is empty.
+    vectors of different length the missing components are 0, and an empty vector
+    scores 0. A score beyond 64 bits is the largest, or least, of 64 bits. A row is no
+    candidate for queries of its own vec_id. Rows that repeat a vec_id are candidates
+    each; a query that repeats one is taken once, the first of its vectors in order.
+    Fewer than k candidates are all returned; without queries the result is empty.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding").where("query_id IS NOT NULL AND embedding IS NOT NULL")
     asked = asked.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        part = mine.orderBy("query_id").toPandas()  # some QUERY_BLOCK rows
-        table = pa.RecordBatch.from_arrays([pa.array(part["query_id"], pa.int64()), pa.array([list(x) for x in part["embedding"]], pa.list_(pa.float64()))], names=["i", "x"])
-        hits = rows.mapInArrow(_search(spark.sparkContext.broadcast(_matrix(table, scale)), k, scale), "query_id long, vec_id long, score long")
-        found = hits if found is None else found.unionByName(hits)
+    blocks = max(1, -(-asked.count() // block))
+
+    def hits(mine: DataFrame) -> DataFrame:
+        table = mine.orderBy("query_id").toArrow().combine_chunks()  # some ``block`` rows
+        batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+        return rows.mapInArrow(_search(spark.sparkContext.broadcast(quantised(batch, scale)), k, scale), HITS)
+
+    if blocks == 1:
+        found = hits(asked)
+    else:  # a job for each block, so that neither the plan nor what is sent at once grows with the queries
+        path = new_path(spark, "hits")
+        for n in range(blocks):
+            hits(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).write.parquet(f"{path}/block={n}")
+        found = spark.read.schema(HITS).parquet(path)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

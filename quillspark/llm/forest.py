@@ -28,8 +28,8 @@ GROUP, LEAF = 8192, 256
 SAMPLE = 20_000
 #: Half-width of the band around a split that goes to both sides, and the most of its rows that it may take.
 SPILL, SPILL_SHARE = 0.02, 0.12
-#: Rows of one side of a block in which links are counted.
-BLOCK = 2048
+#: Rows of one side of a block in which links are counted, and of a strip of it that is held at once.
+BLOCK, STRIP = 4096, 512
 MAX_ROUNDS = 8
 
 
@@ -161,7 +161,8 @@ def forest_links(vectors: DataFrame, dims: int, least: float, trees: int = TREES
                 _fit(part, k, n, levels, cuts)
         if not cuts:
             break
-        placed = materialize(placed.mapInArrow(_route(spark.sparkContext.broadcast(cuts), dims), "tree int, node long, id long, v array<float>"), "routed")
+        schema = f"tree int, node long, id long, v {dict(vectors.dtypes)['v']}"
+        placed = materialize(placed.mapInArrow(_route(spark.sparkContext.broadcast(cuts), dims), schema), "routed")
         sizes = materialize(placed.groupBy("tree", "node").agg(F.count("*").alias("size")), "nodes")
         large = sizes.where(F.col("size") > group)
         small = placed.join(large, ["tree", "node"], "left_anti")
@@ -181,13 +182,17 @@ def _count_links(dims: int, least: float):
         x, copies, ids = _unit(pdf["v"].tolist(), dims), pdf["copies"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         n = np.zeros(len(pdf), np.int64)
-        if not len(right):
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
-            n = near @ copies
-        else:
-            near = x[left] @ x[right].T >= least
-            n[left], n[right] = near @ copies[right], copies[left] @ near
+        own = not len(right)
+        if own:
+            right = left
+        for k in range(0, len(left), STRIP):
+            rows = left[k : k + STRIP]
+            near = x[rows] @ x[right].T >= least
+            if own:
+                near[np.arange(len(rows)), np.arange(k, k + len(rows))] = False
+            else:
+                n[right] += copies[rows] @ near
+            n[rows] += near @ copies[right]
         return pd.DataFrame({"id": ids, "n": n})
 
     return run
@@ -203,7 +208,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = TREES,
     repeat a vec_id the smallest vector counts for all; rows of null vec_id link with
     nothing, have a null component_id and are kept.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
+    # floats stay as narrow as they are; anything else is compared as it is in double precision
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v"))
     usable = (
         F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
@@ -213,7 +220,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, trees: int = TREES,
     classes = materialize(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count("*").alias("copies")), "classes")
     dims = classes.agg(F.max(F.size("v"))).first()[0] or 1
     links = materialize(forest_links(classes.select("id", "v"), dims, least, trees, group), "links")
-    components = materialize(connected_components(links, "a", "b"), "components")
+    components = connected_components(links, "a", "b")
     # links inside components: blocks of a component against themselves and each other
     members = components.select(F.col("node").alias("id"), "component").unionByName(components.select(F.col("component").alias("id"), "component").distinct())
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))

@@ -194,8 +194,9 @@ def fold(doc_id: int | None, folds: int = 3) -> int:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: int | None = 1, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``limit`` labelled documents of other folds than ``held_out``.
 
-    Labels other than 0 and 1, and null ids, teach nothing; of a doc_id that repeats in
-    either table the first row found counts, and only if its labels agree.
+    Labels other than 0 and 1, and null ids, teach nothing; a doc_id whose labels differ
+    neither. Of texts that repeat a doc_id the one of the least statistics counts, in
+    whatever order they come.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     if held_out is not None:
@@ -213,7 +214,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: int
                 names=["doc_id", "y", "x"],
             )
 
-    rows = found.mapInArrow(run, "doc_id long, y int, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = found.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    rows = rows.toPandas().sort_values("doc_id")  # a row per doc_id of ``known``
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return x, rows["y"].to_numpy(float)
 

@@ -29,10 +29,15 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
 #: Bytes that the reader asks for at once; a record is held whole, the archive never.
 CHUNK = 1 << 20
+#: The longest block that a plain record may claim; a longer one is taken for damage.
+MOST_BYTES = 256 << 20
 #: Revisits up to which their list is broadcast (16 bytes each).
 BROADCAST_ROWS = 200_000
 GZIP = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d")
+NEXT_RECORD = re.compile(rb"\r\n\r\n(?=WARC/\d)")
+#: Bytes by which the reader goes on into a long block before it looks again for another record.
+STRIDE = 16 << 20
 #: Bytes that are inflated at once where a member is damaged.
 STEP = 4096
 DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -186,13 +191,20 @@ def _resync(window: _Bytes, skip: int, plain: int = 0) -> None:
         window.drop(len(window.held) - 8)
 
 
-def salvage(stream) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | None]]:
+def _follows(held: bytes, stop: int) -> bool:
+    """Whether a whole valid record begins behind a record's end within what should be the block that begins at ``stop``."""
+    return any(_parse(held, m.start() + 4) is not None for m in NEXT_RECORD.finditer(held, stop + 1))
+
+
+def salvage(stream, most_bytes: int = MOST_BYTES) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | None]]:
     """(place, bytes, status, headers, block) of a stream: status ``ok``, or ``gap`` for quarantined bytes.
 
     An empty stream has no rows; one without any valid record is a single gap. Records
     of a gzip member have its place and size. A member that holds anything but valid
     records is also a gap, as what it loses has no place of its own in the stream. Of a
-    member that fails its check, only records whose digest holds are valid.
+    member that fails its check, only records whose digest holds are valid. A plain
+    record that claims more than ``most_bytes``, or within whose block another valid
+    one begins before its end is seen, is damage.
     """
     window = _Bytes(stream)
     gap = None
@@ -215,9 +227,9 @@ def salvage(stream) -> Iterator[tuple[int, int, str, dict[str, str] | None, byte
                 stop = window.held.find(b"\r\n\r\n")
                 head = _headers(window.held[:stop]) if stop >= 0 else None
                 want = stop + 8 + int(head["content-length"]) if head else 0
-                if window.ended or want <= len(window.held) or want > need and re.search(rb"\r\n\r\nWARC/\d", window.held[stop:]):
+                if window.ended or want <= len(window.held) or want > most_bytes or want > need and _follows(window.held, stop):
                     break
-                need = want
+                need = min(want, need + STRIDE)
         if found:
             if gap is not None:
                 yield gap, window.at - gap, "gap", None, None

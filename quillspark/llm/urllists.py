@@ -1,10 +1,13 @@
 """URL filters: captures against dated lists, as of the time of each fetch.
 
 A list's history is a series of events, "add" or "remove" an entry on a day. An entry's
-events in order become validity intervals; a capture meets the entries whose interval
-holds its fetch time. Entries name a domain (with all below it) or one page (host and
-path). Distinct hosts are matched with domains first, so that a host with a third of all
-captures is matched once; a capture then looks up its host's intervals.
+events in order become validity intervals. Entries name a domain (with all below it) or
+one page (host and path). Distinct hosts are matched with domains first, so that a host
+with a third of all captures is matched once. The intervals of a host's (or page's)
+entries part time into epochs, each with the entries that hold throughout it; an as-of
+join then gives every capture the one epoch of its host, and of its page, that holds its
+fetch time. So a capture is never multiplied, and nothing is gathered for a host but its
+entries.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Hosts or pages with entries up to which they are broadcast (some 200 bytes each).
-BROADCAST_ROWS = 100_000
+from quillspark.session import materialize
+
+#: Measured bytes (as JSON) of the epochs of hosts or pages up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 EVENTS = "list_name string, policy string, kind string, entry string, action string, listed_on date"
@@ -55,11 +60,30 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.select("list_name", "policy", "kind", F.lower("entry").alias("entry"), F.col("listed_on").alias("since"), "until")
 
 
-def _lookup(captures: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds ``name``: the intervals of the capture's key; one row per key, so no capture is multiplied."""
-    held = found.groupBy(key).agg(F.collect_set(F.struct("list_name", "policy", "entry", "since", "until")).alias(name))
-    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
-    return captures.join(held, key, "left")
+def epochs(found: DataFrame, key: str) -> DataFrame:
+    """key, start, stop (null: open), n, lists, blocks, allows: the spans of time in which the same entries hold.
+
+    found: key, list_name, policy, entry, since, until. Spans without entries are left out.
+    """
+    found = found.select(key, "list_name", "policy", "entry", "since", "until").distinct()
+    cuts = found.select(key, F.explode(F.array("since", "until")).alias("start")).where("start IS NOT NULL").distinct()
+    cuts = cuts.withColumn("stop", F.lead("start").over(Window.partitionBy(key).orderBy("start")))
+    held = cuts.join(found, key).where("since <= start AND (until IS NULL OR until > start)")
+    return held.groupBy(key, "start", "stop").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_set("list_name")).alias("lists"),
+        F.bool_or(F.coalesce(F.col("policy") == "block", F.lit(False))).alias("blocks"), F.bool_or(F.coalesce(F.col("policy") == "allow", F.lit(False))).alias("allows"),
+    )
+
+
+def _as_of(captures: DataFrame, spans: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: the epoch of the capture's key that holds its fetch time; at most one does."""
+    spans = materialize(spans, f"epochs-{key}")
+    size = spans.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+    held = spans.select(F.col(key).alias("key__"), "start", "stop", F.struct("n", "lists", "blocks", "allows").alias(name))
+    at = F.col("fetched_on")
+    on = (captures[key] == F.col("key__")) & (F.col("start") <= at) & (F.col("stop").isNull() | (at < F.col("stop")))
+    return captures.join(held, on, "left").drop("key__", "start", "stop")
 
 
 def match_lists(captures: DataFrame, events: DataFrame) -> DataFrame:
@@ -75,16 +99,13 @@ def match_lists(captures: DataFrame, events: DataFrame) -> DataFrame:
     hosts = rows.select("host").where("host IS NOT NULL").distinct().withColumn("entry", F.explode(domains_of(F.col("host"))))
     by_host = hosts.join(spans.where("kind = 'domain'"), "entry")
     pages = spans.where("kind = 'page'").withColumn("page", listed_page(F.col("entry")))
-    rows = _lookup(_lookup(rows, by_host, "host", "of_host"), pages, "page", "of_page")
-    none = F.array().cast("array<struct<list_name:string,policy:string,entry:string,since:date,until:date>>")
-    both = F.concat(F.coalesce("of_host", none), F.coalesce("of_page", none))
-    active = F.filter(both, lambda e: (e["since"] <= F.col("fetched_on")) & (e["until"].isNull() | (F.col("fetched_on") < e["until"])))
-    rows = rows.select("page_id", "host", "fetched_on", F.when(F.col("fetched_on").isNotNull(), active).otherwise(none).alias("hits"))
-    has = lambda policy: F.exists("hits", lambda e: e["policy"] == policy)
+    rows = _as_of(_as_of(rows, epochs(by_host, "host"), "host", "of_host"), epochs(pages.where("page IS NOT NULL"), "page"), "page", "of_page")
+    either = lambda field: F.coalesce(F.col(f"of_host.{field}"), F.lit(False)) | F.coalesce(F.col(f"of_page.{field}"), F.lit(False))
+    none = F.array().cast("array<string>")
     return rows.select(
-        "page_id", "host", "fetched_on", F.size("hits").cast("long").alias("n_entries"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda e: e["list_name"]))), ",").alias("lists"),
-        (has("block") & ~has("allow")).alias("blocked"),
+        "page_id", "host", "fetched_on", (F.coalesce("of_host.n", F.lit(0)) + F.coalesce("of_page.n", F.lit(0))).cast("long").alias("n_entries"),
+        F.array_join(F.array_sort(F.array_union(F.coalesce("of_host.lists", none), F.coalesce("of_page.lists", none))), ",").alias("lists"),
+        (either("blocks") & ~either("allows")).alias("blocked"),
     )
 
 

@@ -10,31 +10,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import jaccard, packing, passages, quality
-from quillspark.session import materialize, read
+from quillspark.session import ensure_importable, materialize, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects; it learns from the labels of ``sf_dir`` that are not held out."""
-    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, read(ensure_importable(spark), sf_dir, "labels"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies."""
+    ensure_importable(spark)
     return jaccard.keep_one(docs)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand in an earlier document or place; n_chars follows the text."""
-    return passages.substring_dedup(docs).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    ensure_importable(spark)
+    return passages.cut_repeats(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences."""
     import public_tokenizers
 
+    ensure_importable(spark)
     return packing.pack_documents(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from quillspark.llm import words
 from quillspark.llm.jaccard import resolve, sketch
-from quillspark.session import materialize
+from quillspark.session import discard, materialize
 
 #: Words of a run of repeated paragraphs from which on it is removed.
 MIN_WORDS = 50
@@ -267,31 +267,34 @@ def repeated_paragraphs(docs: DataFrame, n_words: int, bands: int = BANDS, min_w
     """(para, doc_id, place): each repeated paragraph's or anchor's hash, and where the member that its class keeps stands."""
     groups = max(LEAST_GROUPS, int(n_words / 12 * (bands + 2) / PER_GROUP))
     blocks = docs.mapInArrow(_entries(groups, bands, min_words), "p int, block binary")
-    found = materialize(blocks.groupBy("p").applyInPandas(_collisions, "run long, band boolean, para long, doc_id long, place long"), "collisions")
-    exact = found.where("NOT band").select("para", "doc_id", "place")
-    near = found.where("band")
+    collided = materialize(blocks.groupBy("p").applyInPandas(_collisions, "run long, band boolean, para long, doc_id long, place long"), "collisions")
+    exact = collided.where("NOT band").select("para", "doc_id", "place")
+    near = collided.where("band")
     holders = near.groupBy("para").agg(F.min("doc_id").alias("doc_id"))
     wanted = holders.groupBy("doc_id").agg(F.collect_set("para").alias("wanted"))
-    found = docs.join(materialize(wanted, "wanted"), "doc_id").mapInArrow(
+    listed = materialize(wanted, "wanted")
+    found = docs.join(listed, "doc_id").mapInArrow(
         _paragraph_shingles, "para long, doc_id long, place long, h array<long>, sketch binary"
     )
     sets = materialize(found.groupBy("para").agg(*(F.min_by(c, F.struct("doc_id", "place")).alias(c) for c in ("doc_id", "place", "h", "sketch"))), "paragraphs")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, most: int | None) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("para").alias(side), F.col("h").alias(f"h{side}")), side)
         both = F.size(F.array_intersect("ha", "hb"))
         top, bottom = SIMILAR
-        return materialize(pairs.where(bottom * both >= top * (F.size("ha") + F.size("hb") - both)).select("a", "b").distinct(), "links")
+        return materialize(pairs.where(bottom * both >= top * (F.size("ha") + F.size("hb") - both)).select("a", "b").distinct(), "links", most, 20_000)
 
     runs = materialize(near.select("run", F.col("para").alias("doc_id")).distinct(), "runs")
-    components = materialize(resolve(runs, sets.select(F.col("para").alias("doc_id"), F.size("h").cast("long").alias("n_shingles"), "sketch"), verify), "components")
+    components = resolve(runs, sets.select(F.col("para").alias("doc_id"), F.size("h").cast("long").alias("n_shingles"), "sketch"), verify)
     # where each repeated paragraph stands first; then where its class does
     linked = components.select(F.explode(F.array("node", "component")).alias("para")).distinct().join(sets, "para").select("para", "doc_id", "place")
     first = exact.unionByName(linked).groupBy("para").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     named = first.join(components.withColumnRenamed("node", "para"), "para", "left").withColumn("class", F.coalesce("component", "para"))
     kept = named.groupBy("class").agg(F.min("at").alias("keep"))
-    return materialize(named.join(kept, "class").select("para", F.col("keep.doc_id").alias("doc_id"), F.col("keep.place").alias("place")), "repeated")
+    out = materialize(named.join(kept, "class").select("para", F.col("keep.doc_id").alias("doc_id"), F.col("keep.place").alias("place")), "repeated")
+    discard(collided, listed, sets, runs)
+    return out
 
 
 MARK = "para long, doc_id long, place long, span long"
@@ -397,7 +400,8 @@ def _marks(docs: DataFrame, repeated: DataFrame, min_words: int) -> DataFrame:
     held = materialize(held.groupBy("doc_id").agg(F.collect_list(F.struct("para", "place", "span", "k_doc", "k_place")).alias("marks")), "marks")
     ends = materialize(held.mapInArrow(_ends(reach), END), "ends")
     wanted = ends.groupBy(F.col("k_doc").alias("doc_id")).agg(F.collect_set(F.struct("k_place", "right", "anchor")).alias("wanted"))
-    contexts = docs.join(materialize(wanted, "contexts-wanted"), "doc_id").mapInArrow(_contexts(reach, min_words), CONTEXT)
+    wanted = materialize(wanted, "contexts-wanted")
+    contexts = docs.join(wanted, "doc_id").mapInArrow(_contexts(reach, min_words), CONTEXT)
     key = ["k_doc", "k_place", "right", "anchor"]
     contexts = materialize(contexts.where("octet_length(context) > 0"), "contexts")
     if contexts.count() <= BROADCAST_ROWS:
@@ -407,7 +411,9 @@ def _marks(docs: DataFrame, repeated: DataFrame, min_words: int) -> DataFrame:
         sides = ends.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
     sides = sides.groupBy("doc_id").agg(F.collect_list(F.struct("at", "right", "context")).alias("sides"))
     marks = F.transform("marks", lambda x: F.struct(x["para"].alias("para"), x["span"].alias("span")))
-    return materialize(held.select("doc_id", marks.alias("marks")).join(sides, "doc_id", "left"), "sides")
+    out = materialize(held.select("doc_id", marks.alias("marks")).join(sides, "doc_id", "left"), "sides")
+    discard(held, ends, wanted, contexts)
+    return out
 
 
 def _remove(text: str, raw: bytes, para: np.ndarray, span: np.ndarray, sides: list[dict], min_words: int) -> tuple[str, list[tuple[int, int, int]]]:
@@ -495,3 +501,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BA
 
     schema = StructType([*fields, *StructType.fromDDL("removed array<struct<place:bigint,size:bigint,words:bigint>>").fields])
     return joined.mapInArrow(run, schema)
+
+
+def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS) -> DataFrame:
+    """``substring_dedup`` with ``n_chars``, where there is such a column, of the text that is left; null texts have none."""
+    out = substring_dedup(docs, min_words, bands)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -32,6 +32,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the worst piece, in unigram models.
 UNKNOWN_PENALTY = 10.0
+#: Distinct words that a worker keeps encoded, some 150 MB.
+KEPT_WORDS = 500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -113,7 +115,7 @@ class PieceModel:
             b"" if self.types[i] == CONTROL else bytes([int(p[3:5], 16)]) if self.types[i] == BYTE else p.replace(BLANK, " ").encode() if i != self.unknown else " ⁇ ".encode()
             for i, p in enumerate(self.pieces)
         ]
-        self.cache = IdCache()
+        self.cache = IdCache(KEPT_WORDS)
 
     def _merge(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored adjacent pair merges, the leftmost of equals, until none can."""

@@ -48,7 +48,7 @@ QUERIES["op10_sentencepiece_codec"] = op10_sentencepiece_codec
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.substring_dedup(read(spark, sf_dir, "documents"))
+    return passages.cut_repeats(read(spark, sf_dir, "documents"))
 
 
 QUERIES["op8_substring_dedup"] = op8_substring_dedup
@@ -89,48 +89,75 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_warc_salvage"] = op3_warc_salvage
 
 
-#: The lists' history, as their publishers dated it.
-URL_EVENTS = (
-    ("spam", "block", "domain", "spam-farm.example.org", "add", "2024-01-10"),
-    ("spam", "block", "domain", "spam-farm.example.org", "remove", "2024-05-01"),
-    ("spam", "block", "domain", "spam-farm.example.org", "add", "2024-08-15"),
-    ("spam", "block", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
-    ("gambling", "block", "domain", "casino-win.example.org", "add", "2024-03-01"),
-    ("gambling", "block", "domain", "casino-win.example.org", "remove", "2024-11-30"),
-    ("mobile", "block", "domain", "m.ththth.example.net", "add", "2024-06-01"),
-    ("network", "block", "domain", "example.net", "add", "2024-09-01"),
-    ("network", "block", "domain", "example.net", "remove", "2024-10-01"),
-    ("trusted", "allow", "domain", "therin.example.net", "add", "2024-09-10"),
-    ("pages", "block", "page", "https://therin.example.net/en/770", "add", "2024-01-01"),
-    ("pages", "block", "page", "ththin.example.com/en/671", "add", "2024-01-01"),
-)
+#: Words of which the lists' domains are made: each first word, then each second, under each suffix.
+FIRST_WORDS = (
+    "adult", "bargain", "best", "bets", "bonus", "cash", "casino", "cheap", "click", "coupon", "crypto", "dating", "deal", "diet", "fake",
+    "fast", "free", "gambling", "gift", "hot", "loan", "lucky", "pills", "poker", "spam",
+)
+SECOND_WORDS = (
+    "bets", "bonus", "cash", "casino", "chat", "click", "club", "coins", "deals", "farm", "gifts", "loans", "meds", "money", "offers",
+    "pills", "poker", "prizes", "shop", "slots", "spam", "store", "win", "world", "x",
+)
+SUFFIXES = ("example.com", "example.net", "example.org")
+LISTED = len(FIRST_WORDS) * len(SECOND_WORDS) * len(SUFFIXES)
+
+
+def _list_events(first: Callable[[str, str], str], day: Callable[[str], str]) -> str:
+    """The lists' history as SQL over ``listed`` (n): thousands of dated events by a rule.
+
+    Domain n is of one of five blocklists; it is added on a day of 2024, every third
+    is removed later, and every sixth comes back. Every seventh domain's page /en is
+    listed too, as a full URL, and subdomains "m." of every eleventh are allowed for a time.
+    """
+    words = lambda values, at: first(", ".join(repr(v) for v in values), at)
+    x, y = len(FIRST_WORDS), len(SECOND_WORDS)
+    named = (
+        f"SELECT n, {words(FIRST_WORDS, f'n % {x}')} || '-' || {words(SECOND_WORDS, f'CAST(floor(n / {x}) AS INT) % {y}')}"
+        f" || '.' || {words(SUFFIXES, f'CAST(floor(n / {x * y}) AS INT)')} AS d FROM listed"
+    )
+    event = lambda name, policy, kind, entry, action, on, where: f"SELECT {name} AS list_name, '{policy}' AS policy, '{kind}' AS kind, {entry} AS entry, '{action}' AS action, {day(on)} AS listed_on FROM named WHERE {where}"
+    of = "'list' || CAST(n % 5 AS STRING)"
+    return f"""WITH named AS ({named}) """ + " UNION ALL ".join(
+        [
+            event(of, "block", "domain", "d", "add", "n * 37 % 240", "n >= 0"),
+            event(of, "block", "domain", "d", "remove", "n * 37 % 240 + 20 + n % 50", "n % 3 = 0"),
+            event(of, "block", "domain", "d", "add", "n * 37 % 240 + 80 + n % 40", "n % 6 = 0"),
+            event("'pages'", "block", "page", "'https://www.' || d || '/en/' || CAST(n AS STRING) || '#top'", "add", "n % 30", "n % 7 = 0"),
+            event("'trusted'", "allow", "domain", "'m.' || d", "add", "n % 100", "n % 11 = 0"),
+            event("'trusted'", "allow", "domain", "'m.' || d", "remove", "n % 100 + 150", "n % 22 = 0"),
+        ]
+    )
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capture's day follows from its page_id, as the table has none."""
-    events = spark.createDataFrame(URL_EVENTS, "list_name string, policy string, kind string, entry string, action string, listed_on string")
-    events = events.withColumn("listed_on", F.to_date("listed_on"))
+    sql = _list_events(lambda values, at: f"element_at(array({values}), {at} + 1)", lambda n: f"date_add(DATE '2024-01-01', CAST({n} AS INT))")
+    events = spark.sql(sql.replace("FROM listed", "FROM (SELECT CAST(id AS INT) AS n FROM range({n}))"), n=LISTED)
     captures = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched_on"))
     return urllists.match_lists(captures, events).withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
 QUERIES["op2_url_filters"] = op2_url_filters
+_EVENTS_SQL = _list_events(lambda values, at: f"[{values}][{at} + 1]", lambda n: f"DATE '2024-01-01' + CAST({n} AS INTEGER)").replace("AS STRING", "AS VARCHAR")
 ORACLE_SQL["op2_url_filters"] = f"""
-WITH events(list_name, policy, kind, entry, action, listed_on) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', DATE '{f}')" for a, b, c, d, e, f in URL_EVENTS)}),
+WITH listed AS (SELECT CAST(i AS INTEGER) AS n FROM range({LISTED}) r(i)), events AS ({_EVENTS_SQL}),
 spans AS (SELECT *, lead(listed_on) OVER (PARTITION BY list_name, policy, kind, entry ORDER BY listed_on, action) AS until FROM events),
+named AS (SELECT *, CASE WHEN kind = 'page' THEN regexp_replace(regexp_replace(lower(entry), '^[a-z]+://', ''), '/*([?#].*)?$', '') ELSE lower(entry) END AS e FROM spans),
 captures AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
     nullif(rtrim(regexp_extract(lower(url), '{urllists.HOST}', 1), '.'), '') AS host, rtrim(regexp_extract(lower(url), '{urllists.PATH}', 1), '/') AS path
   FROM pages
-), hits AS (
-  SELECT c.page_id, s.list_name, s.policy FROM captures c JOIN spans s
-  ON s.action = 'add' AND s.listed_on <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
-    AND (s.kind = 'domain' AND (c.host = s.entry OR ends_with(c.host, '.' || s.entry)) OR s.kind = 'page' AND c.host || c.path = rtrim(s.entry, '/'))
+), above AS (SELECT host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS domain FROM (SELECT DISTINCT host FROM captures)),
+pairs AS (
+  SELECT c.page_id, s.list_name, s.policy FROM captures c JOIN above a ON a.host = c.host JOIN named s ON s.kind = 'domain' AND s.e = a.domain
+  AND s.action = 'add' AND s.listed_on <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
+  UNION ALL SELECT c.page_id, s.list_name, s.policy FROM captures c JOIN named s ON s.kind = 'page' AND s.e = c.host || c.path
+  AND s.action = 'add' AND s.listed_on <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
 )
 SELECT c.page_id, any_value(c.host) AS host, CAST(any_value(c.fetched_on) AS VARCHAR) AS fetched_on, count(h.list_name) AS n_entries,
   coalesce(string_agg(DISTINCT h.list_name, ',' ORDER BY h.list_name), '') AS lists,
   coalesce(bool_or(h.policy = 'block'), false) AND NOT coalesce(bool_or(h.policy = 'allow'), false) AS blocked
-FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id GROUP BY c.page_id
+FROM captures c LEFT JOIN pairs h ON h.page_id = c.page_id GROUP BY c.page_id
 """
 
 #: Documents as files of a tree: their repository is the source; one in 25 is a licence file, of its folder or the one above.

@@ -8,6 +8,7 @@ A-Z, as the tokenizer does.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
@@ -23,12 +24,12 @@ _PLAIN = re.compile("[!-~\u00a1-\u017f]*").fullmatch
 #: The visible character that byte-level BPE writes for each byte.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
-#: Distinct words kept by a worker; at about 150 bytes each, some 150 MB.
-CACHE_WORDS = 1_000_000
+#: Distinct words kept by a worker; at about 150 bytes each, some 100 MB.
+CACHE_WORDS = 400_000
 
 
 class IdCache:
-    """The ids of distinct words in one array; words beyond ``limit`` start it anew."""
+    """The ids of distinct words in one array; beyond ``limit`` words, those that were met once only are forgotten."""
 
     def __init__(self, limit: int = CACHE_WORDS):
         self.limit = limit
@@ -38,6 +39,15 @@ class IdCache:
         self.number: dict = {}
         self.starts = np.zeros(1, np.int64)  # ids of word k: flat[starts[k]:starts[k+1]]
         self.flat = np.empty(0, np.uint32)
+        self.again = np.zeros(1, bool)  # whether word k was met again
+
+    def shrink(self) -> None:
+        """Keeps the words that were met again, the latest half of ``limit`` at most."""
+        keep = np.flatnonzero(self.again[: len(self.number)])[-(self.limit // 2) :]
+        keys, chosen = list(self.number), keep.tolist()
+        flat, before = self.gather(keep)
+        self.number = {keys[k]: i for i, k in enumerate(chosen)}
+        self.starts, self.flat, self.again = before, flat, np.zeros(len(keep) + 1, bool)
 
     def numbers(self, keys: list, encode: Callable[[list[int]], list[list[int]]]) -> np.ndarray:
         """The numbers of ``keys``; ``encode`` gives the ids of keys[i] for each i of a list."""
@@ -45,11 +55,23 @@ class IdCache:
         if None in at:
             new = list({k: i for i, k in enumerate(keys) if at[i] is None}.values())
             if len(self.number) + len(new) > self.limit and self.number:
-                self.clear()
-                new = list({k: i for i, k in enumerate(keys)}.values())
-            self._learn([keys[i] for i in new], encode(new))
-            at = list(map(self.number.get, keys))
-        return np.array(at, np.int64)
+                self.shrink()
+                at = list(map(self.number.get, keys))
+                new = list({k: i for i, k in enumerate(keys) if at[i] is None}.values())
+            known = len(self.number)
+            paused = gc.isenabled()
+            gc.disable()  # lists of ids hold no cycles, and are many
+            try:
+                self._learn([keys[i] for i in new], encode(new))
+            finally:
+                if paused:
+                    gc.enable()
+            at = np.fromiter(map(self.number.get, keys), np.int64, len(keys))
+            self.again[at[at < known]] = True
+            return at
+        at = np.array(at, np.int64)
+        self.again[at] = True
+        return at
 
     def _learn(self, keys: list, encoded: list[list[int]]) -> None:
         base = len(self.number)
@@ -62,7 +84,10 @@ class IdCache:
             self.flat = np.concatenate((self.flat, np.empty(max(need, 2 * len(self.flat)) - len(self.flat), np.uint32)))
         self.flat[need - len(added) : need] = added
         if base + len(ends) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.empty(max(len(ends) + 1, len(self.starts)), np.int64)))
+            more = max(len(ends) + 1, len(self.starts))
+            self.starts = np.concatenate((self.starts, np.empty(more, np.int64)))
+        if len(self.starts) > len(self.again):
+            self.again = np.concatenate((self.again, np.zeros(len(self.starts) - len(self.again), bool)))
         self.starts[base + 1 : base + 1 + len(ends)] = ends
 
     def gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +123,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.cache = IdCache(cache_words)
-        self.known: dict[str, list[int]] = {}
-
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _ids(self, word: str) -> list[int]:
         if not self.plain or not (word.isascii() and word.isprintable() or _PLAIN(word)):
@@ -111,7 +135,7 @@ class WordTokenizer:
             ids = self.known.get(piece)
             if ids is None:
                 raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-                ids = self.known[piece] = [t.id for t in self.model.tokenize(raw)]
+                ids = self.known[piece] = tuple([t.id for t in self.model.tokenize(raw)])
             out += ids
         return out
 
@@ -120,7 +144,7 @@ class WordTokenizer:
         for first, after, raw, starts in words.blocks(texts):
             begin, end, key = words.words(raw)
             keys, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-            if len(self.known) > self.cache.limit:
+            if len(self.known) > self.cache.limit // 2:
                 self.known.clear()
             k = self.cache.numbers(
                 keys.tolist(), lambda new: [self._ids(raw[begin[i] : end[i]].decode("utf-8", "surrogatepass")) for i in where[new]]

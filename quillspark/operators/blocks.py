@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.session import materialize
 
 # What marks noise, and how often an edge text must repeat.
 EDGE_LENGTH, EDGE_REPEATS, EDGE_TOP, EDGE_BOTTOM = 80, 3, 0.08, 0.92
@@ -23,11 +24,12 @@ def repeated_edges(blocks: DataFrame, by: list[str], repeats: int = EDGE_REPEATS
     """Adds ``key`` and ``is_repeated``: short texts that come ``repeats`` times and more in a group, among its edge blocks."""
     at_edge = F.lit(True) if edge is None else edge
     rows = blocks.withColumn("key", T.edge_key("text"))
-    able = at_edge & (F.length("key") > 0) & (F.length("key") <= EDGE_LENGTH)
+    # the key is made once: both sides of the join read what is written here
+    rows = materialize(rows.withColumn("able__", at_edge & (F.length("key") > 0) & (F.length("key") <= EDGE_LENGTH)), "edges")
     # counted first, then joined: a hot text is one row of counts, not a window
-    counts = rows.where(able).groupBy(*by, "key").agg(F.count("*").alias("times")).where(F.col("times") >= repeats)
+    counts = rows.where("able__").groupBy(*by, "key").agg(F.count("*").alias("times")).where(F.col("times") >= repeats)
     rows = rows.join(counts, [*by, "key"], "left")
-    return rows.withColumn("is_repeated", able & F.col("times").isNotNull()).drop("times")
+    return rows.withColumn("is_repeated", F.col("able__") & F.col("times").isNotNull()).drop("times", "able__")
 
 
 def page_edge(top: Column, bottom: Column, height: Column) -> Column:

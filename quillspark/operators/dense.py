@@ -41,7 +41,7 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], bloc
         hits = search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
         hits.write.parquet(f"{path}/block={n}")
         schema = hits.schema
-    return queries.sparkSession.read.schema(schema).parquet(path)
+    return queries.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int | None = None) -> DataFrame:

@@ -68,8 +68,9 @@ def _rank_sql(score: str, by: str = "query_id") -> str:
 
 
 def _docs(spark: SparkSession, sf: str, title: bool = False) -> DataFrame:
+    """Tokens, made once and written: statistics, lengths and postings all read them."""
     docs = read(spark, sf, "documents")
-    return lexical.tokenized(docs, "doc_id", T.first_nonempty_line("text") if title else F.col("text"))
+    return materialize(lexical.tokenized(docs, "doc_id", T.first_nonempty_line("text") if title else F.col("text")), "tokens")
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:

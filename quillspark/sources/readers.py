@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 BLOCK = "id string, type string, page int, bbox array<double>, text string, meta map<string,string>"
@@ -25,7 +25,9 @@ def _stem(path, suffix: str):
 def parsed_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """doc_id and the fields of every ``*.parsed.json`` below ``paths``, each file once. A malformed file raises."""
     rows = _files(spark, paths, "*.parsed.json").schema(PARSED).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-    path = F.input_file_name()
+    # a file that two of the paths hold is one document
+    rows = rows.withColumn("file__", F.input_file_name()).dropDuplicates(["file__"])
+    path = F.col("file__")
     source = F.regexp_replace(F.element_at(F.split(F.coalesce("source", F.lit("")), "/"), -1), r"(?i)\.pdf$", "")
     return rows.select(F.coalesce(F.nullif(source, F.lit("")), _stem(path, r"\.parsed\.json$")).alias("doc_id"), "source", "page_sizes", "blocks")
 
@@ -39,14 +41,14 @@ def document_blocks(parsed: DataFrame) -> DataFrame:
 
 def chunk_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A row per chunk of every JSON chunk file: file, doc_id (else the file's name), ord, chunk_id, text, metadata."""
-    rows = _files(spark, paths, "*.json").schema(CHUNKS).option("multiLine", True).json(paths).withColumn("file", F.input_file_name())
+    rows = _files(spark, paths, "*.json").schema(CHUNKS).option("multiLine", True).json(paths).withColumn("file", F.input_file_name()).dropDuplicates(["file"])
     rows = rows.select("file", F.coalesce("doc_id", _stem(F.col("file"), r"\.json$")).alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode_outer("chunks").alias("ord", "c"))
     return rows.where("c IS NOT NULL").select("file", "doc_id", "source", "ord", F.col("c.id").alias("chunk_id"), F.coalesce("c.text", F.lit("")).alias("text"), "c.metadata")
 
 
 def docstore(spark: SparkSession, path: str) -> DataFrame:
-    """A docstore in JSON lines; blank lines are skipped."""
-    return spark.read.schema(DOCSTORE).json(path).where("docstore_id IS NOT NULL")
+    """A docstore in JSON lines; blank lines are skipped, a malformed one raises."""
+    return spark.read.schema(DOCSTORE).option("mode", "FAILFAST").json(path).where("docstore_id IS NOT NULL")
 
 
 def indexed_records(store: DataFrame, expected: int | None = None) -> DataFrame:
@@ -62,6 +64,50 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A sidecar: one JSON object in a file."""
+    read = spark.read.option("multiLine", True)
+    return (read.schema(schema) if schema else read).json(path)
+
+
+def records_of(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """The records of result files, objects with an array under ``key``; raises where a file has none."""
+    rows = spark.read.option("multiLine", True).schema(f"{key} array<struct<{schema}>>").json(path).withColumn("file", F.input_file_name())
+    if (bad := rows.where(F.col(key).isNull()).select("file").first()) is not None:
+        raise ValueError(f"{bad.file} has no list of {key}")
+    return rows.select(F.posexplode(key).alias("ord", "r")).select("ord", "r.*")
+
+
+def page_sizes(parsed: DataFrame) -> DataFrame:
+    """doc_id, page, width, height of the pages of parsed documents."""
+    return parsed.select("doc_id", F.inline("page_sizes"))
+
+
+def chunk_config(path: Column) -> Column:
+    """struct<chunk_size, overlap> of a path whose folder or file names them (..._256_50, ...cs256.ov50...); nulls where it doesn't."""
+    size = F.coalesce(F.nullif(F.regexp_extract(path, r"cs(\d+)\.ov(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(path, r"_(\d+)_(\d+)(?:/|$)", 1), F.lit("")))
+    overlap = F.coalesce(F.nullif(F.regexp_extract(path, r"cs(\d+)\.ov(\d+)", 2), F.lit("")), F.nullif(F.regexp_extract(path, r"_(\d+)_(\d+)(?:/|$)", 2), F.lit("")))
+    return F.struct(size.cast("int").alias("chunk_size"), overlap.cast("int").alias("overlap"))
+
+
+def model_folder(name: str, hub: str | None = None) -> str:
+    """The folder of a model on the driver: a path that exists, else the last cached snapshot of "owner/name"; raises without either."""
+    import os
+
+    given = os.path.expanduser(name)
+    if os.path.exists(given):
+        return os.path.realpath(given)
+    owner, slash, rest = name.strip().partition("/")
+    if not slash:
+        raise ValueError(f"no model at {name!r}")
+    root = os.path.join(os.path.expanduser(hub or "~/.cache/huggingface/hub"), f"models--{owner}--{rest}")
+    snapshots = os.path.join(root, "snapshots")
+    found = sorted(x for x in (os.listdir(snapshots) if os.path.isdir(snapshots) else []) if os.path.isdir(os.path.join(snapshots, x)))
+    if found:
+        return os.path.realpath(os.path.join(snapshots, found[-1]))
+    raise ValueError(f"no cached snapshot of {name!r}")
+
+
 def checkpoint_rows(spark: SparkSession, path: str) -> DataFrame:
     """Finished queries of an append-only JSON lines log; malformed lines and rows without qid are skipped."""
     rows = spark.read.schema(f"{CHECKPOINT}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
@@ -87,8 +133,9 @@ def index_documents(store: DataFrame) -> DataFrame:
     return store.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__").orderBy("doc_id")
 
 
-def pdf_words(spark: SparkSession, path: str) -> DataFrame:
-    """doc, page, x0, top, x1, bottom, word of PDF files, where PyMuPDF is installed; files are read in tasks."""
+def _pdf(spark: SparkSession, path: str, schema: str, rows_of) -> DataFrame:
+    """Rows that ``rows_of`` (name, document) finds in PDF files, where PyMuPDF is installed; files are read in tasks."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         import fitz
@@ -98,8 +145,63 @@ def pdf_words(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, content in zip(pdf["path"], pdf["content"]):
                 with fitz.open(stream=content, filetype="pdf") as doc:
-                    rows += [(name, n + 1, *map(float, w[:4]), w[4]) for n, page in enumerate(doc) for w in page.get_text("words")]
-            yield pd.DataFrame(rows, columns=["doc", "page", "x0", "top", "x1", "bottom", "word"])
+                    rows += rows_of(name, doc)
+            yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
-    return files.mapInPandas(run, "doc string, page int, x0 double, top double, x1 double, bottom double, word string")
+    return files.mapInPandas(run, schema)
+
+
+def pdf_words(spark: SparkSession, path: str) -> DataFrame:
+    """doc, page, block, line, x0, top, x1, bottom, word of PDF files."""
+
+    def rows(name, doc):
+        return [(name, n + 1, int(w[5]), int(w[6]), *map(float, w[:4]), w[4]) for n, page in enumerate(doc) for w in page.get_text("words")]
+
+    return _pdf(spark, path, "doc string, page int, block int, line int, x0 double, top double, x1 double, bottom double, word string", rows)
+
+
+def pdf_tables(spark: SparkSession, path: str) -> DataFrame:
+    """doc, page, x0, top, x1, bottom, rows of the tables that PDF files show: by their lines, or without any by their layout; a page that can't be read has none."""
+
+    def rows(name, doc):
+        out = []
+        for n, page in enumerate(doc):
+            for strategy in ("lines", "text"):
+                try:
+                    found = page.find_tables(strategy=strategy).tables
+                except Exception:
+                    found = []
+                if found:
+                    out += [(name, n + 1, *map(float, t.bbox), [["" if c is None else str(c) for c in r] for r in t.extract()]) for t in found]
+                    break
+        return out
+
+    return _pdf(spark, path, "doc string, page int, x0 double, top double, x1 double, bottom double, rows array<array<string>>", rows)
+
+
+def parsed_by(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """Rows that a layout model finds: ``parse`` takes (path, bytes) of a PDF file in a task and gives tuples of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([r for name, content in zip(pdf["path"], pdf["content"]) for r in parse(name, bytes(content))], columns=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    return files.mapInPandas(run, schema)
+
+
+def lines_of_words(words: DataFrame, gap: float = 18.0) -> DataFrame:
+    """doc, page, block, line, part, x0, top, x1, bottom, text: words of a line joined, and parted where ``gap`` lies between two."""
+    from pyspark.sql.window import Window
+
+    line = Window.partitionBy("doc", "page", "block", "line").orderBy("x0", "top", "word")
+    far = F.col("x0") - F.lag("x1").over(line) > gap
+    rows = words.withColumn("part", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(line))
+    out = rows.groupBy("doc", "page", "block", "line", "part").agg(
+        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct(F.col("x0").alias("at"), "word"))).alias("words")
+    )
+    return out.withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " ")).drop("words")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,13 +29,34 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_id
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def indexed_stream(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, dl, term, tf) and (id, dl) of all that ``index_stream`` has written so far."""
+    lengths = spark.read.parquet(f"{path}/lengths").select("id", "dl")
+    return spark.read.parquet(f"{path}/postings").select("id", "term", "tf").join(lengths, "id"), lengths
+
+
+def search_stream(spark: SparkSession, path: str, terms: DataFrame, k: int) -> DataFrame:
+    """The BM25 top ``k`` of queries (query_id, term, qtf) over what has been indexed so far; statistics are sums over its batches."""
+    from quillspark.operators import lexical
+
+    postings, lengths = indexed_stream(spark, path)
+    docs = lengths.join(postings.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("tokens")), "id", "left")
+    return lexical.top_k(lexical.bm25_scores(docs.select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), terms), k)
+
+
+def parse_stream(files: DataFrame, parse, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends what ``parse`` (a function of a batch of files) gives to a table; a file that was seen is not parsed again."""
+    return files.writeStream.foreachBatch(lambda batch, n: parse(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def last_turns(turns: DataFrame, rounds: int = 6) -> DataFrame:
     """conv_id, history: the last ``rounds`` turns of each conversation after every batch; state is bounded by ``rounds``."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else []
         for batch in batches:
-            kept += batch.sort_values("turn")[["turn", "role", "text"]].values.tolist()
+            rows = batch.sort_values("turn")
+            kept += [[int(n), r, t or ""] for n, r, t in zip(rows["turn"], rows["role"], rows["text"].where(rows["text"].notna(), None))]
         kept = sorted(kept, key=lambda t: t[0])[-rounds:]
         state.update((json.dumps(kept),))
         yield pd.DataFrame({"conv_id": [key[0]], "history": ["\n".join(f"{r}: {t}" for _, r, t in kept)]})

@@ -132,7 +132,7 @@ def test_large_group_of_near_copies(spark):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(odd_documents(spark, rows)).collect()}
     sets = {i: shingles(t) for i, t in rows}
     kinds = {s: min(i for i in sets if sets[i] == s) for s in set(sets.values())}
-    keys = sorted(kinds)  if False else list(kinds)
+    keys = list(kinds)
     links = [(kinds[s], kinds[t]) for n, s in enumerate(keys) for t in keys[:n] if 100 * len(s & t) >= 75 * len(s | t)]
     want = components_of(kinds.values(), links)
     assert got == {i: want[kinds[s]] for i, s in sets.items()}
@@ -252,7 +252,7 @@ def test_pieces_equal_library(spark, sf):
     got = {r.doc_id: r.ids for r in encoded.collect()}
     assert got == {i: lib.encode(t or "") for i, t in rows}
     back = {r.doc_id: r.text for r in pieces.decode(encoded, path).collect()}
-    assert back == {i: t or "" for i, t in rows if i != "x"} or all(back[i] == (t or "") for i, t in rows if "▁" not in (t or ""))
+    assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
     assert pieces.round_trip(odd_documents(spark, []), path).count() == 0
 
 
@@ -312,6 +312,15 @@ def test_quality_held_out(spark):
     assert quality.keep_good(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_training_rows_of_repeated_ids(spark):
+    """Whatever the order of the rows, one text of each doc_id teaches, and a row per doc_id reaches the driver."""
+    texts = ["short", "a longer text with more words.", "UPPER! CASE!", ""]
+    rows = [(k % 5, texts[k % 4]) for k in range(200)] + [(None, "x"), (7, None)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)] + [(3, 1, 0), (4, 1, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    found = [quality.training_rows(odd_documents(spark, r), labels, "quality", None) for r in (rows, rows[::-1])]
+    assert (found[0][0] == found[1][0]).all() and found[0][1].tolist() == found[1][1].tolist() == [0.0, 1.0, 0.0, 1.0, 1.0]
+
+
 def passage(rng, n, tag):
     w = [f"{tag}{x}" for x in rng.integers(0, 3000, n)]
     return " ".join(" ".join(w[k : k + 10]) + "." for k in range(0, n, 10))
@@ -368,22 +377,40 @@ def test_near_paragraphs_are_found(spark):
     assert got[1] == " ".join(base) + "." and got[2] == ""
 
 
+MIT_FILE = next(t for n, t in licenses.TEXTS if t.startswith("MIT License"))
+
+
 def test_license_scan(spark):
     mit = "Released under the MIT License."
+    header = "# Copyright 2020 The Authors\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\"); you may\n# not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\nimport x\n" + "code " * 400
     rows = [(1, "r/LICENSE", f"x\n{mit}"), (2, "r/a/f.txt", "no"), (3, "r/a/COPYING", "Licensed under CC BY-NC 4.0."), (4, "r/a/b/f.txt", None), (5, "s/f.txt", "y " * 50000), (6, "f.txt", mit.upper()), (7, None, mit), (8, "r/a/b/g.txt", ""),
-            (None, "r/z", "the license of the under")]
+            (None, "r/z", "the license of the under"), (9, "t/LICENSE", MIT_FILE.replace(". ", ".\n\n")), (10, "t/u/v.py", header), (11, "t/u/w.py", "# SPDX-License-Identifier: MPL-2.0\n"), (12, "t/u/z.py", " words" * 30000 + " MIT"),
+            (13, "t/x", "Copyright (c) 2020 The Authors. Licensed under the Apache License, Version 2.0."), (14, "t/y", "This project is released under the MIT License, see the LICENSE file.")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, path string, text string, dir int, levels int")
     got = {r.doc_id: (r.license, r.via, r.levels) for r in licenses.license_scan(df).collect()}
     assert got == {1: ("MIT", "header", None), 2: ("CC-BY-NC-4.0", "directory", 0), 3: ("CC-BY-NC-4.0", "header", None), 4: ("CC-BY-NC-4.0", "directory", 1), 5: (None, "none", None),
-                   6: ("MIT", "header", None), 7: ("MIT", "header", None), 8: ("CC-BY-NC-4.0", "directory", 1), None: ("MIT", "directory", 0)}
+                   6: ("MIT", "header", None), 7: ("MIT", "header", None), 8: ("CC-BY-NC-4.0", "directory", 1), None: ("MIT", "directory", 0), 9: ("MIT", "header", None), 10: ("Apache-2.0", "header", None),
+                   11: ("MPL-2.0", "header", None), 12: ("MIT", "directory", 1), 13: ("Apache-2.0", "header", None), 14: ("MIT", "header", None)}
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
-def test_no_line_is_lost_to_cues(spark):
-    """Lines without a cue stay below the threshold."""
+def test_no_unit_is_lost(spark):
+    """Units without a cue, or of too many tokens, stay below the threshold."""
     model = licenses.Model()
     rng = np.random.default_rng(10)
     vocabulary = [t for t in model.idf if t not in model.cues]
-    lines = [(" ".join(rng.choice(vocabulary, rng.integers(1, 12))),) for _ in range(200)]
-    best = F.array_max(F.transform(licenses.line_scores(F.col("x"), model), lambda s: s["score"]))
-    assert spark.createDataFrame(lines, "x string").agg(F.max(best)).first()[0] < model.threshold
+    lines = [" ".join(rng.choice(vocabulary, rng.integers(1, 12))) for _ in range(200)]
+    lines += [" ".join(vocabulary)]
+    best = licenses.best_score(F.col("x"), model)
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select(best["score"].alias("s")).collect()
+    assert max(r.s for r in got) < model.threshold
+    # a unit's score by the definition, and the bound on its tokens
+    def plain(text):
+        tokens = licenses._tokens(text)
+        norm = np.sqrt(sum(model.idf.get(t, model.unseen) ** 2 for t in tokens)) or 1.0
+        return max(sum(model.idf[t] * u[t] for t in tokens if t in u) / norm for u in model.units)
+    texts = [t + " other" * (k % 3) + f" w{k}" * (k % 2) for k, (_, t) in enumerate(licenses.TEXTS)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", best["score"].alias("s")).collect()
+    assert all(r.s == pytest.approx(plain(texts[r.k]), abs=1e-6) for r in got)
+    longest = max((t for _, t in licenses.TEXTS), key=lambda t: len(licenses._tokens(t)))
+    assert plain(longest + "".join(f" v{k}" for k in range(model.most - len(licenses._tokens(longest)) + 1))) < model.threshold

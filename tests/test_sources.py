@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import answers, dense, index, lexical
+from quillspark import evaluate, search
+from quillspark.operators import answers, dense, index, lexical, tables
 from quillspark.sources import readers, writers
 from quillspark.streaming import incremental
 
@@ -148,3 +149,46 @@ def test_index_of_odd_chunks(spark):
     got = {r.chunk_id: (r.embedding_text, r.skip_reason) for r in index.docstore_records(df).collect()}
     assert got["c1"] == ("标题：a b\n公司：Acme\n前后文：C\n表名：N\n<t1>", None) and got["c4"][1] == "empty_text" and got["c0"][1] == "excluded_chunk_type:cover_summary_chunk"
     assert index.docstore_records(df.limit(0)).count() == 0
+
+
+def test_tables_over_pages(spark):
+    row = lambda n, page, top, bottom, rows, text="", x0=50.0: (1, n, f"t{n}", page, x0, top, bottom, 800.0, rows, text)
+    head = [["h", "v"], ["a", "1"]]
+    rows = [row(0, 1, 500.0, 700.0, head), row(1, 2, 20.0, 700.0, [["h ", "v"], ["b", "2"]]), row(2, 3, 20.0, 100.0, [["c", "3"]]), row(3, 3, 600.0, 790.0, head), row(4, 4, 20.0, 90.0, [["d", "4"]], "表 2：新"), row(5, 5, 20.0, 90.0, [["e", "4"]])]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, table_id string, page int, x0 double, top double, bottom double, height double, rows array<array<string>>, text string")
+    got = {r.table_id: (r.table_ids, r.rows) for r in tables.continued_tables(df).collect()}
+    assert got["t0"] == (["t0", "t1"], [["h", "v"], ["a", "1"], ["b", "2"]]) and set(got) == {"t0", "t2", "t3", "t4", "t5"}
+
+
+def test_evaluation_over_settings(spark, tmp_path):
+    docs = [("a", "red fox runs", ["b1"]), ("b", "blue whale swims", ["b2"]), ("c", "green frog", ["b3"]), *((f"z{k}", f"filler {k}", ["b"]) for k in range(5))]
+    chunks = spark.createDataFrame([(f"{d}#{k}", d, t, b) for d, t, b in docs for k in range(2)], "chunk_id string, doc_id string, text string, block_ids array<string>")
+    asked = spark.createDataFrame([(1, "fox"), (2, "whale"), (3, "nothing")], "query_id int, query string")
+    gold = spark.createDataFrame([(1, "a", "b1"), (2, "b", "b2"), (3, "c", "b3")], "query_id int, doc_id string, block_id string")
+    rows = evaluate.chunk_grid({(256, 50): chunks, (512, 50): chunks.where("doc_id != 'b'")}, asked, gold).collect()
+    assert {(r.chunk_size, r.chunks): r.hit_at_3 for r in rows} == {(256, 16): round(2 / 3, 6), (512, 14): round(1 / 3, 6)}
+    vectors = spark.range(40).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
+    queries = vectors.where("id < 2").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = dense.exact_top_k(vectors, queries, 3)
+    found = evaluate.index_comparison({"exact": lambda q, k: dense.exact_top_k(vectors, q, k), "none": lambda q, k: exact.limit(0)}, queries, exact, 3, 1)
+    assert [(r["index"], r["overlap"]) for r in found] == [("exact", 1.0), ("none", 0.0)] and found[0]["ms"] > 0
+    records = spark.createDataFrame([("1", "fact"), ("2", "fact"), ("3", "compare")], "qid string, query_type string")
+    seen = []
+
+    def score(todo):
+        seen.append(sorted(r.qid for r in todo.collect()))
+        return todo.withColumn("metrics", F.create_map(F.lit("m"), F.col("qid").cast("double"), F.lit("n"), F.when(F.col("qid") == "1", 0.5)))
+
+    evaluate.judged(records, score, str(tmp_path / "judge"), limit=1).collect()
+    means = {r.query_type: (r.n, r.m, r.n_n) for r in evaluate.judged(records, score, str(tmp_path / "judge")).collect()}
+    assert seen == [["1"], ["2", "3"]] and means == {"fact": (2, 1.5, 1), "compare": (1, 3.0, 0), "average": (3, 2.0, 1)}
+
+
+def test_search_of_an_index(spark, tmp_path):
+    store = spark.createDataFrame([("c1", "d1", "red fox", True), ("c2", "d2", "blue fox fox", True), ("c3", "d3", "left out fox", False), *((f"z{k}", f"d{k}", "other words", True) for k in range(4, 9))], "docstore_id string, doc_id string, text string, indexed boolean")
+    vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.0, 1.0])], "docstore_id string, v array<double>")
+    writers.write_index(store, vectors, spark.createDataFrame([(1,)], "n int"), str(tmp_path / "ix"))
+    hits = search.run([str(tmp_path / "ix"), "blue fox", "--route", "bm25", "--top-k", "5", "--output", str(tmp_path / "out")], spark)
+    assert [r.id for r in hits.orderBy("rank").collect()][0] == "c2" and hits.where("id = 'c3'").count() == 0 and (tmp_path / "out" / "route=bm25").is_dir()
+    with pytest.raises(SystemExit):
+        search.run([str(tmp_path / "ix"), "blue fox"], spark)

@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.session import materialize
+from quillspark.session import discard, materialize
 
 MAX_ROUNDS = 60
 
 
-def _stars(edges: DataFrame) -> bool:
+def _stars(edges: DataFrame, n: int) -> bool:
     """Whether each node u has one edge, to a v that has none of its own."""
-    n, nodes = edges.agg(F.count("u"), F.count_distinct("u")).first()
-    return n == nodes and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    return n == edges.agg(F.count_distinct("u")).first()[0] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,13 +29,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     e = materialize(e.distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        if _stars(e):
+        n = e.count()
+        if _stars(e, n):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
+        large = materialize(large, "large", n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", 2 * n)
+        discard(e, large)
+        e = new
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

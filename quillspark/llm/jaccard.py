@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm import pigeonhole, words
 from quillspark.llm.components import connected_components
-from quillspark.session import materialize
+from quillspark.session import discard, materialize
 
 #: Table of frequent shingles, which only steers the choice of segments: entries, and least share of the documents.
 FREQUENT_ENTRIES, FREQUENT_SHARE, FREQUENT_LEAST = 1_000_000, 2000, 16
 #: Signatures that a task holds before it writes them, and that one group gathers.
-FLUSH, PER_GROUP, LEAST_GROUPS = 1_500_000, 1_500_000, 64
+FLUSH, PER_GROUP, LEAST_GROUPS = 500_000, 750_000, 64
+#: Hashes that a task counts at once, the counts and the digests it remembers: some 60 MB in all.
+HELD, COUNTS, DIGESTS = 400_000, 600_000, 200_000
 #: Documents of one side of a block of a run.
 BLOCK = 1024
 #: Rows that are compared in one group.
@@ -66,7 +68,7 @@ def least_apart(a: bytes, b: bytes) -> int:
 
 
 class _Counts:
-    """Counts of hashes seen in one task; the rarest are forgotten beyond 8 million."""
+    """Counts of hashes seen in one task; the rarest half is forgotten beyond COUNTS of them."""
 
     def __init__(self) -> None:
         self.held: list[np.ndarray] = []
@@ -76,22 +78,22 @@ class _Counts:
     def add(self, h: np.ndarray) -> None:
         self.held.append(h)
         self.size += len(h)
-        if self.size > 2_000_000:
+        if self.size > HELD:
             self.fold()
 
     def fold(self) -> None:
         if not self.size:
             return
         keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
         both = np.concatenate((self.keys, keys))
         order = np.argsort(both, kind="stable")
         both, n = both[order], np.concatenate((self.counts, counts))[order]
         first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
         self.keys, self.counts = both[first], np.add.reduceat(n, first)
-        self.held, self.size = [], 0
-        if len(self.keys) > 8_000_000:
-            more = self.counts > 1
-            self.keys, self.counts = self.keys[more], self.counts[more]
+        if len(self.keys) > COUNTS:
+            often = np.sort(np.argpartition(self.counts, -COUNTS // 2)[-COUNTS // 2 :])
+            self.keys, self.counts = self.keys[often], self.counts[often]
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,7 +117,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = d1.tolist()
             new = np.array([not (d in seen or seen.add(d)) for d in known], bool)
             counts.add(h[np.repeat(new, sizes)])
-            if len(seen) > 1_000_000:
+            if len(seen) > DIGESTS:
                 seen.clear()
             cols = [batch.column(0).slice(first, len(ids)), sizes, d1, d2, [sketch(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], [None] * len(ids)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(cols, kinds)], names=names)
@@ -264,15 +266,19 @@ def sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible, "a long, b long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose shingle sets have 100 * intersection >= 75 * union."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def verify(docs: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """The pairs (a, b) of ids whose shingle sets have 100 * intersection >= 75 * union. most: a bound of the pairs, if known."""
+    pairs = materialize(pairs.distinct(), "pairs", most)
+    n = pairs.count()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", 2 * n)
     sets = materialize(_semi(docs, ids).mapInArrow(_sets, "doc_id long, h array<long>"), "shingles")
+    joined = pairs
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("h").alias(f"h{side}")), side)
+        joined = joined.join(sets.select(F.col("doc_id").alias(side), F.col("h").alias(f"h{side}")), side)
     both = F.size(F.array_intersect("ha", "hb"))
-    return materialize(pairs.where(100 * both >= 75 * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "links")
+    links = materialize(joined.where(100 * both >= 75 * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "links", n, 5_000)
+    discard(pairs, ids, sets)
+    return links
 
 
 def _label(runs: DataFrame, components: DataFrame) -> DataFrame:
@@ -322,14 +328,14 @@ def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _cross_pairs(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
+def _cross_pairs(labelled: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
     """All plausible pairs of different components that share a run, dealt in cells of bounded size.
 
     Runs of more than one component that have the same smallest item are taken as one,
     so that a pair in many runs of one group is met once.
     """
     split = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("least")).where("lo < hi")
-    rows = materialize(labelled.join(split.select("run", "least"), "run").select(F.col("least").alias("run"), "doc_id", "component").distinct(), "split")
+    rows = materialize(labelled.join(split.select("run", "least"), "run").select(F.col("least").alias("run"), "doc_id", "component").distinct(), "split", n)
     parts = rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     rows = rows.join(parts, "run").join(sketches, "doc_id")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
@@ -338,34 +344,37 @@ def _cross_pairs(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
     rows = rows.withColumn("side", F.when((F.col("lo") != F.col("hi")) & (F.col("part") == F.col("hi")), 1).otherwise(0))
     cells = rows.select("run", "lo", "hi", "side", "doc_id", "component", "n_shingles", "sketch")
     # cells are many and mostly tiny: a group holds some thousand rows of them
-    groups = max(LEAST_GROUPS, labelled.count() // CELL_ROWS)
+    groups = max(LEAST_GROUPS, n // CELL_ROWS)
     return cells.groupBy(F.pmod(F.xxhash64("run", "lo", "hi"), F.lit(groups)).alias("group")).applyInPandas(_cross, "a long, b long")
 
 
-def resolve(runs: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:
+def resolve(runs: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame, int | None], DataFrame], links: DataFrame | None = None) -> DataFrame:
     """(node, component) of the items ``doc_id`` of ``runs``, by the links among items that share a run.
 
     sketches: doc_id, n_shingles, sketch of each item. verify: keeps of pairs (a, b)
-    those that link. links: some that are known. Every pair that shares a run is
-    verified, or ruled out by its sketches, or in one component by other links.
+    those that link, and is told a bound of their number or None. links: some that are
+    known. Every pair that shares a run is verified, or ruled out by its sketches, or in
+    one component by other links.
     """
+    n = runs.count()
     # each item against the smallest that shares a run with it
     least = runs.groupBy("run").agg(F.min("doc_id").alias("a"))
     first = runs.join(least, "run").where("doc_id > a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    found = verify(sketch_filter(first, sketches))
+    found = verify(sketch_filter(first, sketches), n)
     links = found if links is None else links.unionByName(found)
-    components = materialize(connected_components(links, "a", "b"), "components")
+    components = connected_components(links, "a", "b")
     # in each run, against some item of the component that has most of it
-    labelled = materialize(_label(runs, components), "labelled")
+    labelled = materialize(_label(runs, components), "labelled", n)
     some = labelled.groupBy("run", "component").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "run")).alias("a"))
     some = some.groupBy("run").agg(F.max(F.struct("n", "a", F.col("component").alias("most"))).alias("x"), F.count("*").alias("parts"))
     some = some.where("parts > 1").select("run", "x.a", "x.most")
     second = labelled.join(some, "run").where("component != most").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-    links = links.unionByName(verify(sketch_filter(second, sketches)))
-    components = materialize(connected_components(links, "a", "b"), "components")
+    links = links.unionByName(verify(sketch_filter(second, sketches), n))
+    components = connected_components(links, "a", "b")
+    discard(labelled)
     # what is left, whole
-    labelled = materialize(_label(runs, components), "labelled")
-    links = links.unionByName(verify(_cross_pairs(labelled, sketches)))
+    labelled = materialize(_label(runs, components), "labelled", n)
+    links = links.unionByName(verify(_cross_pairs(labelled, sketches, n), None))
     return connected_components(links, "a", "b")
 
 
@@ -383,16 +392,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets, frequent, classes = profile(docs)
     named = docs.where("doc_id IS NOT NULL")
     keyed = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes_of = materialize(keyed.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    rows = keyed.count()
+    classes_of = materialize(keyed.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", rows)
     copies = keyed.join(classes_of.where("copies > 1"), ["d1", "d2", "n_shingles"]).where("doc_id != rep").select("doc_id", "rep").distinct()
-    copies = materialize(copies, "copies")
+    copies = materialize(copies, "copies", rows)
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     runs = candidate_runs(named, total, frequent, classes)
     runs = runs.join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").select("run", F.coalesce("rep", "doc_id").alias("doc_id")).distinct()
     runs = materialize(runs, "runs")
-    sketches = materialize(keyed.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "sketches")
+    sketches = materialize(keyed.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "sketches", rows, 20_000)
     links = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    components = resolve(runs, sketches, lambda pairs: verify(named, pairs), links)
+    components = resolve(runs, sketches, lambda pairs, most: verify(named, pairs, most), links)
     out = sets.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

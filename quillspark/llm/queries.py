@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import forest, jaccard, licenses, maxscore, packing, passages, pieces, quality, urllists, warc
+from quillspark.llm import compaction, forest, jaccard, leaks, licenses, maxscore, packing, passages, pieces, quality, urllists, variants, warc
 from quillspark.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,44 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_license_scans"] = op5_license_scans
 ORACLE_SQL["op5_license_scans"] = licenses.oracle(f"SELECT doc_id, {_FILE_PATH} AS path, text FROM documents")
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_spelling_variants"] = op11_spelling_variants
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+QUERIES["op12_benchmark_decontamination"] = op12_benchmark_decontamination
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = "regexp_extract_all(" + _FOLD + ", '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')"
+ORACLE_SQL["op12_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, coalesce({_SPLIT.format('text')}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SPLIT.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)
+), spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+hits AS (
+  SELECT a.doc_id, a.i, x.size, x.item FROM (SELECT a.doc_id, a.i, s.size, array_to_string(a.w[a.i : a.i + s.size - 1], ' ') AS win FROM spots a JOIN (SELECT DISTINCT size FROM windows) s ON a.i + s.size - 1 <= len(a.w)) a
+  JOIN windows x USING (size, win)
+), marked AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op13_bin_packed_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compact_table(read(spark, sf_dir, "clicks"))
+
+
+QUERIES["op13_bin_packed_compaction"] = op13_bin_packed_compaction

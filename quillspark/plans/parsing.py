@@ -21,10 +21,10 @@ _KIND = "CASE WHEN ord % 31 = 4 OR ord % 47 = 9 OR ord % 53 = 2 OR ord % 11 = 5
 _BLOCKS = "ord, {page} + 1 AS page, CASE WHEN ord % 2 = 0 THEN 40.0 ELSE 340.0 END AS x0, CASE WHEN ord % 7 = 0 THEN 560.0 WHEN ord % 2 = 0 THEN 280.0 ELSE 560.0 END AS x1, 20.0 + 34.0 * (ord % 24) AS top, 40.0 + 34.0 * (ord % 24) AS bottom"
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+def _blocks(spark: SparkSession, sf: str, marked: str = _MARKED) -> DataFrame:
+    lines = read(spark, sf, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     box = [f"CAST({x.split(' AS ')[0]} AS DOUBLE) AS {x.split(' AS ')[1]}" for x in _BLOCKS.split(", ")[2:]]
-    rows = lines.selectExpr("doc_id", "ord", "CAST(floor(ord / 24) AS INT) + 1 AS page", *box, f"{_KIND} AS type", f"{_MARKED} AS text")
+    rows = lines.selectExpr("doc_id", "ord", "CAST(floor(ord / 24) AS INT) + 1 AS page", *box, f"{_KIND} AS type", f"{marked} AS text")
     return rows.withColumn("text", T.clean_text("text")).withColumn("block_id", F.concat(F.lit("b"), F.col("ord").cast("string")))
 
 
@@ -32,8 +32,9 @@ def _any(pattern: str, text: str = "t") -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
 
-_CASCADE_SQL = f"""lines AS (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM documents),
-raw AS (SELECT doc_id, {_BLOCKS.format(page="ord // 24")}, {_KIND} AS type, {_MARKED} AS text FROM lines),
+def _cascade_sql(marked: str = _MARKED) -> str:
+    return f"""lines AS (SELECT doc_id, source, lang, unnest(range(len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM documents),
+raw AS (SELECT doc_id, {_BLOCKS.format(page="ord // 24")}, {_KIND} AS type, {marked} AS text FROM lines),
 b AS (SELECT *, {_CLEAN.format("text")} AS t FROM raw),
 p AS (SELECT doc_id, page, bool_or(type = 'title' AND (contains(t, '内容目录') OR contains(t, '图表目录') OR t = '目录')) AS seed, bool_or(type = 'title') AS titled, bool_or(type = 'text') AS worded,
   coalesce(bool_and(lst) FILTER (type = 'text'), true) AS listed FROM (SELECT *, {{contents}} AS lst FROM b) GROUP BY doc_id, page),
@@ -76,7 +77,14 @@ _RULES = {
 }
 
 
-@_register("block_cascade", "WITH " + _CASCADE_SQL.replace("{contact}", _RULES["contact"]).replace("{noise}", _RULES["noise"]).replace("{contents}", _RULES["contents"]).replace("{noisy}", _RULES["noisy"]).replace("{source}", _RULES["source"]).replace("{figure}", _RULES["figure"]))
+def _ruled(sql: str) -> str:
+    """SQL with the rules in place of their names in braces."""
+    for name, rule in _RULES.items():
+        sql = sql.replace(f"{{{name}}}", rule)
+    return sql.replace("{{", "{").replace("}}", "}")
+
+
+@_register("block_cascade", _ruled("WITH " + _cascade_sql()))
 def block_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Why each line is dropped as a block of a report, null for those that stay."""
     rows = _blocks(spark, sf)

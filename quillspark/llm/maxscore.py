@@ -16,6 +16,8 @@ Queries are taken in blocks of bounded size, each against all rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,11 @@ ORDINARY = 1 << 20
 _MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 
 
-def quantised(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, rows): floor(scale * x) in double precision of the usable vectors of (id, vector), short ones filled with 0."""
+def quantised(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows, raw): floor(scale * x) in double precision of the usable vectors of (id, vector), short ones filled with 0.
+
+    raw: whether scale * x is beyond doubles for a component; such a row holds the components themselves.
+    """
     ids, vectors = batch.column(0), batch.column(1)
     size = np.asarray(vectors.value_lengths().fill_null(0), np.int64)
     x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64)
@@ -49,8 +54,10 @@ def quantised(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarr
     out = np.zeros((len(size), width))
     place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
     keep = usable[row]
-    out[row[keep], place[keep]] = np.floor(scale * x[keep])
-    return np.asarray(ids.fill_null(0), np.int64)[usable], out[usable]
+    out[row[keep], place[keep]] = x[keep]
+    raw = np.abs(out).max(axis=1, initial=0) > np.finfo(np.float64).max / scale
+    out[~raw] = np.floor(scale * out[~raw])
+    return np.asarray(ids.fill_null(0), np.int64)[usable], out[usable], raw[usable]
 
 
 class Shard:
@@ -126,11 +133,17 @@ class Shard:
         return at, score
 
 
+def _whole(rows: np.ndarray, raw: np.ndarray, scale: float) -> np.ndarray:
+    """Rows as integers of any size; raw ones are scaled here."""
+    exact = Fraction(scale)
+    ints = [[floor(Fraction(c) * exact) for c in r] if wide else [int(c) for c in r] for r, wide in zip(rows.tolist(), raw.tolist())]
+    return np.array(ints, object).reshape(rows.shape)
+
+
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Scores of each query and row in integers of any size; those beyond 64 bits count as the largest, or least, of 64 bits."""
     width = min(queries.shape[1], rows.shape[1])
-    whole = lambda x: np.array([[int(c) for c in r[:width]] for r in x], object).reshape(len(x), width)
-    score = whole(queries).dot(whole(rows).T) if width else np.zeros((len(queries), len(rows)), object)
+    score = queries[:, :width].dot(rows[:, :width].T) if width else np.zeros((len(queries), len(rows)), object)
     return np.array([[min(max(int(s), _LEAST), _MOST) for s in r] for r in score], np.int64).reshape(len(queries), len(rows))
 
 
@@ -161,19 +174,21 @@ def _fitted(rows: np.ndarray, width: int) -> np.ndarray:
 
 def _search(queries, k: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, asked = queries.value
+        query_ids, asked, asked_raw = queries.value
         best = Best(len(query_ids), k)
-        large = np.abs(asked).max(axis=1, initial=0) > ORDINARY
+        large = asked_raw | (np.abs(asked).max(axis=1, initial=0) > ORDINARY)
         usual = np.flatnonzero(~large)
 
-        def shard(ids: np.ndarray, rows: np.ndarray) -> None:
-            huge = np.abs(rows).max(axis=1, initial=0) > ORDINARY
+        def shard(ids: np.ndarray, rows: np.ndarray, raw: np.ndarray) -> None:
+            huge = raw | (np.abs(rows).max(axis=1, initial=0) > ORDINARY)
             # what is not ordinary meets everything, one by one; then the rest
             for q, r in ((np.flatnonzero(large), np.arange(len(ids))), (usual, np.flatnonzero(huge))):
                 for a in range(0, len(r) if len(q) else 0, 256):
                     part = r[a : a + 256]
+                    whole = _whole(rows[part], raw[part], scale)
                     for b in range(0, len(q), 256):
-                        for n, scores in zip(q[b : b + 256].tolist(), _exact(asked[q[b : b + 256]], rows[part])):
+                        some = q[b : b + 256]
+                        for n, scores in zip(some.tolist(), _exact(_whole(asked[some], asked_raw[some], scale), whole)):
                             other = ids[part] != query_ids[n]
                             best.add(n, ids[part][other], scores[other])
             ids, rows = ids[~huge], rows[~huge]
@@ -189,10 +204,10 @@ def _search(queries, k: int, scale: float):
                 at, scores = lists.search(int(query_ids[n]), query, floor)
                 best.add(n, ids[at], scores)
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             held.append(quantised(batch, scale))
-            if sum(len(i) for i, _ in held) >= SHARD:
+            if sum(len(i) for i, *_ in held) >= SHARD:
                 shard(*_joined(held))
                 held = []
         if held:
@@ -207,9 +222,10 @@ def _search(queries, k: int, scale: float):
     return run
 
 
-def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    width = max(rows.shape[1] for _, rows in held)
-    return np.concatenate([i for i, _ in held]), np.concatenate([_fitted(rows, width) for _, rows in held])
+def _joined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = max(rows.shape[1] for _, rows, _ in held)
+    ids, rows, raw = zip(*held)
+    return np.concatenate(ids), np.concatenate([_fitted(r, width) for r in rows]), np.concatenate(raw)
 
 
 HITS = "query_id long, vec_id long, score long"

@@ -1,10 +1,15 @@
 """WARC archives: written as one gzip member per record, read back by a salvaging reader.
 
 The reader walks an archive member by member (or, uncompressed, version line by version
-line) in bounded memory. Where a member does not inflate, or a record's header, length
-or digest does not hold, it searches for the next valid member or version line, goes on
-from there, and logs the bytes in between as a quarantined gap. What a member holds is
-searched in the same way, also the part that inflated before an error.
+line). Where a member does not inflate, or a record's header, length or digest does not
+hold, it searches for the next valid member or version line, goes on from there, and logs
+the bytes in between as a quarantined gap. What a member holds is searched in the same
+way, also the part that inflated before an error.
+
+Records of any size are read. What is longer than ``HELD`` is never held to be judged:
+its end mark and digest are read through first, in a plain file by seeking, in a member
+by inflating it again; a member of many records is parsed as it inflates. So a record
+whose payload the caller keeps is held whole, and nothing else is.
 """
 
 from __future__ import annotations
@@ -12,11 +17,13 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import io
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,17 +34,15 @@ VERSION = b"WARC/1.0\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Bytes after which a task starts another archive.
 ARCHIVE_BYTES = 64 << 20
-#: Bytes that the reader asks for at once; a record is held whole, the archive never.
+#: Bytes that the reader asks for at once; a record's headers must end within as many.
 CHUNK = 1 << 20
-#: The longest block that a plain record may claim; a longer one is taken for damage.
-MOST_BYTES = 256 << 20
+#: Bytes of a record, of a member's content or of a member up to which it is held to be judged.
+HELD = 8 << 20
 #: Revisits up to which their list is broadcast (16 bytes each).
 BROADCAST_ROWS = 200_000
 GZIP = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d")
-NEXT_RECORD = re.compile(rb"\r\n\r\n(?=WARC/\d)")
-#: Bytes by which the reader goes on into a long block before it looks again for another record.
-STRIDE = 16 << 20
+END = b"\r\n\r\n"
 #: Bytes that are inflated at once where a member is damaged.
 STEP = 4096
 DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -66,24 +71,57 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}" if not path.startswith("file:") else path)
 
 
+class Found(NamedTuple):
+    """A block that isn't kept."""
+
+    size: int
+    digest: str
+
+
 class _Bytes:
-    """A window on a stream: what was read from ``at`` on and not yet dropped."""
+    """A window on a stream: what was read from ``at`` on and not yet dropped. shared: other windows read the stream too."""
 
-    def __init__(self, stream):
-        self.stream, self.at, self.held, self.ended = stream, 0, b"", False
+    def __init__(self, stream, at: int = 0, shared: bool = False):
+        self.stream, self.at, self.held, self.ended, self.shared = stream, at, b"", False, shared
 
     def fill(self, n: int) -> bool:
         """Whether ``n`` bytes are held, after reading on if need be."""
-        while len(self.held) < n and not self.ended:
-            more = self.stream.read(max(CHUNK, n - len(self.held)))
+        if len(self.held) >= n:
+            return True
+        parts, size = [self.held], len(self.held)
+        if self.shared and self.stream.tell() != self.at + size:
+            self.stream.seek(self.at + size)
+        while size < n and not self.ended:
+            more = self.stream.read(CHUNK)
             self.ended = not more
-            self.held += more
-        return len(self.held) >= n
+            parts.append(more)
+            size += len(more)
+        self.held = b"".join(parts)
+        return size >= n
 
     def drop(self, n: int) -> None:
         self.held = self.held[n:]
         self.at += n
 
+    def seek(self, at: int) -> None:
+        if self.at <= at <= self.at + len(self.held):
+            self.drop(at - self.at)
+        else:
+            self.at, self.held, self.ended = at, b"", False
+
+    def skip(self, n: int) -> bool:
+        """Whether there are ``n`` bytes, which are dropped as they are read."""
+        return self.through(n, lambda part: None)
+
+    def through(self, n: int, take: Callable[[bytes], None]) -> bool:
+        """Gives ``n`` bytes to ``take``, in parts, and drops them; whether there are so many."""
+        while n > 0 and self.fill(1):
+            part = self.held[:n]
+            take(part)
+            self.drop(len(part))
+            n -= len(part)
+        return n == 0
+
 
 def _headers(head: bytes) -> dict[str, str] | None:
     lines = head.split(b"\r\n")
@@ -122,55 +160,118 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, stop + 8 + n - at
 
 
-def _records(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], bool]:
-    """The valid records of a member's content, and whether there is nothing else in it."""
-    found, at, clean = [], 0, True
-    while at < len(content):
-        one = _parse(content, at)
+class _Inflating:
+    """The content of the gzip member that a window begins with, in pieces; a stream to read once.
+
+    state: "whole" if it inflates to its end and its check holds, "short" if the stream
+    ends before, "bad" for an error; the content is then what inflates up to there.
+    used: bytes of the member that were inflated. Up to HELD of them stay in the window.
+    """
+
+    def __init__(self, window: _Bytes):
+        self.window, self.start, self.used, self.state = window, window.at, 0, "whole"
+        self.pieces = self._inflate()
+
+    def read(self, n: int) -> bytes:
+        return next(self.pieces, b"")
+
+    def _inflate(self) -> Iterator[bytes]:
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            at = self.start + self.used - self.window.at
+            if at > HELD:
+                self.window.drop(at)
+                at = 0
+            if not self.window.fill(at + 1):
+                self.state = "short"
+                return
+            part = self.window.held[at : at + CHUNK]
+            before, given = z.copy(), 0
+            try:
+                for piece in _pieces(z, part):
+                    given += len(piece)
+                    yield piece
+            except zlib.error:
+                self.state = "bad"
+                yield from self._before_error(before, part, given)
+                return
+            self.used += len(part) - len(z.unused_data)
+
+    def _before_error(self, z, part: bytes, given: int) -> Iterator[bytes]:
+        """What inflates of a part before its error, less what was given already: in steps of bytes that get smaller."""
+        at = 0
+        for step in (STEP, 1):
+            try:
+                while at < len(part):
+                    before = z.copy() if step > 1 else None
+                    pieces = list(_pieces(z, part[at : at + step]))
+                    for piece in pieces:
+                        if len(piece) > given:
+                            yield piece[given:]
+                        given = max(0, given - len(piece))
+                    at += step
+            except zlib.error:
+                z = before
+        self.used += at
+
+
+def _pieces(z, part: bytes) -> Iterator[bytes]:
+    """What a part inflates to, at most CHUNK bytes at once."""
+    more = True
+    while more:
+        piece = z.decompress(part, CHUNK)
+        part = z.unconsumed_tail
+        more = not z.eof and (bool(part) or len(piece) == CHUNK)
+        if piece:
+            yield piece
+
+
+def _content(window: _Bytes, trusted: bool, keep: bool, size: int, again: Callable[[], _Bytes], clean: list[bool]) -> Iterator[tuple[dict[str, str], bytes | Found]]:
+    """The valid records of ``size`` bytes of content, as they are read; ``clean`` gets False if there is anything else.
+
+    again: the content from its beginning. trusted: records without a digest count too.
+    """
+    while window.fill(1):
+        window.fill(min(CHUNK, size - window.at))
+        stop = window.held.find(END)
+        headers = _headers(window.held[:stop]) if stop >= 0 else None
+        one = _record(window, stop, headers, keep, again) if headers and window.at + stop + 8 + int(headers["content-length"]) <= size else None
         if one is not None:
-            found.append(one[:2])
-            at += one[2]
+            if trusted or _said(headers) is not None:
+                yield headers, one
             continue
-        clean = False
-        line = VERSION_LINE.search(content, at + 1)
-        at = line.start() if line else len(content)
-    return found, clean
+        clean[0] = False
+        start = 1
+        while (line := VERSION_LINE.search(window.held, start)) is None and not window.ended:
+            window.drop(max(0, len(window.held) - 8))
+            window.fill(len(window.held) + 1)
+            start = 0
+        window.drop(line.start() if line else len(window.held))
 
 
-def _member(window: _Bytes) -> tuple[bytes, int, str]:
-    """(content, size, state) of the gzip member that the window begins with.
+def _record(window: _Bytes, stop: int, headers: dict[str, str], keep: bool, again: Callable[[], _Bytes]) -> bytes | Found | None:
+    """The block of the record whose headers end at ``stop``, if it is whole and its digest holds; the window then stands behind it.
 
-    state: "whole" if it inflates to its end and its check holds, "short" if the stream
-    ends before, "bad" for an error; content is then what inflates up to there.
+    A long one is read through ``again``, a second window on the same bytes, before it is taken.
     """
-    z = zlib.decompressobj(31)
-    out, used = [], 0
-    while not z.eof:
-        if not window.fill(used + 1):
-            return b"".join(out), used, "short"
-        part = window.held[used : used + CHUNK]
-        before = z.copy()
-        try:
-            out.append(z.decompress(part))
-        except zlib.error:
-            more, n = _before_error(before, part)
-            return b"".join([*out, more]), used + n, "bad"
-        used += len(part) - len(z.unused_data)
-    return b"".join(out), used, "whole"
-
-
-def _before_error(z, part: bytes) -> tuple[bytes, int]:
-    """What inflates of a part before its error, and how many bytes that takes."""
-    out, at = [], 0
-    for step in (STEP, 1):
-        try:
-            while at < len(part):
-                before = z.copy() if step > 1 else None
-                out.append(z.decompress(part[at : at + step]))
-                at += step
-        except zlib.error:
-            z = before
-    return b"".join(out), at
+    n, said = int(headers["content-length"]), _said(headers)
+    if stop + 8 + n <= HELD:
+        window.fill(stop + 8 + n)
+        found = _parse(window.held)
+        if found is None:
+            return None
+        window.drop(found[2])
+        return found[1] if keep else Found(n, digest(found[1]))
+    other, sha = again(), hashlib.sha1()
+    whole = other.skip(window.at + stop + 4 - other.at) and other.through(n, sha.update) and other.fill(4) and other.held[:4] == END
+    shown = base64.b32encode(sha.digest()).decode()
+    if not whole or said is not None and said != shown:
+        return None
+    window.drop(stop + 4)
+    parts: list[bytes] = []
+    window.through(n, parts.append if keep else lambda part: None)
+    window.skip(4)
+    return b"".join(parts) if keep else Found(n, shown)
 
 
 def _resync(window: _Bytes, skip: int, plain: int = 0) -> None:
@@ -191,59 +292,79 @@ def _resync(window: _Bytes, skip: int, plain: int = 0) -> None:
         window.drop(len(window.held) - 8)
 
 
-def _follows(held: bytes, stop: int) -> bool:
-    """Whether a whole valid record begins behind a record's end within what should be the block that begins at ``stop``."""
-    return any(_parse(held, m.start() + 4) is not None for m in NEXT_RECORD.finditer(held, stop + 1))
-
-
-def salvage(stream, most_bytes: int = MOST_BYTES) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | None]]:
-    """(place, bytes, status, headers, block) of a stream: status ``ok``, or ``gap`` for quarantined bytes.
+def _plain(window: _Bytes, most_bytes: int | None, keep: bool) -> tuple[dict[str, str], bytes | Found, int] | None:
+    """(headers, block, size) of the valid plain record that the window begins with; the window stays or, for a long one, comes back."""
+    window.fill(CHUNK)
+    start, stop = window.at, window.held.find(END)
+    headers = _headers(window.held[:stop]) if stop >= 0 else None
+    if headers is None or most_bytes is not None and int(headers["content-length"]) > most_bytes:
+        return None
+    n, said = int(headers["content-length"]), _said(headers)
+    if stop + 8 + n <= HELD:
+        window.fill(stop + 8 + n)
+        one = _parse(window.held)
+        return None if one is None else (headers, one[1] if keep else Found(n, digest(one[1])), one[2])
+    # the end mark first: an absurd length costs a seek
+    window.seek(start + stop + 4 + n)
+    whole = window.fill(4) and window.held[:4] == END
+    sha, parts = hashlib.sha1(), []
+    if whole:
+        window.seek(start + stop + 4)
+        window.through(n, sha.update)
+        shown = base64.b32encode(sha.digest()).decode()
+        if (whole := said is None or said == shown) and keep:
+            window.seek(start + stop + 4)
+            window.through(n, parts.append)
+    window.seek(start)
+    return (headers, b"".join(parts) if keep else Found(n, shown), stop + 8 + n) if whole else None
+
+
+def salvage(stream, most_bytes: int | None = None, keep: bool = True) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | Found | None]]:
+    """(place, bytes, status, headers, block) of a stream that can seek: status ``ok``, or ``gap`` for quarantined bytes.
 
     An empty stream has no rows; one without any valid record is a single gap. Records
     of a gzip member have its place and size. A member that holds anything but valid
     records is also a gap, as what it loses has no place of its own in the stream. Of a
     member that fails its check, only records whose digest holds are valid. A plain
-    record that claims more than ``most_bytes``, or within whose block another valid
-    one begins before its end is seen, is damage.
+    record that claims more than ``most_bytes``, where that is given, is damage. Without
+    ``keep`` a block is given as its size and digest.
     """
-    window = _Bytes(stream)
+    window = _Bytes(stream, shared=True)
     gap = None
     while window.fill(1):
-        found: list[tuple[dict[str, str], bytes]] = []
-        size, state, clean = 0, "whole", True
+        start, size, state, clean = window.at, 0, "whole", [True]
+        found: Iterator[tuple[dict[str, str], bytes | Found]] = iter(())
         if window.fill(3) and window.held[:3] == GZIP:
-            content, size, state = _member(window)
-            found, clean = _records(content)
-            if state == "bad":
-                found = [one for one in found if _said(one[0]) is not None]
-        elif window.fill(8) and window.held[:5] == b"WARC/":
-            need = CHUNK
-            while True:
-                window.fill(need)
-                one = _parse(window.held)
-                if one is not None:
-                    found, size = [one[:2]], one[2]
-                    break
-                stop = window.held.find(b"\r\n\r\n")
-                head = _headers(window.held[:stop]) if stop >= 0 else None
-                want = stop + 8 + int(head["content-length"]) if head else 0
-                if window.ended or want <= len(window.held) or want > most_bytes or want > need and _follows(window.held, stop):
-                    break
-                need = min(want, need + STRIDE)
-        if found:
+            member = _Inflating(window)
+            parts, total = [], 0
+            while piece := member.read(CHUNK):
+                total += len(piece)
+                parts = [*parts, piece] if total <= HELD else []
+            size, state = member.used, member.state
+            if total <= HELD:
+                content = _Bytes(io.BytesIO(b"".join(parts)))
+            else:
+                window.seek(start)
+                content = _Bytes(_Inflating(window))
+            found = _content(content, state != "bad", keep, total, lambda start=start: _Bytes(_Inflating(_Bytes(stream, start, True))), clean)
+        elif window.fill(8) and window.held[:5] == b"WARC/" and (one := _plain(window, most_bytes, keep)) is not None:
+            found, size = iter([one[:2]]), one[2]
+        some = False
+        for headers, block in found:
             if gap is not None:
-                yield gap, window.at - gap, "gap", None, None
+                yield gap, start - gap, "gap", None, None
                 gap = None
-            for headers, block in found:
-                yield window.at, size, "ok", headers, block
-            if state == "whole":
-                if not clean:
-                    yield window.at, size, "gap", None, None
-                window.drop(size)
-                continue
-        gap = window.at if gap is None else gap
+            some = True
+            yield start, size, "ok", headers, block
+        window.seek(start)
+        if some and state == "whole":
+            if not clean[0]:
+                yield start, size, "gap", None, None
+            window.seek(start + size)
+            continue
+        gap = start if gap is None else gap
         # a stored member shows its records' text: those that were found are not read again
-        _resync(window, 1, size if found else 0)
+        _resync(window, 1, size if some else 0)
     if gap is not None and window.at > gap:
         yield gap, window.at - gap, "gap", None, None
 
@@ -322,11 +443,11 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, at = _filesystem(path)
-                with fs.open_input_stream(at, compression=None) as stream:
+                with fs.open_input_file(at) as stream:
                     held, size = [], 0
-                    for place, n, status, headers, block in salvage(stream):
-                        if not keep_payload and headers is not None:
-                            headers = headers | {"found-length": str(len(block)), "found-digest": digest(block)}
+                    for place, n, status, headers, block in salvage(stream, keep=keep_payload):
+                        if isinstance(block, Found):
+                            headers = headers | {"found-length": str(block.size), "found-digest": block.digest}
                             block = None
                         held.append((path, place, n, status, None if headers is None else list(headers.items()), block))
                         size += len(block or b"") + 500

@@ -117,7 +117,7 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     s = signatures(words)
     a, b = s.alias("a"), s.alias("b")
-    once = ~F.col("a.second") | (F.left(F.col("a.word"), F.col("a.first")) != F.left(F.col("b.word"), F.col("a.first")))
+    once = ~F.col("a.second") | (F.left(F.col("a.word"), F.col("a.first")) != F.left(F.col("b.word"), F.col("b.first")))
     meet = (F.col("a.sum") == F.col("b.sum")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.second") == F.col("b.second"))
     pairs = a.join(b, meet & (F.col("a.letter") != F.col("b.letter")) & (F.col("a.word") < F.col("b.word")) & once & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1))
     way = lambda x, y: F.struct(F.col(f"{x}.word").alias("word"), F.col(f"{x}.n").alias("n"), F.col(f"{y}.word").alias("other"), F.col(f"{y}.n").alias("other_n"))

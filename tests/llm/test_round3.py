@@ -243,3 +243,78 @@ def test_compaction_of_odd_rows(spark):
     assert compaction.compact_table(df.limit(0)).collect() == []
     one = compaction.compact_table(df.limit(1).select("click_id", "arrived_at", F.lit(None).cast("double").alias("value"))).collect()
     assert len(one) == 1 and one[0].cents == 0 and one[0].rewritten is False
+
+
+# ---- earlier operators
+
+
+def test_finite_components_of_any_size_take_part(spark):
+    from quillspark.llm import maxscore
+
+    rows = [(0, [1e307, 1.0]), (1, [2e307, -1e307]), (2, [1e307, 2e307]), (3, [-1e307, 0.5]), (4, [0.25, 0.75]), (5, [1e-320, 1.7e308]), (4, [3.0, 1.0]), (20, [2.0, 1e307]), (20, [1.0, 1e307])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda v: [int(x) * 64 if abs(x) > 1e18 else int(64 * x // 1) for x in v]
+    got = sorted(map(tuple, maxscore.top_k(df, df.where("vec_id % 20 = 0"), 6).collect()))
+    want = []
+    for q, v in ((0, rows[0][1]), (20, rows[8][1])):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole(v), whole(w))), -(1 << 63)), (1 << 63) - 1), i) for i, w in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:6])]
+    assert got == sorted(want)
+
+
+def warc_record(k, n, said=True, kind="response"):
+    from quillspark.llm import warc
+
+    body = bytes([65 + k % 26]) * n
+    return warc.record(body, {"WARC-Type": kind, "X-Page-Id": str(k)} | ({"WARC-Payload-Digest": "sha1:" + warc.digest(body)} if said else {}))
+
+
+def salvaged(stream, keep=True):
+    from quillspark.llm import warc
+
+    return [(h["x-page-id"] if h else n, s, len(b) if isinstance(b, bytes) else b.size if b else 0) for _, n, s, h, b in warc.salvage(stream, keep=keep)]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+@pytest.mark.parametrize("zipped", [True, False])
+def test_records_beyond_what_is_held(monkeypatch, zipped, keep):
+    """Long records, whole and broken, plain and in one member, give and lose what short ones do."""
+    import gzip
+    import io
+
+    from quillspark.llm import warc
+
+    monkeypatch.setattr(warc, "HELD", 4096)
+    monkeypatch.setattr(warc, "CHUNK", 1024)
+    long, bad = warc_record(1, 20_000), warc_record(2, 30_000).replace(b"C" * 30_000, b"C" * 29_999 + b"D")
+    nested = warc_record(3, 10, said=False)
+    absurd = warc_record(6, 9_000).replace(b"Content-Length: 9000", b"Content-Length: 99999999999")
+    inner = bad[:-20_000] + nested + bad[-20_000:]  # a broken block that holds a valid record
+    parts = [warc_record(0, 10), long, inner, warc_record(4, 6_000, said=False), absurd, warc_record(5, 10)]
+    raw = b"".join(parts)
+    got = salvaged(io.BytesIO(gzip.compress(raw) if zipped else raw), keep)
+    assert [x for x in got if x[1] == "ok"] == [("0", "ok", 10), ("1", "ok", 20_000), ("3", "ok", 10), ("4", "ok", 6_000), ("5", "ok", 10)]
+    assert sum(x[1] == "gap" for x in got) == (1 if zipped else 3)
+    if zipped:
+        whole = gzip.compress(raw, mtime=0)
+        cut = salvaged(io.BytesIO(whole[:-8] + bytes(8) + gzip.compress(parts[0])), keep)  # a check that fails: only digests vouch
+        assert [x[0] for x in cut if x[1] == "ok"] == ["0", "1", "5", "0"]
+
+
+def peak_mb(code):
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", f"import io, gzip, resource, tempfile\nfrom quillspark.llm import warc\n{code}\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert said.returncode == 0, said.stderr[-600:]
+    return list(map(int, said.stdout.split()))
+
+
+def test_memory_of_long_records_and_long_members():
+    """A plain record of 300 MB, and one member of 10,000 records and 300 MB, are read in little more memory than the imports take."""
+    begin = "f = tempfile.TemporaryFile()\nbase = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024\nprint(base)\n"
+    plain = begin + "n = 300 << 20\nf.write(b'WARC/1.0\\r\\nX: 1\\r\\nContent-Length: %d\\r\\n\\r\\n' % n)\nfor _ in range(300): f.write(b'x' * (1 << 20))\nf.write(b'\\r\\n\\r\\n' + warc.record(b'y', {}))\nf.seek(0)\nprint(sum(s == 'ok' for _, _, s, _, _ in warc.salvage(f, keep=False)))"
+    member = begin + "g = gzip.GzipFile(fileobj=f, mode='wb', compresslevel=1)\nfor k in range(10000): g.write(warc.record(b'z' * 30000, {'X': str(k)}))\ng.close()\nf.seek(0)\nprint(sum(s == 'ok' for _, _, s, _, _ in warc.salvage(f, keep=False)))"
+    for code, n in ((plain, 2), (member, 10_000)):
+        base, found, peak = peak_mb(code)
+        assert found == n and peak - base < 100

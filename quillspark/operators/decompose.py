@@ -11,6 +11,7 @@ COMPARE_CUES = ("谁更高", "谁更低", "谁更好", "谁更强", "谁更优",
 SUMMARY_CUES = ("归纳总结", "总结一下", "归纳一下", "总结", "归纳")
 COMPARE_WORDS = ("以及", "相比", "对比", "比较", "和", "与", "及", "、")
 SUMMARY_WORDS = ("以及", "一下", "和", "与", "及", "、")
+ASPECT_BEGIN, ASPECT_END = r"^[的\s]+", "[。；;，,]+$"
 PLANS = {"compare": (2, 25, 5), "summary": (3, 15, 4)}
 
 
@@ -37,32 +38,56 @@ def names_of_documents(docs: DataFrame) -> DataFrame:
     return companies.unionByName(parts).distinct()
 
 
-def entity_spans(query: Column, names: Column) -> Column:
-    """array<struct<start, name>> by place: longest names first, each at its first place, none over another."""
-    at = F.transform(names, lambda n: F.struct(F.instr(query, n).alias("start"), n.alias("name")))
-    at = F.array_sort(
-        F.filter(at, lambda s: s["start"] > 0),
-        lambda a, b: F.when(F.length(a["name"]) != F.length(b["name"]), F.length(b["name"]) - F.length(a["name"])).otherwise(F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)),
-    )
-    free = lambda used, s: ~F.exists(used, lambda u: (s["start"] < u["start"] + F.length(u["name"])) & (u["start"] < s["start"] + F.length(s["name"])))
+def names_in(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, entities: the names that each distinct text of ``texts`` (column text) holds, by place; texts without any are left out.
+
+    Names meet texts by their first two characters (names of one by that one), which
+    tell how long the names are that begin so; then whole names are joined. Neither
+    side is gathered, and a beginning that many names share costs no more than their
+    lengths. Of a text's names the longest come first, then the least; each takes its
+    first place, and none goes over another.
+    """
+    known = names.select("name").where("name != ''").distinct()
+    begin = lambda c, at: F.substr(c, at, F.lit(2))
+    lengths = known.groupBy(F.left("name", F.lit(2)).alias("begin")).agg(F.collect_set(F.length("name")).alias("lengths"))
+    places = texts.select("text").where("text != ''").distinct().withColumn("start", F.explode(F.sequence(F.lit(1), F.length("text"))))
+    # the last character is a beginning by itself, and so is any that is a name of its own
+    begins = F.array_distinct(F.array(begin(F.col("text"), F.col("start")), F.substr("text", F.col("start"), F.lit(1))))
+    met = places.withColumn("begin", F.explode(begins)).join(lengths, "begin").withColumn("n", F.explode("lengths"))
+    met = met.where((F.length("begin") == F.least("n", F.lit(2))) & (F.col("start") + F.col("n") - 1 <= F.length("text")))
+    found = met.select("text", "start", F.substr("text", F.col("start"), F.col("n")).alias("name")).join(known, "name", "left_semi")
+    first = found.groupBy("text", "name").agg(F.min("start").alias("start"))
+    held = first.groupBy("text").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("less"), "name", "start"))).alias("held"))
+    return held.select("text", F.transform(spans_of("held"), lambda s: s["name"]).alias("entities"))
+
+
+def spans_of(held: Column | str) -> Column:
+    """array<struct<start, name>> by place, of names (name, start) in the order in which they may take their places, none over another."""
+    over = lambda u, s: (s["start"] < u["start"] + F.length(u["name"])) & (u["start"] < s["start"] + F.length(s["name"]))
+    span = lambda s: F.struct(s["start"].cast("int").alias("start"), s["name"].alias("name"))
     empty = F.array().cast("array<struct<start:int,name:string>>")
-    picked = F.aggregate(at, empty, lambda used, s: F.when(free(used, s), F.concat(used, F.array(F.struct(s["start"].cast("int").alias("start"), s["name"].alias("name"))))).otherwise(used))
-    return F.array_sort(picked)
+    return F.array_sort(F.aggregate(held, empty, lambda used, s: F.when(F.exists(used, lambda u: over(u, s)), used).otherwise(F.array_append(used, span(s)))))
+
+
+def entity_spans(query: Column, names: Column) -> Column:
+    """``spans_of`` the names of an array, for a few of them; ``names_in`` joins with many."""
+    at = F.transform(names, lambda n: F.struct((-F.length(n)).alias("less"), n.alias("name"), F.instr(query, n).alias("start")))
+    return spans_of(F.array_sort(F.filter(at, lambda s: s["start"] > 0)))
 
 
 def _aspect(query: Column, entities: Column, words: tuple[str, ...]) -> Column:
     left = F.aggregate(F.concat(entities, F.array(*map(F.lit, words))), query, lambda q, w: F.replace(q, w, F.lit(" ")))
-    return F.regexp_replace(F.regexp_replace(T.compact(left), r"^[的\s]+", ""), "[。；;，,]+$", "")
+    return F.regexp_replace(F.regexp_replace(T.compact(left), ASPECT_BEGIN, ""), ASPECT_END, "")
 
 
 def plan(queries: DataFrame, names: DataFrame, final_k: int = 10) -> DataFrame:
     """Adds plan: struct<query_type, subqueries, branch_candidate_k, branch_output_k, final_top_k>, null where no rule applies.
 
-    queries: query_id, query; names: name, a dictionary of bounded size.
+    queries: query_id, query; names: name, a dictionary of any size.
     """
-    known = names.agg(F.collect_list("name").alias("names__"))
-    rows = queries.crossJoin(F.broadcast(known)).withColumn("q__", T.normalize_query("query"))
-    rows = rows.withColumn("e__", F.transform(entity_spans(F.col("q__"), F.col("names__")), lambda s: s["name"]))
+    rows = queries.withColumn("q__", T.normalize_query("query"))
+    found = names_in(rows.select(F.col("q__").alias("text")), names).select(F.col("text").alias("q__"), F.col("entities").alias("e__"))
+    rows = rows.join(found, "q__", "left").withColumn("e__", F.coalesce("e__", F.array().cast("array<string>")))
     has = lambda cues: F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains("q__", c))
 
     def made(kind: str, words: tuple[str, ...]) -> Column:
@@ -74,7 +99,7 @@ def plan(queries: DataFrame, names: DataFrame, final_k: int = 10) -> DataFrame:
     made_plan = F.when((F.size("e__") == 2) & has(COMPARE_CUES), made("compare", COMPARE_CUES + COMPARE_WORDS)).when(
         (F.size("e__") == 3) & has(SUMMARY_CUES), made("summary", SUMMARY_CUES + SUMMARY_WORDS)
     )
-    return rows.withColumn("plan", made_plan).drop("names__", "q__", "e__")
+    return rows.withColumn("plan", made_plan).select(*queries.columns, "plan")
 
 
 def branches(planned: DataFrame) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quillspark.session import new_path
@@ -13,6 +17,8 @@ from quillspark.session import new_path
 NORM_FLOOR, PROBES = 1e-12, 16
 #: Queries that are sent to every task at once; 4096 of 1024 dimensions are 32 MB.
 QUERY_BLOCK = 4096
+#: Queries that are multiplied with a batch at once.
+TOGETHER = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,13 +50,97 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], bloc
     return queries.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, whether each is usable) of vectors, of unit length in double precision; usable: of ``width``, without nulls."""
+    sizes = np.asarray(column.value_lengths().fill_null(-1))
+    width = (int(sizes.max()) if len(sizes) else 0) if width is None else width
+    flat = column.flatten()
+    whole = sizes == width
+    if flat.null_count or not whole.all():
+        rows = column.to_pylist()
+        whole &= np.array([r is not None and None not in r for r in rows], bool)
+        x = np.array([r for r, w in zip(rows, whole) if w], np.float64).reshape(-1, width)
+    else:
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return x / np.maximum(np.sqrt(np.square(x).sum(axis=1, keepdims=True)), NORM_FLOOR), whole
+
+
+def _asked(queries: DataFrame) -> tuple[list, np.ndarray]:
+    """(ids, unit vectors) of a block of queries (query_id, q); those without a whole vector take no part."""
+    table = queries.select("query_id", "q").toArrow()
+    column = table.column("q").combine_chunks()
+    x, whole = _matrix(column)
+    return [i for i, w in zip(table.column("query_id").to_pylist(), whole) if w], x
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of each query's k best rows, ties to the smaller id; ids ascend with their place."""
+    n, m = scores.shape
+    if m > 4 * k:  # what can't be among the k best goes first
+        floor = np.partition(scores, m - k, axis=1)[:, m - k]
+        q, r = np.nonzero(scores >= floor[:, None])
+    else:
+        q, r = (x.ravel() for x in np.indices((n, m)))
+    order = np.lexsort((r, -scores[q, r], q))
+    q, r = q[order], r[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], r[place < k]
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int | None = None) -> DataFrame:
-    """query_id, rank, id, score. vectors: id, v; queries: query_id, q, taken in blocks that are sent to every task."""
-    rows = vectors.select("id", l2_normalize("v").alias("v"))
+    """query_id, rank, id, score. vectors: id, v; queries: query_id, q, taken in blocks that are sent to every task.
+
+    A task multiplies a batch of rows with a block of queries at once and hands on the k
+    best of its rows for each query. Vectors that are null, hold nulls or have another
+    length than the queries take no part.
+    """
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(vectors.dtypes)["id"]}
 
     def search(asked: DataFrame) -> DataFrame:
-        pairs = rows.crossJoin(F.broadcast(asked.select("query_id", l2_normalize("q").alias("q"))))
-        return _ranked(pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), digits).alias("score")), k)
+        names, matrix = _asked(asked)
+        spark = vectors.sparkSession
+        sent = spark.sparkContext.broadcast((names, matrix))
+
+        def run(batches):
+            names, q = sent.value
+            held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+
+            def keep(parts):
+                at = np.concatenate([p[0] for p in parts])
+                ids = pa.concat_arrays([p[1] for p in parts])
+                scores = np.concatenate([p[2] for p in parts])
+                by_id = np.empty(len(ids), np.int64)
+                by_id[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+                order = np.lexsort((by_id, -scores, at))
+                at = at[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < k
+                order = order[first]
+                return at[first], ids.take(pa.array(order)), scores[order]
+
+            for batch in batches:
+                if not len(names) or not batch.num_rows:
+                    continue
+                x, whole = _matrix(batch.column(1), q.shape[1])
+                ids = batch.column(0).filter(pa.array(whole))
+                if not len(ids):
+                    continue
+                order = np.asarray(pc.sort_indices(ids))
+                x, ids = x[order], ids.take(pa.array(order))
+                for a in range(0, len(names), TOGETHER):
+                    scores = np.round(q[a : a + TOGETHER] @ x.T, digits)
+                    at, row = _best(scores, order, k)
+                    held.append((at + a, ids.take(pa.array(row)), scores[at, row]))
+                if sum(len(p[0]) for p in held) > 4 * k * len(names) + 100_000:
+                    held = [keep(held)]
+            if held:
+                at, ids, scores = keep(held)
+                for a in range(0, len(at), 10_000):
+                    some = at[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in some.tolist()], ids_of_queries), ids[a : a + 10_000], pa.array(scores[a : a + 10_000])], names=["query_id", "id", "score"])
+
+        ids_of_queries = to_arrow_type(asked.schema["query_id"].dataType)
+        found = vectors.select("id", "v").where("v IS NOT NULL").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+        return _ranked(found, k)
 
     return in_blocks(queries, search, block)
 

@@ -12,4 +12,4 @@ ORACLE_SQL: dict[str, str] = {}
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quillspark.plans import cleaning, documents, parsing, retrieval  # noqa: F401
+    from quillspark.plans import cleaning, documents, indexing, parsing, retrieval  # noqa: F401

@@ -10,38 +10,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillspark.functions import text as T
+from quillspark.streaming.segments import SegmentedIndex
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_id", body: str = "text") -> StreamingQuery:
-    """Appends postings (id, term, tf) and lengths of new documents to tables under ``path``.
+    """Adds arriving documents to the segmented index at ``path``, a segment for each batch.
 
-    A batch that is repeated after a failure overwrites its own part, so that nothing
-    counts twice. Statistics are sums over parts and need no rebuild.
+    A batch that is repeated after a failure is known by its name and counts once; a
+    document that comes again replaces what it was.
     """
+    kind = dict(docs.dtypes)[key]
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col(key).alias("id"), T.tokens(body).alias("tokens"))
-        postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-        postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        rows.select("id", F.size("tokens").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
+        SegmentedIndex(batch.sparkSession, path, key_type=kind).add(batch, f"batch-{number}", key, text=body)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def indexed_stream(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(id, dl, term, tf) and (id, dl) of all that ``index_stream`` has written so far."""
-    lengths = spark.read.parquet(f"{path}/lengths").select("id", "dl")
-    return spark.read.parquet(f"{path}/postings").select("id", "term", "tf").join(lengths, "id"), lengths
+def indexed_stream(spark: SparkSession, path: str, kind: str = "long") -> tuple[DataFrame, DataFrame]:
+    """(id, dl, term, tf) and (id, dl) of the documents that count now."""
+    postings, lengths = SegmentedIndex(spark, path, key_type=kind).alive()
+    return postings.join(lengths, ["doc_id", "id"]).select("id", "dl", "term", "tf"), lengths.select("id", "dl")
 
 
-def search_stream(spark: SparkSession, path: str, terms: DataFrame, k: int) -> DataFrame:
-    """The BM25 top ``k`` of queries (query_id, term, qtf) over what has been indexed so far; statistics are sums over its batches."""
-    from quillspark.operators import lexical
-
-    postings, lengths = indexed_stream(spark, path)
-    docs = lengths.join(postings.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("tokens")), "id", "left")
-    return lexical.top_k(lexical.bm25_scores(docs.select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), terms), k)
+def search_stream(spark: SparkSession, path: str, terms: DataFrame, k: int, kind: str = "long") -> DataFrame:
+    """The BM25 top ``k`` of queries (query_id, term, qtf) over what has been indexed so far."""
+    return SegmentedIndex(spark, path, key_type=kind).search(terms, k)
 
 
 def parse_stream(files: DataFrame, parse, path: str, checkpoint: str) -> StreamingQuery:

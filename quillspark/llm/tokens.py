@@ -26,10 +26,14 @@ _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
 #: Distinct words kept by a worker; at about 150 bytes each, some 100 MB.
 CACHE_WORDS = 400_000
+#: Ids of all kept words together, and characters of their keys where those are texts; beyond either, words go too.
+CACHE_IDS, CACHE_CHARS = 4_000_000, 16_000_000
+#: Characters of a piece up to which its ids are remembered.
+PIECE_CHARS = 64
 
 
 class IdCache:
-    """The ids of distinct words in one array; beyond ``limit`` words, those that were met once only are forgotten."""
+    """The ids of distinct words in one array; beyond ``limit`` words, or the bounds of ids and characters, those that were met once only are forgotten."""
 
     def __init__(self, limit: int = CACHE_WORDS):
         self.limit = limit
@@ -40,21 +44,36 @@ class IdCache:
         self.starts = np.zeros(1, np.int64)  # ids of word k: flat[starts[k]:starts[k+1]]
         self.flat = np.empty(0, np.uint32)
         self.again = np.zeros(1, bool)  # whether word k was met again
+        self.chars = 0
+
+    def full(self, more: int) -> bool:
+        n = len(self.number)
+        return n > 0 and (n + more > self.limit or self.starts[n] > CACHE_IDS or self.chars > CACHE_CHARS)
 
     def shrink(self) -> None:
-        """Keeps the words that were met again, the latest half of ``limit`` at most."""
+        """Keeps the words that were met again, the latest ones up to half of each bound."""
         keep = np.flatnonzero(self.again[: len(self.number)])[-(self.limit // 2) :]
-        keys, chosen = list(self.number), keep.tolist()
+        keys = list(self.number)
+        within = np.ones(len(keep), bool)
+        for size, most in ((self.starts[keep + 1] - self.starts[keep], CACHE_IDS), (np.array([self._chars(keys[k]) for k in keep.tolist()], np.int64), CACHE_CHARS)):
+            within &= np.cumsum(size[::-1])[::-1] <= most // 2
+        keep = keep[within]
+        chosen = keep.tolist()
         flat, before = self.gather(keep)
         self.number = {keys[k]: i for i, k in enumerate(chosen)}
         self.starts, self.flat, self.again = before, flat, np.zeros(len(keep) + 1, bool)
+        self.chars = sum(map(self._chars, self.number))
+
+    @staticmethod
+    def _chars(key) -> int:
+        return len(key) if isinstance(key, (str, bytes)) else 0
 
     def numbers(self, keys: list, encode: Callable[[list[int]], list[list[int]]]) -> np.ndarray:
         """The numbers of ``keys``; ``encode`` gives the ids of keys[i] for each i of a list."""
         at = list(map(self.number.get, keys))
         if None in at:
             new = list({k: i for i, k in enumerate(keys) if at[i] is None}.values())
-            if len(self.number) + len(new) > self.limit and self.number:
+            if self.full(len(new)):
                 self.shrink()
                 at = list(map(self.number.get, keys))
                 new = list({k: i for i, k in enumerate(keys) if at[i] is None}.values())
@@ -76,6 +95,7 @@ class IdCache:
     def _learn(self, keys: list, encoded: list[list[int]]) -> None:
         base = len(self.number)
         self.number.update(zip(keys, range(base, base + len(keys))))
+        self.chars += sum(map(self._chars, keys))
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         added = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
         ends = self.starts[base] + np.cumsum(sizes)
@@ -135,7 +155,9 @@ class WordTokenizer:
             ids = self.known.get(piece)
             if ids is None:
                 raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-                ids = self.known[piece] = tuple([t.id for t in self.model.tokenize(raw)])
+                ids = tuple([t.id for t in self.model.tokenize(raw)])
+                if len(piece) <= PIECE_CHARS:
+                    self.known[piece] = ids
             out += ids
         return out
 

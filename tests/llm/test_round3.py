@@ -318,3 +318,19 @@ def test_memory_of_long_records_and_long_members():
     for code, n in ((plain, 2), (member, 10_000)):
         base, found, peak = peak_mb(code)
         assert found == n and peak - base < 100
+
+
+def test_id_cache_is_bounded_by_ids_and_characters(monkeypatch):
+    from quillspark.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_IDS", 400)
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 300)
+    for kind in (str, int):
+        cache = tokens.IdCache(1000)
+        for k in range(200):
+            keys = [kind(x) for x in (7, 10 + k, 7, 10 + k % 5, 10**20 + k)]
+            encode = lambda new, keys=keys: [[int(keys[i]) % 1000] * (1 + int(keys[i]) % 9) for i in new]
+            flat, before = cache.gather(cache.numbers(keys, encode))
+            assert [flat[a:b].tolist() for a, b in zip(before, before[1:])] == [[int(x) % 1000] * (1 + int(x) % 9) for x in keys]
+            assert cache.starts[len(cache.number)] <= 450 and cache.chars <= 350
+        assert kind(7) in cache.number

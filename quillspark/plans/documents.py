@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import cascade, typed
+from quillspark.operators import cascade, regions, typed
 from quillspark.plans import parsing
 from quillspark.plans.cleaning import _CLEAN, _COUNT
 from quillspark.plans.retrieval import _register
+from quillspark.session import read
 
 # Blocks as ``parsing`` makes them, with titles that number sections, tables in HTML and figures that name a trend.
 _KIND = parsing._KIND
@@ -101,3 +102,29 @@ def typed_chunks(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "chunk_type", F.expr("ord & 4294967295").alias("no"), F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"),
         "section", "subsection", F.array_join("block_ids", ",").alias("ids"), F.md5("text").alias("digest"),
     )
+
+
+# Parts as lines of a printed list: a row for each, 25 to a page, cells for name, brand, size and price; headings between, some cells missing.
+_PRINTED = "SELECT p_partkey // 200 AS doc_id, p_partkey % 200 // 25 + 1 AS page, p_partkey % 25 AS k, p_name, p_brand, p_size, CAST(round(p_retailprice, 2) AS VARCHAR) AS price FROM part"
+
+
+@_register(
+    "table_regions",
+    f"""WITH p AS ({_PRINTED}), r AS (SELECT *, k % 9 <> 4 AND p_size % 10 <> 0 AS tableish, CASE WHEN p_size % 4 = 1 THEN [p_name, p_brand, 's' || p_size] ELSE [p_name, p_brand, 's' || p_size, price] END AS cells FROM p),
+g AS (SELECT *, count(*) FILTER (NOT coalesce(tableish AND was AND k = before + 1, false)) OVER (PARTITION BY doc_id, page ORDER BY k) AS region FROM (SELECT *, lag(tableish) OVER w AS was, lag(k) OVER w AS before FROM r WINDOW w AS (PARTITION BY doc_id, page ORDER BY k))),
+t AS (SELECT doc_id, page, region, count(*) AS n_rows, max(len(cells)) AS n_columns, min(k) AS first, string_agg(array_to_string(cells, '|'), chr(10) ORDER BY k) AS body FROM g WHERE tableish GROUP BY ALL HAVING count(*) >= 5)
+SELECT t.doc_id, t.page, row_number() OVER (PARTITION BY t.doc_id, t.page ORDER BY region) AS table_no, n_rows, n_columns, CASE WHEN a.k % 9 = 4 THEN 'List of ' || a.p_brand WHEN a.k IS NULL THEN '' ELSE a.p_brand END AS title, md5(body) AS digest FROM t LEFT JOIN r a ON a.doc_id = t.doc_id AND a.page = t.page AND a.k = t.first - 1""",
+)
+def table_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables found among the lines of printed lists, with the lines above them as titles."""
+    k = F.col("p_partkey") % 25
+    cell = lambda x0, x1, text: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), text.alias("text"))
+    full = F.array(cell(40.0, 230.0, F.col("p_name")), cell(260.0, 330.0, F.col("p_brand")), cell(360.0, 390.0, F.concat(F.lit("s"), F.col("p_size").cast("string"))))
+    price = F.array(cell(430.0, 500.0, F.round("p_retailprice", 2).cast("string")))
+    cells = F.when(k % 9 == 4, F.array(cell(40.0, 230.0, F.concat(F.lit("List of "), "p_brand")))).when(F.col("p_size") % 10 == 0, F.slice(full, 1, 2)).when(F.col("p_size") % 4 == 1, full).otherwise(F.concat(full, price))
+    rows = read(spark, sf, "part").select(F.expr("p_partkey DIV 200").alias("doc_id"), F.expr("p_partkey % 200 DIV 25 + 1").alias("page"), k.alias("k"), F.posexplode(cells).alias("at", "c"))
+    lines = rows.select("doc_id", "page", (F.col("k") * 8 + F.col("at")).cast("int").alias("ord"), "c.x0", (40.0 + 28 * F.col("k") + F.col("at") % 2).alias("top"), "c.x1", (52.0 + 28 * F.col("k") + F.col("at") % 2).alias("bottom"), "c.text")
+    pages = lines.select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height")).distinct()
+    found = regions.dense_tables(lines, pages)
+    body = F.array_join(F.transform("rows", lambda r: F.array_join(F.filter(r, lambda c: c != ""), "|")), "\n")
+    return found.select("doc_id", "page", F.col("table_no").cast("long").alias("table_no"), F.size("rows").cast("long").alias("n_rows"), F.size(F.get("rows", 0)).cast("long").alias("n_columns"), "title", F.md5(body).alias("digest"))

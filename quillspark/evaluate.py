@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.operators import dense, evaluation
 from quillspark.retriever import Retriever, Settings
@@ -30,18 +31,68 @@ def chunk_grid(configurations: dict[tuple[int, int], DataFrame], queries: DataFr
     return out
 
 
-def index_comparison(indexes: dict[str, Callable[[DataFrame, int], DataFrame]], queries: DataFrame, exact: DataFrame, k: int = 10, runs: int = 3) -> list[dict]:
-    """For each index (a search of queries and k): its mean overlap with the exact hits, and the mean milliseconds a query of warmed runs."""
+def timed_build(build: Callable[[], object]) -> tuple[object, float]:
+    """What a build gives, and the seconds it took."""
+    began = time.time()
+    made = build()
+    return made, round(time.time() - began, 3)
+
+
+def folder_mb(spark: SparkSession, path: str) -> float:
+    """The size of all files below a path, as its file system tells it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return round(at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() / (1 << 20), 3)
+
+
+def index_comparison(indexes: dict[str, Callable[[DataFrame, int], DataFrame]], queries: DataFrame, exact: DataFrame, k: int = 10, runs: int = 3, built: dict[str, tuple[float, str]] | None = None) -> list[dict]:
+    """For each index (a search of queries and k): its mean overlap with the exact hits, the mean milliseconds a query of warmed runs, and its build and size.
+
+    built: seconds and folder of the indexes that lie on disk; build_s and mb are None for others.
+    """
     n, out = max(1, queries.count()), []
     for name, search in indexes.items():
         shared = dense.overlap(search(queries, k), exact, k).agg(F.avg("overlap")).first()[0]
         began = time.time()
         for _ in range(runs):
             search(queries, k).write.format("noop").mode("overwrite").save()
-        out.append({"index": name, "overlap": round(float(shared or 0.0), 6), "ms": round(1000 * (time.time() - began) / runs / n, 3)})
+        ms = round(1000 * (time.time() - began) / runs / n, 3)
+        seconds, path = (built or {}).get(name, (None, None))
+        out.append({"index": name, "overlap": round(float(shared or 0.0), 6), "ms": ms, "build_s": seconds, "mb": folder_mb(queries.sparkSession, path) if path else None})
     return out
 
 
+def generated(records: DataFrame, load: Callable[[], Callable[[str], str]], prompt: str = "prompt") -> DataFrame:
+    """Adds ``answer`` and ``error`` to records: what a model says to each prompt; one that fails has its error and no answer, and stops nothing.
+
+    load: gives the model's function of a prompt, once in each worker. If it can't be
+    loaded, that is every record's error.
+    """
+    names = records.columns
+
+    def run(batches):
+        model, failed = None, None
+        for held in batches:
+            answers, errors = [], []
+            for text in held[prompt]:
+                if model is None and failed is None:
+                    try:
+                        model = load()
+                    except Exception as e:
+                        failed = f"{type(e).__name__}: {e}"
+                said, error = None, failed
+                if failed is None:
+                    try:
+                        said = model(text)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                answers.append(said)
+                errors.append(error)
+            yield held.assign(answer=pd.array(answers, "object"), error=pd.array(errors, "object"))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name not in ("answer", "error"))
+    return records.select(*(n for n in names if n not in ("answer", "error"))).mapInPandas(run, f"{kinds}, answer string, error string")
+
+
 def judged(records: DataFrame, scores: Callable[[DataFrame], DataFrame], checkpoint: str, query_type: str | None = None, limit: int | None = None) -> DataFrame:
     """query_type, n and means of each metric over all records that have been judged, those of earlier runs too.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import evidence
+from quillspark.session import discard, materialize
 
 # What is returned where nothing is known, and how much of a hit a summary shows.
 ROUTER_DEFAULT, TYPE_DEFAULT = "RETRIEVE", "fact"
@@ -89,7 +90,7 @@ class Session:
     """Rounds of questions with the last turns as history: each ``ask`` is a batch of one round of many conversations.
 
     search: DataFrame (query_id, query, history) to hits (query_id, rank, id, score,
-    text). State is the turns' table, which the caller may write between rounds.
+    text). State is the turns' table, which each round writes.
     """
 
     def __init__(self, turns: DataFrame, search: Callable[[DataFrame], DataFrame], rounds: int = 6, score: str = "score", below: float = evidence.REFUSE_BELOW, generate: Callable[[Column, Column], Column] | None = None):
@@ -100,12 +101,15 @@ class Session:
         last = self.turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "role", "text")), False), 1, self.rounds).alias("t"), F.max("turn").alias("last__"))
         said = F.array_join(F.transform(F.reverse("t"), lambda x: F.concat(x["role"], F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n")
         asked = queries.join(last, "query_id", "left").withColumn("history", F.coalesce(said, F.lit(""))).drop("t")
-        hits = self.search(asked.drop("last__"))
+        asked = materialize(asked, "asked")  # it reads the turns that this round replaces
+        hits = materialize(self.search(asked.drop("last__")), "hits")
         items = evidence.evidence_items(hits)
-        found = answered(queries, items, evidence.refusals(queries, hits, self.score, self.below), self.generate)
+        found = materialize(answered(queries, items, evidence.refusals(queries, hits, self.score, self.below), self.generate), "answers")
         number = F.coalesce("last__", F.lit(0))
         new = asked.join(found.select("query_id", "answer"), "query_id").select(
             F.col("query_id").alias("conv_id"), F.inline(F.array(F.struct((number + 1).alias("turn"), F.lit("user").alias("role"), F.col("query").alias("text")), F.struct((number + 2).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))))
         )
-        self.turns = self.turns.select("conv_id", "turn", "role", "text").unionByName(new)
+        # written: what a model said is not asked again, and a round's plan doesn't hold those before it
+        before, self.turns = self.turns, materialize(self.turns.select("conv_id", "turn", "role", "text").unionByName(new), "turns")
+        discard(before)
         return payloads(asked.drop("last__"), found, retrieval_summary(hits))

@@ -53,15 +53,15 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], bloc
 def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, whether each is usable) of vectors, of unit length in double precision; usable: of ``width``, without nulls."""
     sizes = np.asarray(column.value_lengths().fill_null(-1))
-    width = (int(sizes.max()) if len(sizes) else 0) if width is None else width
+    width = max(int(sizes.max(initial=0)), 0) if width is None else width
     flat = column.flatten()
     whole = sizes == width
     if flat.null_count or not whole.all():
         rows = column.to_pylist()
         whole &= np.array([r is not None and None not in r for r in rows], bool)
-        x = np.array([r for r, w in zip(rows, whole) if w], np.float64).reshape(-1, width)
+        x = np.array([r for r, w in zip(rows, whole) if w], np.float64).reshape(int(whole.sum()), width)
     else:
-        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), width)
     return x / np.maximum(np.sqrt(np.square(x).sum(axis=1, keepdims=True)), NORM_FLOOR), whole
 
 

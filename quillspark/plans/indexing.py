@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions import segment
 from quillspark.operators import decompose, lexical
+from quillspark.operators.embedding import EmbeddingStore
 from quillspark.plans.parsing import _HAN, _LATIN
 from quillspark.plans.retrieval import _ASKED, _bm25_sql, K, _register, _terms
 from quillspark.session import new_path, read
@@ -79,3 +80,30 @@ def names_in_texts(spark: SparkSession, sf: str) -> DataFrame:
     names = words.select(F.explode(F.array("w", F.substring("w", 2, 3), F.concat(F.left("w", F.lit(1)), F.lit("e")), F.concat_ws(" ", "p", "w"))).alias("name"))
     found = parts.join(decompose.names_in(parts, names), "text", "left")
     return found.select("p_partkey", F.array_join(F.coalesce("entities", F.array().cast("array<string>")), "|").alias("names"))
+
+
+LETTERS = "abcdefghij"
+
+
+def _letter_counts():
+    import numpy as np
+
+    return lambda texts: np.array([[t.count(c) for c in LETTERS] for t in texts], np.float32).reshape(len(texts), len(LETTERS))
+
+
+_COUNT_SQL = "[" + ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in LETTERS) + "]"
+
+
+@_register(
+    "embedding_store",
+    f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN source || text ELSE text END AS t FROM documents) SELECT doc_id, md5(array_to_string({_COUNT_SQL}, ',')) AS digest, (SELECT count(DISTINCT t) FROM d WHERE t NOT IN (SELECT text FROM documents WHERE text IS NOT NULL)) AS encoded FROM d",
+)
+def embedding_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of documents of which a fifth changed after they had been encoded; encoded: how many texts the second run had to encode."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source")
+    store = EmbeddingStore(spark, new_path(spark, "vectors"), "letters", _letter_counts)
+    store.add(docs)
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("source", "text")).otherwise(F.col("text")))
+    n = store.add(changed)
+    counts = F.array_join(F.transform("v", lambda x: x.cast("long").cast("string")), ",")
+    return store.vectors(changed).select("doc_id", F.md5(counts).alias("digest"), F.lit(n).cast("long").alias("encoded"))

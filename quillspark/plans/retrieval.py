@@ -314,7 +314,7 @@ def _branch_hits(spark: SparkSession, sf: str) -> DataFrame:
     sources = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
     branches = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("branch"))
     branches = branches.withColumn("source", F.concat(F.lit("src"), ((F.col("query_id") + F.col("branch")) % 20).cast("string")))
-    hits = scores.join(sources, "id").join(F.broadcast(branches), ["query_id", "source"])
+    hits = scores.join(sources, "id").join(branches, ["query_id", "source"])
     w = Window.partitionBy("query_id", "branch").orderBy(F.desc("score"), "id")
     return hits.select("query_id", F.col("branch").cast("long").alias("branch"), "id", "score", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 15")
 
@@ -349,7 +349,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_s
 def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """Two stages: the best 50 by BM25, then by the share of query tokens they hold (the model-free default scorer)."""
     pool = _body_hits(spark, sf, 50).join(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    pool = pool.join(F.broadcast(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))), "query_id")
+    pool = pool.join(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     asked = F.array_distinct(T.tokens("query"))
     share = F.round(F.size(F.array_intersect(asked, T.tokens("text"))) / F.greatest(F.size(asked), F.lit(1)), 6)
     return ranking.rerank(pool, share, K).select("query_id", "rank", "id", "rerank_score")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators import decompose, dense, fusion, lexical, ranking
-from quillspark.session import materialize
+from quillspark.session import discard, materialize
 
 ROUTES = ("vector", "bm25", "hybrid_weightsum", "hybrid_rrf")
 HYBRID = ("hybrid", "hybrid_weightsum", "hybrid_rrf")
@@ -37,8 +37,8 @@ class Retriever:
     ``encode`` makes vectors of texts (a Column function, e.g. a pandas UDF). segment:
     splits runs of ideographs (``text.bigrams`` without a dictionary, or any Column
     function from array to array); corpus and queries are segmented alike. score: the
-    second stage's Column over query and text. Tokens, lengths and term statistics are
-    written once, when it is made.
+    second stage's Column over query and text. Postings and term statistics are
+    written once, when it is made; ``close`` deletes them and what searches wrote.
     """
 
     def __init__(
@@ -54,10 +54,22 @@ class Retriever:
         self.names, self.segment, self.encode, self.score = names, segment, encode, score
         self.has_vectors, self.has_titles = "v" in chunks.columns, "title" in chunks.columns
         keep = ["chunk_id", "doc_id", "text", *(c for c in ("v", "title", "company", "ord") if c in chunks.columns)]
-        self.chunks = materialize(chunks.select(*keep), "chunks")
-        self.docs = materialize(lexical.tokenized(self.chunks, "chunk_id", "text", segment), "tokens")
-        self.stats = materialize(lexical.term_stats(self.docs), "terms")
-        self.heads = materialize(self._heads(), "heads") if self.has_titles else None
+        self._tables: list[DataFrame] = []
+        self.chunks = self._written(chunks.select(*keep), "chunks")
+        # postings are sorted by term: a search reads the row groups of its terms
+        self.docs = self._written(lexical.postings(lexical.tokenized(self.chunks, "chunk_id", "text", segment)), "postings")
+        self.stats = self._written(lexical.stats_of_postings(self.docs), "terms")
+        self.heads = self._written(lexical.postings(self._heads()), "heads") if self.has_titles else None
+        self.head_stats = self._written(lexical.stats_of_postings(self.heads), "head-terms") if self.has_titles else None
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        self._tables.append(materialize(df, name))
+        return self._tables[-1]
+
+    def close(self) -> None:
+        """Deletes all tables that it wrote; what its searches gave can't be read after that."""
+        discard(*self._tables)
+        self._tables = []
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **kwargs) -> Retriever:
@@ -78,16 +90,16 @@ class Retriever:
     def warm_up(self) -> int:
         """Reads what every search reads; returns the number of chunks."""
         self.stats.count()
-        return self.docs.count()
+        return self.docs.select("id").distinct().count()
 
     def _terms(self, queries: DataFrame) -> DataFrame:
         return lexical.query_terms(queries, "query_id", "query", self.segment)
 
     def bm25(self, queries: DataFrame, k: int) -> DataFrame:
-        terms = materialize(self._terms(queries), "query-terms")
-        scores = lexical.bm25_scores(self.docs, terms, self.stats)
+        terms = self._written(self._terms(queries), "query-terms")
+        scores = lexical.scored(self.docs, terms, self.stats)
         if self.heads is not None and self.settings.title_weight:
-            titles = lexical.bm25_scores(self.heads, terms).withColumnRenamed("id", "doc_id").join(self.chunks.select("chunk_id", "doc_id"), "doc_id")
+            titles = lexical.scored(self.heads, terms, self.head_stats).withColumnRenamed("id", "doc_id").join(self.chunks.select("chunk_id", "doc_id"), "doc_id")
             scores = lexical.with_title_bonus(scores, titles.select("query_id", F.col("chunk_id").alias("id"), "score"), self.settings.title_weight)
         return lexical.top_k(scores, k)
 
@@ -173,14 +185,14 @@ class Retriever:
         Vectors: by the encoder for each branch; without one, of branches the column
         ``branch_q`` (array of vectors, in order), or else the whole query's vector.
         """
-        planned = materialize(self.plans(queries, k), "plans")
+        planned = self._written(self.plans(queries, k), "plans")
         branches = decompose.planned_branches(planned)
         given = [c for c in ("q", "branch_q") if c in queries.columns]
         if given:
             branches = branches.join(queries.select("query_id", *given), "query_id")
             vector = F.col("q") if "branch_q" not in given else F.get("branch_q", F.col("branch")) if "q" not in given else F.coalesce(F.get("branch_q", F.col("branch")), F.col("q"))
             branches = branches.withColumn("q", vector).drop("branch_q")
-        branches = materialize(branches, "branches")
+        branches = self._written(branches, "branches")
         found = plain(queries.join(branches.where("query_type = 'fact'").select("query_id"), "query_id", "left_semi")).withColumn("query_type", F.lit("fact"))
         columns = found.columns
         for kind, (_, candidates, output) in decompose.PLANS.items():

@@ -14,19 +14,31 @@ CHECKPOINT = "qid string, query_type string, metrics map<string,double>, timesta
 PARTS = ("docstore", "vectors", "build_meta")
 
 
-def _files(spark: SparkSession, paths: str | list[str], glob: str):
+def _files(spark: SparkSession, glob: str):
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
 
 
+def disjoint(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths, patterns expanded, less those that repeat or lie below another: no file is read twice, and nothing is shuffled for it."""
+    jvm, found = spark._jvm, set()
+    for path in [paths] if isinstance(paths, str) else paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        met = fs.globStatus(at)
+        # what isn't there is left for the reader to name
+        found |= {f.getPath().toString() for f in met} if met else {fs.makeQualified(at).toString()}
+    below = lambda p: any(p[:k] in found for k, c in enumerate(p) if c == "/" and k)
+    return sorted(p for p in found if not below(p))
+
+
 def _stem(path, suffix: str):
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), suffix, "")
 
 
 def parsed_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """doc_id and the fields of every ``*.parsed.json`` below ``paths``, each file once. A malformed file raises."""
-    rows = _files(spark, paths, "*.parsed.json").schema(PARSED).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-    # a file that two of the paths hold is one document
-    rows = rows.withColumn("file__", F.input_file_name()).dropDuplicates(["file__"])
+    rows = _files(spark, "*.parsed.json").schema(PARSED).option("multiLine", True).option("mode", "FAILFAST").json(disjoint(spark, paths))
+    rows = rows.withColumn("file__", F.input_file_name())
     path = F.col("file__")
     source = F.regexp_replace(F.element_at(F.split(F.coalesce("source", F.lit("")), "/"), -1), r"(?i)\.pdf$", "")
     return rows.select(F.coalesce(F.nullif(source, F.lit("")), _stem(path, r"\.parsed\.json$")).alias("doc_id"), "source", "page_sizes", "blocks")
@@ -41,7 +53,7 @@ def document_blocks(parsed: DataFrame) -> DataFrame:
 
 def chunk_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A row per chunk of every JSON chunk file: file, doc_id (else the file's name), ord, chunk_id, text, metadata."""
-    rows = _files(spark, paths, "*.json").schema(CHUNKS).option("multiLine", True).json(paths).withColumn("file", F.input_file_name()).dropDuplicates(["file"])
+    rows = _files(spark, "*.json").schema(CHUNKS).option("multiLine", True).json(disjoint(spark, paths)).withColumn("file", F.input_file_name())
     rows = rows.select("file", F.coalesce("doc_id", _stem(F.col("file"), r"\.json$")).alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode_outer("chunks").alias("ord", "c"))
     return rows.where("c IS NOT NULL").select("file", "doc_id", "source", "ord", F.col("c.id").alias("chunk_id"), F.coalesce("c.text", F.lit("")).alias("text"), "c.metadata")
 

@@ -64,9 +64,30 @@ def write_per_query(results: DataFrame, path: str, overwrite: bool = False) -> N
     rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("route", "slug").json(path)
 
 
-def write_answers(payloads: DataFrame, path: str) -> None:
-    """Payloads (query_id, payload) appended as JSON lines."""
-    payloads.select(F.col("payload").alias("value")).write.mode("append").text(path)
+def write_answers(payloads: DataFrame, path: str, overwrite: bool = False, meta: dict | None = None) -> None:
+    """Payloads (query_id, payload) as JSON lines below ``path``/records, and one JSON line of what they have in common in ``path``/run.
+
+    A folder that is there already is an error unless ``overwrite``.
+    """
+    mode = "overwrite" if overwrite else "errorifexists"
+    payloads.select(F.col("payload").alias("value")).write.mode(mode).text(f"{path}/records")
+    spark = payloads.sparkSession
+    run = spark.range(1).select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in (meta or {}).items()), F.current_timestamp().cast("string").alias("timestamp"))).alias("value"))
+    run.write.mode(mode).text(f"{path}/run")
+
+
+def append_answers(payloads: DataFrame, path: str) -> None:
+    """Payloads appended to the JSON lines of earlier calls."""
+    payloads.select(F.col("payload").alias("value")).write.mode("append").text(f"{path}/records")
+
+
+def write_parsed(parsed: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Parsed documents (doc_id, source, method, page_sizes, blocks, any others) as JSON, a folder for each document's first two hash digits.
+
+    ``readers.parsed_documents`` reads single files; these are read back with ``spark.read.json``.
+    """
+    rows = parsed.withColumn("part", F.left(F.md5(F.col("doc_id").cast("string")), F.lit(2)))
+    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("part").json(path)
 
 
 def as_markdown(blocks: DataFrame) -> DataFrame:

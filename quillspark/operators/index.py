@@ -25,12 +25,20 @@ def labelled_line(text: Column, label: str) -> Column:
 
 
 def document_fields(chunks: DataFrame) -> DataFrame:
-    """doc_id, title, company: the first that a document's cover chunks name; without one the title is that of the id, the company empty."""
+    """doc_id, title, company: the first that a document's cover chunks name.
+
+    Without one the title is that of the first embedding text which begins with one (where
+    there is such a column), else that of the id; the company is empty.
+    """
     cover = F.col("chunk_type") == COVER
-    rows = chunks.select("doc_id", "ord", F.when(cover, labelled_line(F.col("text"), TITLE_LABEL)).alias("t"), F.when(cover, labelled_line(F.col("text"), COMPANY_LABEL)).alias("c"))
+    embedded = T.first_nonempty_line("embedding_text") if "embedding_text" in chunks.columns else F.lit("")
+    rows = chunks.select(
+        "doc_id", "ord", F.when(cover, labelled_line(F.col("text"), TITLE_LABEL)).alias("t"), F.when(cover, labelled_line(F.col("text"), COMPANY_LABEL)).alias("c"),
+        labelled_line(embedded, TITLE_LABEL).alias("e"),
+    )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
-    fields = rows.groupBy("doc_id").agg(first("t").alias("t"), first("c").alias("c"))
-    return fields.select("doc_id", F.coalesce("t", T.title_from_id(F.col("doc_id").cast("string"))).alias("title"), F.coalesce("c", F.lit("")).alias("company"))
+    fields = rows.groupBy("doc_id").agg(first("t").alias("t"), first("e").alias("e"), first("c").alias("c"))
+    return fields.select("doc_id", F.coalesce("t", "e", T.title_from_id(F.col("doc_id").cast("string"))).alias("title"), F.coalesce("c", F.lit("")).alias("company"))
 
 
 def _last(rows: DataFrame, *by: str) -> DataFrame:

@@ -10,6 +10,7 @@ from quillspark.operators.embedding import EmbeddingStore
 from quillspark.plans.parsing import _HAN, _LATIN
 from quillspark.plans.retrieval import _ASKED, _bm25_sql, K, _register, _terms
 from quillspark.session import new_path, read
+from quillspark.streaming import incremental
 from quillspark.streaming.segments import SegmentedIndex
 
 # Documents arrive in two lots; the second brings new versions too; some go, some of those come back.
@@ -107,3 +108,16 @@ def embedding_store(spark: SparkSession, sf: str) -> DataFrame:
     n = store.add(changed)
     counts = F.array_join(F.transform("v", lambda x: x.cast("long").cast("string")), ",")
     return store.vectors(changed).select("doc_id", F.md5(counts).alias("digest"), F.lit(n).cast("long").alias("encoded"))
+
+
+@_register(
+    "user_sessions",
+    """WITH e AS (SELECT user_id, ts, value, coalesce(ts >= lag(ts) OVER w + INTERVAL 10 MINUTE, true) AS begins FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM e)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts) + INTERVAL 10 MINUTE) AS BIGINT) AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, no""",
+)
+def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of users, by gaps of ten minutes between their events."""
+    rows = incremental.user_sessions(read(spark, sf, "events"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return rows.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n", "total")

@@ -62,3 +62,13 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minu
     """Counts and sums of events by window and type, with late rows dropped after ``late``."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def user_sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """user_id, start, end, n, total of each user's events that follow one another within ``gap``; ``end`` is a gap after the last.
+
+    On a stream a session is closed, and comes out in append mode, once the watermark
+    has passed its end; rows later than that are dropped. Rows without a time take no part.
+    """
+    rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")

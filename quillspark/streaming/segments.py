@@ -169,10 +169,11 @@ class SegmentedIndex:
 def upload(index: SegmentedIndex, classified: DataFrame, sources: DataFrame, size: int = 512, overlap: int = 100, name: str | None = None) -> DataFrame:
     """Blocks of new or changed reports to searchable chunks in one call: chunks of every kind, docstore records, a segment of those that are indexed.
 
-    Returns the docstore's records. The index's ids are chunk ids.
+    Returns the docstore's records. The index's ids are chunk ids; tables are searched with their surroundings and captions.
     """
     from quillspark.operators import index as records_of, typed
 
     records = materialize(records_of.docstore_records(typed.chunk_documents_typed(classified, sources, size, overlap)), "records")
-    index.add(records.where("indexed"), name, "doc_id", "chunk_id", "text")
+    body = lexical.table_context(F.col("text"), F.col("chunk_type"), F.col("context"), F.col("caption"))
+    index.add(records.where("indexed"), name, "doc_id", "chunk_id", body)
     return records

@@ -148,3 +148,9 @@ def test_blocks_to_docstore(spark):
     assert {r["name"]: r.n for r in index.load_summary(index.docstore_records(chunks)).where("kind = 'tables'").collect()} == {"summaries": 1, "matched": 1}
     assert typed.chunk_documents_typed(cascade.classified_blocks(df.limit(0), pages), sources).count() == 2
     assert {r.chunk_type for r in typed.chunk_documents_typed(cascade.classified_blocks(df, pages), sources, figures=False).collect()} == {"cover_summary_chunk", "text_chunk", "raw_table_chunk", "table_summary_chunk"}
+
+
+def test_titles_of_embedding_texts(spark):
+    rows = [("a_1", 1, "text_chunk", "标题：not this", "\n标题：From the text\nx"), ("a_1", 0, "text_chunk", "x", "x"), ("b", 0, index.COVER, "标题：Cover", "标题：Other"), ("2_2024-01-01_c", 0, "text_chunk", None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, ord int, chunk_type string, text string, embedding_text string")
+    assert {r.doc_id: r.title for r in index.document_fields(df).collect()} == {"a_1": "From the text", "b": "Cover", "2_2024-01-01_c": "c"}

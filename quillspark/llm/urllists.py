@@ -19,7 +19,7 @@ from quillspark.session import materialize
 
 #: Measured bytes (as JSON) of the epochs of hosts or pages up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 EVENTS = "list_name string, policy string, kind string, entry string, action string, listed_on date"
 
@@ -41,10 +41,16 @@ def listed_page(entry: Column) -> Column:
     return page_of(F.when(F.lower(entry).rlike(r"^[a-z][a-z0-9+.-]*://"), entry).otherwise(F.concat(F.lit("http://"), entry)))
 
 
+def listed_domain(entry: Column) -> Column:
+    """A domain entry as ``host_of`` names hosts: lower-cased, without blanks, a leading "*." or dots at its ends."""
+    return F.rtrim(F.regexp_replace(F.trim(F.lower(entry)), r"^\*?\.+", ""), F.lit("."))
+
+
 def domains_of(host: Column) -> Column:
-    """The host and every domain above it."""
+    """The host and every domain above it; nothing is above an address of numbers."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(host.rlike(r"^\[|^\d+(\.\d+){3}$"), F.array(host)).otherwise(above)
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -97,7 +103,8 @@ def match_lists(captures: DataFrame, events: DataFrame) -> DataFrame:
     spans = intervals(events)
     rows = captures.select("page_id", "url", "fetched_on", host_of(F.col("url")).alias("host"), page_of(F.col("url")).alias("page"))
     hosts = rows.select("host").where("host IS NOT NULL").distinct().withColumn("entry", F.explode(domains_of(F.col("host"))))
-    by_host = hosts.join(spans.where("kind = 'domain'"), "entry")
+    domains = spans.where("kind = 'domain'").withColumn("entry", listed_domain(F.col("entry"))).where("entry != ''")
+    by_host = hosts.join(domains, "entry")
     pages = spans.where("kind = 'page'").withColumn("page", listed_page(F.col("entry")))
     rows = _as_of(_as_of(rows, epochs(by_host, "host"), "host", "of_host"), epochs(pages.where("page IS NOT NULL"), "page"), "page", "of_page")
     either = lambda field: F.coalesce(F.col(f"of_host.{field}"), F.lit(False)) | F.coalesce(F.col(f"of_page.{field}"), F.lit(False))

@@ -334,3 +334,14 @@ def test_id_cache_is_bounded_by_ids_and_characters(monkeypatch):
             assert [flat[a:b].tolist() for a, b in zip(before, before[1:])] == [[int(x) % 1000] * (1 + int(x) % 9) for x in keys]
             assert cache.starts[len(cache.number)] <= 450 and cache.chars <= 350
         assert kind(7) in cache.number
+
+
+def test_domain_entries_are_named_as_hosts(spark):
+    from quillspark.llm import urllists
+
+    day = datetime.date(2024, 1, 1)
+    entries = [("a", "www.Dot.example."), ("b", "*.star.example"), ("c", "4"), ("d", "9.9.9.4"), ("e", "[::1]"), ("f", " . "), ("g", ".lead.example")]
+    events = spark.createDataFrame([(n, "block", "domain", e, "add", day) for n, e in entries], urllists.EVENTS)
+    urls = ["http://www.dot.example/x", "http://a.www.dot.example./", "http://x.star.example", "http://9.9.9.4/", "http://8.9.9.4", "http://[::1]:80/a", "http://[::2]/", "http://dot.example", "http://lead.example", "http://u@9.9.9.4:8080"]
+    captures = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    assert {r.page_id: r.lists for r in urllists.match_lists(captures, events).collect()} == {0: "a", 1: "a", 2: "b", 3: "d", 4: "", 5: "e", 6: "", 7: "", 8: "g", 9: "d"}

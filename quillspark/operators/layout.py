@@ -42,6 +42,12 @@ ROW_HEIGHT, ROW_SHARE = 8.0, 0.75
 SPLIT_LINES, SPLIT_SIDE, SPLIT_GAP, SPLIT_WITHIN = 8, 4, 0.09, (0.20, 0.75)
 SPLIT_SPREAD, SPLIT_CENTRE_GAP, SPLIT_CENTRE_WITHIN = 0.18, 0.16, (0.32, 0.68)
 BODY_WIDTH, BODY_SHARE, FULL_WIDTH = 20, 0.72, 0.68
+# Fixed values of tables: rows, columns, filled cells and characters at least; the box at least; what is a column or a page of text instead.
+LEAST_ROWS, LEAST_COLUMNS, LEAST_FILLED, LEAST_CHARS = 2, 2, 4, 16
+LEAST_WIDTH, LEAST_WIDTH_SHARE, LEAST_HEIGHT = 90.0, 0.16, 18
+COLUMN_HEIGHT, COLUMN_WIDTH = 0.82, 0.18
+PAGE_WIDTH, PAGE_HEIGHT, PAGE_ROWS, PAGE_CELL = 0.86, 0.62, 8, 180
+PROSE_CELL, PROSE_ROWS = 420, 12
 POSITION_TAG = r"@@[0-9-]+\t[0-9.\t]+##"
 
 
@@ -254,12 +260,16 @@ def columns_of_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def is_table(rows: Column, wide: Column, high: Column, page_width: Column, page_height: Column) -> Column:
     """Whether rows of cells in a box of that size are a table and not a layout."""
     cells = F.transform(F.flatten(rows), T.strip)
-    columns = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
-    filled, chars = F.size(F.filter(cells, lambda c: c != "")), F.aggregate(cells, F.lit(0), lambda s, c: s + F.length(c))
-    longest = F.coalesce(F.array_max(F.transform(cells, lambda c: F.length(c))), F.lit(0))
-    sized = (wide >= F.greatest(F.lit(90.0), 0.16 * page_width)) & (high >= 18) & ~((high > 0.82 * page_height) & (wide < 0.18 * page_width))
-    whole_page = (wide > 0.86 * page_width) & (high > 0.62 * page_height) & ((F.size(rows) < 8) | (longest > 180))
-    return (F.size(rows) >= 2) & (columns >= 2) & (filled >= 4) & sized & ~whole_page & ~((longest > 420) & (F.size(rows) < 12)) & (chars >= 16)
+    lengths = F.transform(cells, lambda c: F.length(c))
+    most = lambda x: F.coalesce(F.array_max(x), F.lit(0))
+    n_rows, longest = F.size(rows), most(lengths)
+    grid = (n_rows >= LEAST_ROWS) & (most(F.transform(rows, lambda r: F.size(r))) >= LEAST_COLUMNS)
+    filled = (F.size(F.filter(lengths, lambda n: n > 0)) >= LEAST_FILLED) & (F.aggregate(lengths, F.lit(0), lambda s, n: s + n) >= LEAST_CHARS)
+    sized = (wide >= F.greatest(F.lit(LEAST_WIDTH), LEAST_WIDTH_SHARE * page_width)) & (high >= LEAST_HEIGHT)
+    column = (high > COLUMN_HEIGHT * page_height) & (wide < COLUMN_WIDTH * page_width)
+    whole_page = (wide > PAGE_WIDTH * page_width) & (high > PAGE_HEIGHT * page_height) & ((n_rows < PAGE_ROWS) | (longest > PAGE_CELL))
+    prose = (longest > PROSE_CELL) & (n_rows < PROSE_ROWS)
+    return grid & filled & sized & ~column & ~whole_page & ~prose
 
 
 def inside(x: Column, y: Column) -> Column:
@@ -294,11 +304,21 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def merge_layout(blocks: DataFrame) -> DataFrame:
-    """One block per (doc_id, page, type, layoutno): the union of boxes and the texts from top to bottom."""
-    return blocks.groupBy("doc_id", "page", "type", "layoutno").agg(
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
-        join_lines(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "ord", "text"))), lambda p: p["text"])).alias("text"),
+    """One block per (doc_id, page, type, layoutno): the union of boxes, the texts from top to bottom, and what else the parts carry.
+
+    Optional columns: positions (array of page, x0, x1, top, bottom) are those of all
+    parts in order, col_id gives col_ids, each once; block_id gives source_block_ids.
+    """
+    part = F.struct("top", "x0", "ord", "text", *(c for c in ("positions", "block_id") if c in blocks.columns))
+    rows = blocks.groupBy("doc_id", "page", "type", "layoutno").agg(
+        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(part)).alias("parts"),
+        *([F.array_sort(F.collect_set("col_id")).alias("col_ids")] if "col_id" in blocks.columns else []),
     )
+    each = lambda name: F.transform("parts", lambda p: p[name])
+    more = [F.flatten(F.filter(each("positions"), lambda p: p.isNotNull())).alias("positions")] if "positions" in blocks.columns else []
+    more += [each("block_id").alias("source_block_ids")] if "block_id" in blocks.columns else []
+    more += ["col_ids"] if "col_id" in blocks.columns else []
+    return rows.select("doc_id", "page", "type", "layoutno", "x0", "top", "x1", "bottom", join_lines(each("text")).alias("text"), *more)
 
 
 def continues_across_pages(blocks: DataFrame, height: str = "height") -> DataFrame:

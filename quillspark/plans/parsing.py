@@ -12,7 +12,7 @@ from quillspark.functions import text as T
 from quillspark.operators import answers, cascade, decompose, evaluation, evidence, index, layout, lexical
 from quillspark.plans.cleaning import _CLEAN
 from quillspark.plans.retrieval import _ASKED, _BODY, K, _bm25_sql, _body_hits, _register, gold
-from quillspark.session import read
+from quillspark.session import numbered, read
 
 # Lines of documents as blocks: markers in place of some lines, a page of 24 lines in two columns.
 _MARKED = """CASE WHEN ord % 31 = 4 THEN '相关研究报告' WHEN ord % 47 = 9 THEN '免责声明' WHEN ord % 13 = 7 THEN '风险提示：' || text WHEN ord % 17 = 3 THEN '资料来源：' || source WHEN ord % 29 = 6 THEN '研究所'
@@ -199,10 +199,8 @@ SELECT CAST(query_id AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION B
 )
 def bm25_ideographs(spark: SparkSession, sf: str) -> DataFrame:
     """Search among runs of ideographs, which are segmented: every distinct name is a query."""
-    from pyspark.sql.window import Window
-
     names = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.translate(F.lower("p_name"), _LATIN, _HAN).alias("t"))
-    asked = names.select("t").distinct().withColumn("query_id", F.row_number().over(Window.orderBy("t")).cast("long"))  # names of parts are few
+    asked = numbered(names.select("t").distinct(), "t", "query_id")
     terms = lexical.query_terms(asked, "query_id", "t", T.bigrams)
     return lexical.top_k(lexical.bm25_scores(lexical.tokenized(names, "id", "t", T.bigrams), terms), K)
 

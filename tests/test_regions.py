@@ -108,3 +108,34 @@ def test_regions_below_captions(spark):
     pages = spark.createDataFrame([(1, p, 600.0, 800.0) for p in range(1, 12)], "doc_id int, page int, width double, height double")
     got = {(r.page, r.ord): r.after for r in regions.caption_regions(spark.createDataFrame(lines, LINES), pages).collect()}
     assert got == want and len(want) > 20
+
+
+def test_what_is_a_table(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import layout
+
+    grid = lambda r, c, text="cell": [[text] * c for _ in range(r)]
+    cases = [(grid(3, 3), 300.0, 100.0, True), (grid(1, 3), 300.0, 100.0, False), (grid(3, 1), 300.0, 100.0, False), (grid(3, 3, ""), 300.0, 100.0, False), (grid(2, 2, "ab"), 300.0, 100.0, False), (grid(3, 3), 95.0, 100.0, False), (grid(3, 3), 300.0, 17.0, False),
+             (grid(30, 3), 105.0, 700.0, False), (grid(5, 3), 550.0, 600.0, False), (grid(9, 3), 550.0, 600.0, True), (grid(9, 3, "x" * 181), 550.0, 600.0, False), (grid(5, 2, "x" * 421), 300.0, 300.0, False), (grid(12, 2, "x" * 421), 300.0, 300.0, True), ([], 300.0, 100.0, False)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, rows array<array<string>>, wide double, high double, want boolean")
+    got = df.select("k", layout.is_table(F.col("rows"), F.col("wide"), F.col("high"), F.lit(595.0), F.lit(842.0)).alias("is"), "want").collect()
+    assert {r.k for r in got if r["is"] != r.want} == set()
+
+
+def test_parts_of_a_layout_block(spark):
+    from quillspark.operators import layout
+
+    rows = [(1, 1, "text", 7, 2, "b2", 10.0, 50.0, 90.0, 60.0, "second", [[1.0, 10.0, 90.0, 50.0, 60.0]], 1), (1, 1, "text", 7, 1, "b1", 20.0, 30.0, 80.0, 40.0, "first", None, 0), (1, 1, "text", 8, 3, "b3", 20.0, 30.0, 80.0, 40.0, "other", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, type string, layoutno int, ord int, block_id string, x0 double, top double, x1 double, bottom double, text string, positions array<array<double>>, col_id int")
+    got = {r.layoutno: r for r in layout.merge_layout(df).collect()}
+    assert (got[7].text, got[7].x0, got[7].bottom, got[7].source_block_ids, got[7].col_ids, len(got[7].positions)) == ("first second", 10.0, 60.0, ["b1", "b2"], [0, 1], 1) and got[8].text == "other"
+    assert layout.merge_layout(df.drop("positions", "col_id", "block_id")).columns[-1] == "text"
+
+
+def test_rows_are_numbered_without_one_task(spark):
+    from quillspark.session import numbered
+
+    rows = spark.range(0, 997, 1, 7).selectExpr("id * 7919 % 997 AS t")
+    assert sorted((r.t, r.n) for r in numbered(rows, "t", "n").collect()) == [(k, k + 1) for k in range(997)]
+    assert numbered(rows.limit(0), "t", "n").count() == 0

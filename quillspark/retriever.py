@@ -59,8 +59,9 @@ class Retriever:
         # postings are sorted by term: a search reads the row groups of its terms
         self.docs = self._written(lexical.postings(lexical.tokenized(self.chunks, "chunk_id", "text", segment)), "postings")
         self.stats = self._written(lexical.stats_of_postings(self.docs), "terms")
-        self.heads = self._written(lexical.postings(self._heads()), "heads") if self.has_titles else None
-        self.head_stats = self._written(lexical.stats_of_postings(self.heads), "head-terms") if self.has_titles else None
+        self.heads = self._written(self._heads(), "heads") if self.has_titles else None
+        self.head_docs = self._written(lexical.postings(self.heads), "head-postings") if self.has_titles else None
+        self.head_stats = self._written(lexical.stats_of_postings(self.head_docs), "head-terms") if self.has_titles else None
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         self._tables.append(materialize(df, name))
@@ -99,7 +100,7 @@ class Retriever:
         terms = self._written(self._terms(queries), "query-terms")
         scores = lexical.scored(self.docs, terms, self.stats)
         if self.heads is not None and self.settings.title_weight:
-            titles = lexical.scored(self.heads, terms, self.head_stats).withColumnRenamed("id", "doc_id").join(self.chunks.select("chunk_id", "doc_id"), "doc_id")
+            titles = lexical.scored(self.head_docs, terms, self.head_stats).withColumnRenamed("id", "doc_id").join(self.chunks.select("chunk_id", "doc_id"), "doc_id")
             scores = lexical.with_title_bonus(scores, titles.select("query_id", F.col("chunk_id").alias("id"), "score"), self.settings.title_weight)
         return lexical.top_k(scores, k)
 

@@ -11,7 +11,8 @@ from quillspark.plans.retrieval import _ASKED, _BODY, _TOKENS, K, _bm25_sql, _bo
 from quillspark.session import materialize, read
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'))"
-_COUNT = r"len(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)?|[^\s]'))"
+_COUNTED = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)?|[^\s]"
+_COUNT = "len(regexp_extract_all({0}, '" + _COUNTED.replace("{", "{{").replace("}", "}}") + "'))"
 _LINES = "SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM documents"
 _KEY = rf"regexp_replace({_CLEAN.format('text')}, '\d+', '#', 'g')"
 
@@ -127,13 +128,60 @@ def _chunks(spark: SparkSession, sf: str, size: int, overlap: int) -> DataFrame:
     return chunking.chunk_sections(units, size, overlap)
 
 
-@_register("chunk_pack", None)
+def _ends(text: str) -> str:
+    return rf"list_filter(string_split(regexp_replace({text}, '([。！？!?；;])', '\1' || chr(1), 'g'), chr(1)), lambda x: {_CLEAN.format('x')} <> '')"
+
+
+_RUNNING = "list_prepend(0, list_transform(range(1, len({0}) + 1), lambda i: CAST(list_sum(({0})[:i]) AS BIGINT)))"
+#: From the list of running sums e, a start and room: the end of the run that fits, one element at least.
+_CUT = "greatest({start} + 1, len(list_filter(e, lambda x: x <= e[{start}] + {room})))"
+
+
+def _tail_sql(text: str, overlap: int) -> str:
+    """The whole sentences at the end of ``text`` that fit ``overlap`` tokens, one at least, among the last of its tokens."""
+    window = chunking.TAIL_WINDOW * overlap
+    parts = rf"string_split(regexp_replace({text}, '({_COUNTED})', chr(2) || '\1', 'g'), chr(2))"
+    last = f"array_to_string(list_slice({parts}, greatest(2, len({parts}) - {window - 1}), -1), '')"
+    sentences = f"list_transform({_ends(_CLEAN.format(last))}, lambda s: {_CLEAN.format('s')})"
+    fitting = f"len(list_filter(range(1, len(ss) + 1), lambda i: list_sum(list_transform(ss[len(ss) - i + 1:], lambda s: {_COUNT.format('s')})) <= {overlap}))"
+    return f"(SELECT coalesce(array_to_string(ss[len(ss) - greatest(1, {fitting}) + 1:], ''), '') FROM (SELECT {sentences} AS ss))"
+
+
+def _pack_sql(sizes: tuple[int, ...], overlap: int) -> str:
+    """The packing of lines as recursion: "pieces" cuts long lines, "packed" (size, doc_id, chunk_no, text, blocks) walks from cut to cut."""
+    return f"""WITH RECURSIVE sizes AS (SELECT unnest({list(sizes)}) AS size),
+lines AS (SELECT size, doc_id, ord, t, {_ends('t')} AS s FROM (SELECT doc_id, ord, {_CLEAN.format('text')} AS t FROM ({_LINES})), sizes WHERE t <> ''),
+long AS (SELECT size, doc_id, ord, list_transform(s, lambda x: {_CLEAN.format('x')}) AS s, {_RUNNING.format('n')} AS e
+  FROM (SELECT *, list_transform(s, lambda x: {_COUNT.format('x')}) AS n FROM lines) WHERE {_COUNT.format('t')} > size),
+pieces AS (SELECT size, doc_id, ord, 1 AS a, {_CUT.format(start='1', room='size')} AS b FROM long WHERE len(s) > 0
+  UNION ALL SELECT p.size, p.doc_id, p.ord, p.b, {_CUT.format(start='p.b', room='p.size')} FROM pieces p JOIN long l ON l.size = p.size AND l.doc_id = p.doc_id AND l.ord = p.ord WHERE p.b <= len(l.s)),
+cut AS (SELECT l.size, l.doc_id, l.ord, a, e[b] - e[a] AS n, array_to_string(s[a : b - 1], '') AS t FROM pieces p JOIN long l ON l.size = p.size AND l.doc_id = p.doc_id AND l.ord = p.ord),
+units AS (
+  SELECT size, doc_id, ord, 0 AS a, 0 AS i, t FROM lines WHERE {_COUNT.format('t')} <= size
+  UNION ALL SELECT size, doc_id, ord, a, 0, t FROM cut WHERE n <= size
+  UNION ALL SELECT size, doc_id, ord, a, i, array_to_string(regexp_extract_all(t, '{_COUNTED}')[i + 1 : i + size], '')
+    FROM (SELECT *, unnest(range(0, n, size)) AS i FROM cut WHERE n > size)
+), docs AS (SELECT size, doc_id, u, {_RUNNING.format('n')} AS e FROM (SELECT size, doc_id, list(t ORDER BY ord, a, i) AS u, list({_COUNT.format('t')} ORDER BY ord, a, i) AS n FROM units GROUP BY size, doc_id)),
+steps AS (
+  SELECT size, doc_id, 0 AS chunk_no, 1 AS a, {_CUT.format(start='1', room='size')} AS b, array_to_string(u[1 : {_CUT.format(start='1', room='size')} - 1], chr(10) || chr(10)) AS text FROM docs
+  UNION ALL
+  SELECT size, doc_id, chunk_no + 1, a, b, trim(CASE WHEN tail = '' THEN '' ELSE tail || chr(10) || chr(10) END || array_to_string(u[a : b - 1], chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(13))
+  FROM (SELECT *, {_CUT.format(start='a', room=f"(size - {_COUNT.format('tail')})")} AS b
+    FROM (SELECT d.size, d.doc_id, chunk_no, s.b AS a, u, e, {_tail_sql('s.text', overlap)} AS tail FROM steps s JOIN docs d ON d.size = s.size AND d.doc_id = s.doc_id WHERE s.b <= len(d.u)))
+), packed AS (SELECT size, doc_id, chunk_no, text, b - a AS blocks, {_COUNT.format('text')} AS tokens FROM steps)
+"""
+
+
+@_register("chunk_pack", f"{_pack_sql((256,), 50)}SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, tokens, CAST(blocks AS INTEGER) AS blocks, md5(text) AS digest FROM packed")
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequential packing with overlap is no SQL; tested against a plain fold."""
     return _chunks(spark, sf, 256, 50).select("doc_id", "chunk_no", "tokens", F.size("block_ids").alias("blocks"), F.md5("text").alias("digest"))
 
 
-@_register("chunk_grid_stats", None)
+@_register(
+    "chunk_grid_stats",
+    f"""{_pack_sql((256, 512, 1024), 50)}SELECT CAST(size AS INTEGER) AS size, CAST(sum(tokens) AS BIGINT) AS sum_tokens, count(*) FILTER (tokens < 64) AS below_64, count(*) FILTER (tokens >= 512) AS from_512,
+  count(*) FILTER (tokens >= 1024) AS from_1024, count(*) AS chunks, round(avg(length(text)), 4) AS avg_chars, round(avg(tokens), 4) AS avg_tokens, min(tokens) AS min_tokens, max(tokens) AS max_tokens FROM packed GROUP BY size""",
+)
 def chunk_grid_stats(spark: SparkSession, sf: str) -> DataFrame:
     grid = None
     for size in (256, 512, 1024):

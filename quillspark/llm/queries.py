@@ -129,23 +129,39 @@ def _list_events(first: Callable[[str, str], str], day: Callable[[str], str]) ->
     )
 
 
+def _crawl_events(day: Callable[[str], str]) -> str:
+    """Events that the crawl itself gave, as SQL over ``pages``: pages taken down, some for forty days, and hosts of partners, in capitals."""
+    event = lambda name, policy, kind, entry, action, on, where: f"SELECT '{name}' AS list_name, '{policy}' AS policy, '{kind}' AS kind, {entry} AS entry, '{action}' AS action, {day(on)} AS listed_on FROM pages WHERE {where}"
+    return " UNION ALL ".join(
+        [
+            event("takedowns", "block", "page", "url", "add", "page_id * 7 % 300", "page_id % 9 = 0"),
+            event("takedowns", "block", "page", "url", "remove", "page_id * 7 % 300 + 40", "page_id % 18 = 0"),
+            event("partners", "allow", "domain", "upper(split_part(url, '/', 3))", "add", "page_id * 11 % 200", "page_id % 23 = 0"),
+            event("partners", "allow", "domain", "upper(split_part(url, '/', 3))", "remove", "page_id * 11 % 200 + 90", "page_id % 46 = 0"),
+        ]
+    )
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capture's day follows from its page_id, as the table has none."""
     sql = _list_events(lambda values, at: f"element_at(array({values}), {at} + 1)", lambda n: f"date_add(DATE '2024-01-01', CAST({n} AS INT))")
     events = spark.sql(sql.replace("FROM listed", "FROM (SELECT CAST(id AS INT) AS n FROM range({n}))"), n=LISTED)
-    captures = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched_on"))
+    pages = read(spark, sf_dir, "pages")
+    crawl = _crawl_events(lambda n: f"date_add(DATE '2024-01-01', CAST({n} AS INT))")
+    events = events.unionByName(spark.sql(crawl.replace("FROM pages", "FROM {pages}"), pages=pages))
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched_on"))
     return urllists.match_lists(captures, events).withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
 QUERIES["op2_url_filters"] = op2_url_filters
 _EVENTS_SQL = _list_events(lambda values, at: f"[{values}][{at} + 1]", lambda n: f"DATE '2024-01-01' + CAST({n} AS INTEGER)").replace("AS STRING", "AS VARCHAR")
 ORACLE_SQL["op2_url_filters"] = f"""
-WITH listed AS (SELECT CAST(i AS INTEGER) AS n FROM range({LISTED}) r(i)), events AS ({_EVENTS_SQL}),
+WITH listed AS (SELECT CAST(i AS INTEGER) AS n FROM range({LISTED}) r(i)), events AS (SELECT * FROM ({_EVENTS_SQL}) UNION ALL {_crawl_events(lambda n: f"DATE '2024-01-01' + CAST({n} AS INTEGER)")}),
 spans AS (SELECT *, lead(listed_on) OVER (PARTITION BY list_name, policy, kind, entry ORDER BY listed_on, action) AS until FROM events),
-named AS (SELECT *, CASE WHEN kind = 'page' THEN regexp_replace(regexp_replace(lower(entry), '^[a-z]+://', ''), '/*([?#].*)?$', '') ELSE lower(entry) END AS e FROM spans),
+named AS (SELECT *, CASE WHEN kind = 'page' THEN rtrim(regexp_extract(lower(entry), '{urllists.HOST}', 1), '.') || rtrim(regexp_extract(entry, '(?i){urllists.PATH}', 1), '/') ELSE lower(entry) END AS e FROM spans),
 captures AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
-    nullif(rtrim(regexp_extract(lower(url), '{urllists.HOST}', 1), '.'), '') AS host, rtrim(regexp_extract(lower(url), '{urllists.PATH}', 1), '/') AS path
+    nullif(rtrim(regexp_extract(lower(url), '{urllists.HOST}', 1), '.'), '') AS host, rtrim(regexp_extract(url, '(?i){urllists.PATH}', 1), '/') AS path
   FROM pages
 ), above AS (SELECT host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS domain FROM (SELECT DISTINCT host FROM captures)),
 pairs AS (

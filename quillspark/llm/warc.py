@@ -40,6 +40,8 @@ CHUNK = 1 << 20
 HELD = 8 << 20
 #: Revisits up to which their list is broadcast (16 bytes each).
 BROADCAST_ROWS = 200_000
+#: Parts of a payload's pages beyond that.
+SALTS = 16
 GZIP = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d")
 END = b"\r\n\r\n"
@@ -385,7 +387,11 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes
     first = keys.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
     revisits = materialize(first, "payloads")
     joined = rows.withColumn("d", F.sha1("html"))
-    joined = joined.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits, "d", "left")
+    if revisits.count() <= BROADCAST_ROWS:
+        joined = joined.join(F.broadcast(revisits), "d", "left")
+    else:  # the pages of one payload, empty ones above all, are met in several tasks
+        salted = revisits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = joined.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["d", "salt"], "left")
     wanted = joined.select("page_id", "url", "html", F.when(~F.equal_null("page_id", "refers_to"), F.col("refers_to")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

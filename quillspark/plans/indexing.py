@@ -58,8 +58,7 @@ def bm25_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     counts = names.select(F.explode(F.split("t", _BLANK)).alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n"))
     words = counts.unionByName(counts.select(F.left("w", F.lit(3)).alias("w"), "n")).groupBy(F.col("w").alias("word")).agg(F.max("n").alias("n"))
     split = segment.segmenter(segment.dictionary_of(words))
-    terms = lexical.query_terms(names.where("id % 50 = 0"), "id", "t", split)
-    return lexical.top_k(lexical.bm25_scores(lexical.tokenized(names, "id", "t", split), terms), K)
+    return lexical.best_of_texts(names, names.where("id % 50 = 0").withColumnRenamed("id", "query_id"), K, split)
 
 
 _KNOWN = "SELECT DISTINCT name FROM (SELECT unnest([w, substr(w, 2, 3), substr(w, 1, 1) || 'e', p || ' ' || w]) AS name FROM (SELECT unnest(x) AS w, x[1] AS p FROM (SELECT string_split(p_name, ' ') AS x FROM part))) WHERE name <> ''"

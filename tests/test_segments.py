@@ -192,3 +192,43 @@ def test_exact_top_k_of_odd_vectors(spark, monkeypatch):
     assert got == sorted(want)
     assert dense.exact_top_k(df.limit(0), queries, 6).count() == 0 and dense.exact_top_k(df, queries.limit(0), 6).count() == 0
     assert sorted((r.query_id, r.id) for r in dense.exact_top_k(df, queries, 6, block=3).collect()) == sorted((q, i) for q, _, i, _ in want)
+
+
+def test_best_equals_scores(spark):
+    rows = [(i, [None, "", "a b b", "a c d", "d", "e a a", "c c b"][i % 7]) for i in range(40)] + [(100 + i, f"a w{i} b w{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    asked = spark.createDataFrame([(i, ["a b d", "c", "w1 w2 a", "zz", "e e c b"][i % 5]) for i in range(9)], "query_id int, query string")
+    tokens, terms = lexical.tokenized(docs, "doc_id", "text"), lexical.query_terms(asked, "query_id", "query")
+    want = sorted(map(tuple, lexical.top_k(lexical.bm25_scores(tokens, terms), 6).collect()))
+    assert len(want) > 30
+    assert sorted(map(tuple, lexical.best(tokens, terms, 6).collect())) == want
+    assert sorted(map(tuple, lexical.best(tokens, terms, 6, block=3).collect())) == want
+    texts = lexical.best_of_texts(docs.toDF("id", "t"), asked.toDF("query_id", "t"), 6)
+    assert sorted(map(tuple, texts.select("query_id", "rank", "id", "score").collect())) == want
+    assert lexical.best(tokens.limit(0), terms, 6).count() == 0 and lexical.best(tokens, terms.limit(0), 6).count() == 0
+
+
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    seen = []
+    best = lexical.best
+    monkeypatch.setattr(lexical, "best", lambda docs, *a, **b: seen.append((docs.count(), docs.agg({"copies": "sum"}).first()[0])) or best(docs, *a, **b))
+    rows = spark.range(300).selectExpr("id", "concat('a w', id % 3) AS t")
+    found = lexical.best_of_texts(rows, rows.where("id % 50 = 0").toDF("query_id", "t"), 4).orderBy("query_id", "rank").collect()
+    assert seen == [(3, 300)] and [r.id for r in found][:8] == [0, 3, 6, 9, 2, 5, 8, 11]
+
+
+def test_best_hands_on_few_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.operators.best import Best
+
+    rng, held, rows = np.random.default_rng(1), Best(30, 3), []
+    for n in range(60):
+        scores = np.round(rng.random((30, 200)), 2)
+        rows += [(q, -scores[q, i], n * 200 + i) for q in range(30) for i in range(200)]
+        held.add(np.arange(30), pa.array(range(n * 200, n * 200 + 200)), scores)
+    got = [(q, i, s) for at, ids, scores in held.batches() for q, i, s in zip(at.tolist(), ids.to_pylist(), scores.tolist())]
+    rows.sort()
+    want = [(q, i, -s) for k, (q, s, i) in enumerate(rows) if k < 3 or rows[k - 3][0] != q]
+    assert got == want

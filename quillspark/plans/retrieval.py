@@ -78,11 +78,12 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _body_hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    return lexical.top_k(lexical.bm25_scores(_docs(spark, sf), _terms(spark, sf)), k)
+    """Written, since what follows may read them more than once."""
+    return materialize(lexical.best(_docs(spark, sf), _terms(spark, sf), k), "hits")
 
 
 def _head_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25_scores(_docs(spark, sf, True), _terms(spark, sf)), k)
+    return materialize(lexical.best(_docs(spark, sf, True), _terms(spark, sf), k), "hits")
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,9 +111,8 @@ both_ AS (SELECT coalesce(b.query_id, h.query_id) AS query_id, coalesce(b.id, h.
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank, id, score FROM both_ WHERE score > 0 QUALIFY rank <= {K}""",
 )
 def bm25_title_bonus(spark: SparkSession, sf: str) -> DataFrame:
-    terms = _terms(spark, sf)
-    body, titles = lexical.bm25_scores(_docs(spark, sf), terms), lexical.bm25_scores(_docs(spark, sf, True), terms)
-    return lexical.top_k(lexical.with_title_bonus(body, titles, 0.5), K)
+    docs = lexical.tokenized(read(spark, sf, "documents"), "doc_id", "text", also={"title": T.tokens(T.first_nonempty_line("text"))})
+    return lexical.best(materialize(docs, "tokens"), _terms(spark, sf), K, title=0.5)
 
 
 @_register("hybrid_weighted", f"WITH {_BOTH_SQL} {_rank_sql('round(0.3 * coalesce(a_norm, 0.0) + 0.7 * coalesce(b_norm, 0.0), 6)')}")
@@ -160,10 +160,10 @@ BROADCAST_PASSAGES = 1000
 
 
 def gold(spark: SparkSession, sf: str, most: int = BROADCAST_PASSAGES) -> DataFrame:
-    """query_id, component, id: the documents that contain a passage."""
+    """query_id, component, id: the documents that contain a passage; written, so that metrics that read it twice don't search twice."""
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     rows = containing(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), items, most)
-    return rows.select("query_id", F.lit(0).alias("component"), "id")
+    return materialize(rows.select("query_id", F.lit(0).alias("component"), "id"), "gold")
 
 
 def containing(docs: DataFrame, items: DataFrame, most: int) -> DataFrame:
@@ -310,13 +310,11 @@ hits AS (SELECT t.query_id, br.branch, t.id, t.score, row_number() OVER (PARTITI
 
 
 def _branch_hits(spark: SparkSession, sf: str) -> DataFrame:
-    scores = lexical.bm25_scores(_docs(spark, sf), _terms(spark, sf)).withColumn("score", F.round("score", 4))
-    sources = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    docs = materialize(lexical.tokenized(read(spark, sf, "documents"), "doc_id", "text", also={"group": F.col("source")}), "tokens")
     branches = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("branch"))
-    branches = branches.withColumn("source", F.concat(F.lit("src"), ((F.col("query_id") + F.col("branch")) % 20).cast("string")))
-    hits = scores.join(sources, "id").join(branches, ["query_id", "source"])
-    w = Window.partitionBy("query_id", "branch").orderBy(F.desc("score"), "id")
-    return hits.select("query_id", F.col("branch").cast("long").alias("branch"), "id", "score", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 15")
+    branches = branches.withColumn("group", F.concat(F.lit("src"), ((F.col("query_id") + F.col("branch")) % 20).cast("string")))
+    hits = lexical.best(docs, _terms(spark, sf), 15, groups=branches.select("query_id", "group")).join(F.broadcast(branches), ["query_id", "group"])
+    return materialize(hits.select("query_id", F.col("branch").cast("long").alias("branch"), "id", "score", "rank"), "hits")
 
 
 @_register(

@@ -258,3 +258,23 @@ def test_inverted_lists_by_block(spark, monkeypatch):
         got = sorted(map(tuple, dense.ivf_top_k(rows, asked, cents, 5, 3, block=block).collect()))
         assert got == want
     assert jobs == [None, 4]  # probes don't divide the blocks
+
+
+def test_best_by_groups_and_titles(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    words = ["a b b", "a c d", "d", "e a a", "c c b"]
+    docs = spark.createDataFrame([(i, words[i % 5], ["b", "", "a d"][i % 3], None if i == 4 else f"s{i % 4}") for i in range(50)], "id int, t string, head string, group string").repartition(4)
+    asked = spark.createDataFrame([(i, ["a b d", "c", "zz", "e e c b"][i % 4]) for i in range(7)], "query_id int, query string")
+    terms = lexical.query_terms(asked, "query_id", "query")
+    body, heads = lexical.tokenized(docs, "id", "t"), lexical.tokenized(docs, "id", "head")
+    want = lexical.top_k(lexical.with_title_bonus(lexical.bm25_scores(body, terms), lexical.bm25_scores(heads, terms), 0.5), 6)
+    both = lexical.tokenized(docs, "id", "t", also={"title": lexical.T.tokens("head"), "group": F.col("group")})
+    assert sorted(map(tuple, lexical.best(both, terms, 6, title=0.5).collect())) == sorted(map(tuple, want.collect()))
+    groups = spark.createDataFrame([(q, f"s{(q + b) % 6}") for q in range(7) for b in range(2)], "query_id int, group string")
+    scores = lexical.bm25_scores(body, terms).join(docs.select("id", "group"), "id").join(groups, ["query_id", "group"]).withColumn("score", F.round("score", 4))
+    w = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "id")
+    want = scores.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "group", "rank", "id", "score")
+    got = lexical.best(both, terms, 3, groups=groups)
+    assert want.count() > 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -122,10 +122,10 @@ def table_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_brand", tables.summary(F.col("t")).alias("summary"))
 
 
-def _chunks(spark: SparkSession, sf: str, size: int, overlap: int) -> DataFrame:
+def _chunks(spark: SparkSession, sf: str, sizes: tuple[int, ...], overlap: int) -> DataFrame:
     rows = _lines(spark, sf).withColumn("type", F.lit("text"))
     units = rows.select("doc_id", F.lit("").alias("section"), F.lit("").alias("subsection"), "ord", F.lit(1).alias("page"), "block_id", T.clean_text("text").alias("text"))
-    return chunking.chunk_sections(units, size, overlap)
+    return chunking.chunk_grid(units, sizes, overlap)
 
 
 def _ends(text: str) -> str:
@@ -174,7 +174,7 @@ steps AS (
 
 @_register("chunk_pack", f"{_pack_sql((256,), 50)}SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, tokens, CAST(blocks AS INTEGER) AS blocks, md5(text) AS digest FROM packed")
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf, 256, 50).select("doc_id", "chunk_no", "tokens", F.size("block_ids").alias("blocks"), F.md5("text").alias("digest"))
+    return _chunks(spark, sf, (256,), 50).select("doc_id", "chunk_no", "tokens", F.size("block_ids").alias("blocks"), F.md5("text").alias("digest"))
 
 
 @_register(
@@ -183,11 +183,7 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
   count(*) FILTER (tokens >= 1024) AS from_1024, count(*) AS chunks, round(avg(length(text)), 4) AS avg_chars, round(avg(tokens), 4) AS avg_tokens, min(tokens) AS min_tokens, max(tokens) AS max_tokens FROM packed GROUP BY size""",
 )
 def chunk_grid_stats(spark: SparkSession, sf: str) -> DataFrame:
-    grid = None
-    for size in (256, 512, 1024):
-        rows = _chunks(spark, sf, size, 50).withColumn("size", F.lit(size))
-        grid = rows if grid is None else grid.unionByName(rows)
-    return chunking.chunk_stats(grid, ["size"])
+    return chunking.chunk_stats(_chunks(spark, sf, (256, 512, 1024), 50), ["size"])
 
 
 @_register(

@@ -278,3 +278,18 @@ def test_best_by_groups_and_titles(spark):
     want = scores.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "group", "rank", "id", "score")
     got = lexical.best(both, terms, 3, groups=groups)
     assert want.count() > 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_units_are_counted_once(spark, monkeypatch):
+    from quillspark.operators import chunking
+
+    rows = [(d, "", "", i, 1, f"b{i}", f"One two{i} three. Four five! Six; " * 4) for d in range(3) for i in range(9)]
+    units = spark.createDataFrame(rows, "doc_id int, section string, subsection string, ord int, page int, block_id string, text string")
+    want = [(*r, size) for size in (10, 60, 200) for r in chunking.chunk_sections(units, size, 8).collect()]
+    assert sorted(map(str, map(tuple, chunking.chunk_grid(units, (10, 60, 200), 8).collect()))) == sorted(map(str, want))
+    read = []
+    count = chunking.count_tokens
+    monkeypatch.setattr(chunking, "count_tokens", lambda t: read.append(len(t)) or count(t))
+    text = "alpha beta gamma; " * 400
+    chunking.pack_units([(text, ["a"], 1), (text, ["b"], 1)], 1700, 10)
+    assert sum(read) < 2.2 * len(text)  # each unit once and the tails

@@ -1,14 +1,17 @@
 """A search index of immutable segments: documents come, change and go, and a search equals one over a rebuilt index.
 
-Every change is a numbered segment with its postings, its documents' lengths and its
-tombstones. A document's newest segment decides: its earlier versions and, after a
-tombstone, all of them are dead. What is alive is merged when it is read; ``compact``
-writes it as one segment. A manifest for each generation names the segments that count,
-so a change is seen whole or not at all, and a change that is repeated under its name
-counts once.
-
-Folders: postings/segment=N (doc_id, id, term, tf), lengths/segment=N (doc_id, id, dl),
-tombstones/segment=N (doc_id), manifests/generation=G (segment, name, kind).
+Every change is a numbered segment with its chunks' tokens or its tombstones. A
+document's newest segment decides: its earlier versions and, after a tombstone, all of
+them are dead. What is alive is merged when it is read; ``compact`` writes it as one
+segment. A manifest for each generation names the segments that count, so a change is
+seen whole or not at all, and a change that is repeated under its name counts once.
+
+A chunk's postings stay together, in one row: only ``add`` shuffles texts, to find rows
+that repeat an id; merging and searching leave them where they are, but for a merge of
+more superseded documents than are broadcast.
+
+Folders: postings/segment=N (doc_id, id, dl, tokens), tombstones/segment=N (doc_id),
+manifests/generation=G (segment, name, kind).
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from quillspark.operators import lexical
 from quillspark.session import discard, materialize
 
 _MANIFEST = "segment long, name string, kind string"
+#: Superseded or deleted documents up to which they are broadcast (some 100 bytes each).
+BROADCAST_GONE = 1_000_000
 
 
 class SegmentedIndex:
@@ -34,7 +39,9 @@ class SegmentedIndex:
     def __init__(self, spark: SparkSession, path: str, segment: Callable[[Column], Column] | None = None, key_type: str = "long", id_type: str | None = None):
         self.spark, self.path, self.segment = spark, path.rstrip("/"), segment
         self.key_type, self.id_type = key_type, id_type or key_type
-        self._stats: tuple[int, DataFrame, DataFrame] | None = None
+        self._stats: tuple[int, DataFrame, DataFrame, float, list[DataFrame]] | None = None
+        if self._files("lengths"):
+            raise ValueError(f"{self.path} has postings by term, of an earlier layout: add its documents to a new index")
 
     # ---- manifests
 
@@ -81,23 +88,18 @@ class SegmentedIndex:
         """
         body = F.col(text) if isinstance(text, str) else text
         rows = docs.select(F.col(doc_id).cast(self.key_type).alias("doc_id"), F.col(id or doc_id).cast(self.id_type).alias("id"), body.alias("text")).where("doc_id IS NOT NULL AND id IS NOT NULL")
-        rows = rows.groupBy("doc_id", "id").agg(F.max("text").alias("text"))
-
-        def write(n: int) -> None:
-            tokens = materialize(rows.select("doc_id", "id", T.tokens("text", self.segment).alias("tokens")), "tokens")
-            self._write(n, tokens.select("doc_id", "id", F.explode("tokens").alias("term")).groupBy("doc_id", "id", "term").agg(F.count("*").alias("tf")), tokens.select("doc_id", "id", F.size("tokens").alias("dl")))
-            discard(tokens)
-
-        return self._change(name, "add", write)
+        # texts go to their key's task as they are: one shuffle, and one sort for the aggregation
+        rows = rows.repartition("doc_id", "id").groupBy("doc_id", "id").agg(F.max("text").alias("text"))
+        tokens = rows.select("doc_id", "id", T.tokens("text", self.segment).alias("tokens"))
+        return self._change(name, "add", lambda n: self._write(n, tokens.select("doc_id", "id", F.size("tokens").alias("dl"), "tokens")))
 
     def delete(self, ids: DataFrame, name: str | None = None, doc_id: str = "doc_id") -> int:
         """All chunks of these documents go, e.g. those of a source; ids that aren't known do nothing."""
         gone = ids.select(F.col(doc_id).cast(self.key_type).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
         return self._change(name, "delete", lambda n: gone.write.mode("overwrite").parquet(f"{self.path}/tombstones/segment={n}"))
 
-    def _write(self, n: int, postings: DataFrame, lengths: DataFrame) -> None:
-        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings/segment={n}")
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={n}")
+    def _write(self, n: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/postings/segment={n}")
 
     def compact(self) -> int:
         """What is alive as one segment, under the names of those that it replaces; their folders stay until ``vacuum``."""
@@ -105,9 +107,10 @@ class SegmentedIndex:
         held = self.manifest(g)
         if len(held) < 2:
             return g
-        postings, lengths = self._alive(held)
         number = held[-1][0] + 1
-        self._write(number, postings, lengths)
+        rows, gone = self._alive(held)
+        self._write(number, rows)
+        discard(*gone)
         # names of changes are kept, so that a change that comes again is known
         self._commit(g + 1, [(number, f"compacted-{number}", "add"), *((n, name, "merged") for n, name, _ in held)])
         return g + 1
@@ -117,7 +120,7 @@ class SegmentedIndex:
         g = self.generation()
         used = {n for n, _, kind in self.manifest(g) if kind != "merged"}
         jvm = self.spark._jvm
-        for folder, keep in (("postings", used), ("lengths", used), ("tombstones", used), ("manifests", {g})):
+        for folder, keep in (("postings", used), ("tombstones", used), ("manifests", {g})):
             for found in self._files(folder):
                 if "=" in found and int(found.split("=")[1]) not in keep:
                     at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/{found}")
@@ -131,36 +134,42 @@ class SegmentedIndex:
         reader = self.spark.read.schema(f"{fields}, segment long").option("basePath", f"{self.path}/{folder}")
         return reader.parquet(*(f"{self.path}/{folder}/segment={n}" for n in numbers))
 
-    def _alive(self, held: list[tuple[int, str, str]]) -> tuple[DataFrame, DataFrame]:
-        """(postings, lengths) of the newest version of each document that no later tombstone names."""
+    def _alive(self, held: list[tuple[int, str, str]]) -> tuple[DataFrame, list[DataFrame]]:
+        """doc_id, id, dl, tokens of the newest version of each document that no later tombstone names; and what it wrote for that."""
         added, deleted = [n for n, _, k in held if k == "add"], [n for n, _, k in held if k == "delete"]
-        keys = f"doc_id {self.key_type}, id {self.id_type}"
-        lengths, postings = self._read("lengths", added, f"{keys}, dl int"), self._read("postings", added, f"{keys}, term string, tf long")
+        rows = self._read("postings", added, f"doc_id {self.key_type}, id {self.id_type}, dl int, tokens array<string>")
+        written = []
         if len(added) > 1 or deleted:
-            gone = self._read("tombstones", deleted, f"doc_id {self.key_type}")
-            newest = lengths.select("doc_id", "segment").unionByName(gone.select("doc_id", "segment")).groupBy("doc_id").agg(F.max("segment").alias("segment"))
-            lengths, postings = lengths.join(newest, ["doc_id", "segment"], "left_semi"), postings.join(newest, ["doc_id", "segment"], "left_semi")
-        return postings.select("doc_id", "id", "term", "tf"), lengths.select("doc_id", "id", "dl")
+            named = rows.select("doc_id", "segment").unionByName(self._read("tombstones", deleted, f"doc_id {self.key_type}"))
+            newest = named.groupBy("doc_id").agg(F.min("segment").alias("first"), F.max("segment").alias("newest")).where("newest > first")
+            gone = materialize(newest.select("doc_id", "newest"), "gone")
+            written.append(gone)
+            if n := gone.count():
+                few = F.broadcast if n <= BROADCAST_GONE else (lambda x: x)
+                rows = rows.join(few(gone), (rows["doc_id"] == gone["doc_id"]) & (rows["segment"] < gone["newest"]), "left_anti")
+        return rows.select("doc_id", "id", "dl", "tokens"), written
 
     def alive(self) -> tuple[DataFrame, DataFrame]:
-        """(postings, lengths) of all documents that count now."""
-        return self._alive(self.manifest())
+        """Postings (doc_id, id, term, tf) and lengths (doc_id, id, dl) of all documents that count now."""
+        rows, _ = self._alive(self.manifest())
+        terms = rows.select("doc_id", "id", F.explode("tokens").alias("term"))
+        return terms.groupBy("doc_id", "id", "term").agg(F.count("*").alias("tf")), rows.select("doc_id", "id", "dl")
 
-    def _statistics(self) -> tuple[DataFrame, DataFrame]:
-        """(id, dl, term, tf) of what is alive and its term statistics, written once for each generation."""
+    def _statistics(self) -> tuple[DataFrame, DataFrame, float]:
+        """(id, tokens) of what is alive, its term statistics, written once for each generation, and its average length."""
         g = self.generation()
         if self._stats is None or self._stats[0] != g:
             if self._stats is not None:
-                discard(*self._stats[1:])
-            postings, lengths = self.alive()
-            rows = materialize(lengths.join(postings, ["doc_id", "id"], "left").select("id", "dl", "term", "tf"), "alive")
-            self._stats = (g, rows, materialize(lexical.stats_of_postings(rows), "terms"))
-        return self._stats[1:]
+                discard(self._stats[2], *self._stats[4])
+            rows, written = self._alive(self.manifest(g))
+            average = rows.agg(F.sum("dl") / F.count("*")).first()[0] or 1.0
+            self._stats = (g, rows.select("id", "tokens"), materialize(lexical.term_stats(rows), "terms"), average, written)
+        return self._stats[1:4]
 
     def search(self, terms: DataFrame, k: int) -> DataFrame:
         """query_id, rank, id, score: the BM25 top ``k`` of queries (query_id, term, qtf) over what is alive."""
-        rows, stats = self._statistics()
-        return lexical.top_k(lexical.scored(rows, terms, stats), k)
+        rows, stats, average = self._statistics()
+        return lexical.best(rows, terms, k, stats=(stats, average))
 
     def ask(self, queries: DataFrame, k: int, key: str = "query_id", text: str = "query") -> DataFrame:
         return self.search(lexical.query_terms(queries, key, text, self.segment), k)

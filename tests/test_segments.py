@@ -69,6 +69,50 @@ def test_a_write_that_broke_off_is_not_seen(spark, tmp_path, asked):
     assert hits(index.ask(asked, 50)) == rebuilt(spark, dict(DOCS[:9]) | {1: "w5"}, asked)
 
 
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    no_quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(none, False, False, no_quantiles, none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_search_shuffles_no_pairs(spark, tmp_path):
+    index = segments.SegmentedIndex(spark, str(tmp_path / "ix"))
+    index.add(spark.range(3000).selectExpr("id AS doc_id", "concat('all w', id % 7, ' w', id % 11) AS text"))
+    index.delete(spark.range(0, 3000, 10).toDF("doc_id"))
+    asked = spark.range(20).selectExpr("id AS query_id", "concat('all w', id % 9) AS query")
+    before = shuffled(spark)
+    index.compact()
+    assert len(index.ask(asked, 5).collect()) == 100
+    assert shuffled(spark) - before < 12_000  # the names of documents and some best rows a task; pairs are 54,000, postings 8,100 at each step
+    assert spark.read.parquet(str(tmp_path / "ix/postings/segment=3")).count() == 2700  # a row a document
+
+
+def test_many_superseded_documents(spark, tmp_path, asked, monkeypatch):
+    monkeypatch.setattr(segments, "BROADCAST_GONE", 2)
+    index = segments.SegmentedIndex(spark, str(tmp_path / "ix"))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index.add(table(DOCS[:20]))
+    index.add(table([(k, "w5 w0") for k in range(1, 9)]))
+    index.delete(table([(k, "") for k in range(5, 12)]))
+    index.add(table([(6, "w12 back")]))
+    state = dict(DOCS[11:20]) | {k: "w5 w0" for k in range(1, 5)} | {6: "w12 back"}
+    want = rebuilt(spark, state, asked)
+    assert hits(index.ask(asked, 50)) == want
+    index.compact()
+    assert hits(index.ask(asked, 50)) == want
+    postings, lengths = index.alive()
+    assert {r.doc_id: r.dl for r in lengths.collect()} == {k: len(t.split()) for k, t in state.items()}
+    assert sum(r.tf for r in postings.collect()) == sum(len(t.split()) for t in state.values())
+
+
+def test_an_earlier_layout_is_refused(spark, tmp_path):
+    (tmp_path / "ix/lengths/segment=1").mkdir(parents=True)
+    with pytest.raises(ValueError, match="earlier layout"):
+        segments.SegmentedIndex(spark, str(tmp_path / "ix"))
+
+
 def test_stream_of_documents_that_come_again(spark, tmp_path, asked):
     given, state = tmp_path / "in", {}
     for n, rows in enumerate([DOCS[:8], [(1, "w5 w5"), (9, "w3")], [(2, "w0")]]):

@@ -6,7 +6,7 @@ them are dead. What is alive is merged when it is read; ``compact`` writes it as
 segment. A manifest for each generation names the segments that count, so a change is
 seen whole or not at all, and a change that is repeated under its name counts once.
 
-A chunk's postings stay together, in one row: only ``add`` shuffles texts, to find rows
+A chunk's postings stay together, in one row and one string: only ``add`` shuffles texts, to find rows
 that repeat an id; merging and searching leave them where they are, but for a merge of
 more superseded documents than are broadcast.
 
@@ -91,7 +91,7 @@ class SegmentedIndex:
         # texts go to their key's task as they are: one shuffle, and one sort for the aggregation
         rows = rows.repartition("doc_id", "id").groupBy("doc_id", "id").agg(F.max("text").alias("text"))
         tokens = rows.select("doc_id", "id", T.tokens("text", self.segment).alias("tokens"))
-        return self._change(name, "add", lambda n: self._write(n, tokens.select("doc_id", "id", F.size("tokens").alias("dl"), "tokens")))
+        return self._change(name, "add", lambda n: self._write(n, tokens.select("doc_id", "id", F.size("tokens").alias("dl"), lexical.joined("tokens").alias("tokens"))))
 
     def delete(self, ids: DataFrame, name: str | None = None, doc_id: str = "doc_id") -> int:
         """All chunks of these documents go, e.g. those of a source; ids that aren't known do nothing."""
@@ -137,7 +137,7 @@ class SegmentedIndex:
     def _alive(self, held: list[tuple[int, str, str]]) -> tuple[DataFrame, list[DataFrame]]:
         """doc_id, id, dl, tokens of the newest version of each document that no later tombstone names; and what it wrote for that."""
         added, deleted = [n for n, _, k in held if k == "add"], [n for n, _, k in held if k == "delete"]
-        rows = self._read("postings", added, f"doc_id {self.key_type}, id {self.id_type}, dl int, tokens array<string>")
+        rows = self._read("postings", added, f"doc_id {self.key_type}, id {self.id_type}, dl int, tokens string")
         written = []
         if len(added) > 1 or deleted:
             named = rows.select("doc_id", "segment").unionByName(self._read("tombstones", deleted, f"doc_id {self.key_type}"))
@@ -152,7 +152,7 @@ class SegmentedIndex:
     def alive(self) -> tuple[DataFrame, DataFrame]:
         """Postings (doc_id, id, term, tf) and lengths (doc_id, id, dl) of all documents that count now."""
         rows, _ = self._alive(self.manifest())
-        terms = rows.select("doc_id", "id", F.explode("tokens").alias("term"))
+        terms = rows.select("doc_id", "id", F.explode(lexical.parted("tokens")).alias("term"))
         return terms.groupBy("doc_id", "id", "term").agg(F.count("*").alias("tf")), rows.select("doc_id", "id", "dl")
 
     def _statistics(self) -> tuple[DataFrame, DataFrame, float]:
@@ -163,7 +163,7 @@ class SegmentedIndex:
                 discard(self._stats[2], *self._stats[4])
             rows, written = self._alive(self.manifest(g))
             average = rows.agg(F.sum("dl") / F.count("*")).first()[0] or 1.0
-            self._stats = (g, rows.select("id", "tokens"), materialize(lexical.term_stats(rows), "terms"), average, written)
+            self._stats = (g, rows.select("id", "tokens"), materialize(lexical.term_stats(rows.select("id", lexical.parted("tokens").alias("tokens"))), "terms"), average, written)
         return self._stats[1:4]
 
     def search(self, terms: DataFrame, k: int) -> DataFrame:

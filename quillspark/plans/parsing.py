@@ -201,8 +201,7 @@ def bm25_ideographs(spark: SparkSession, sf: str) -> DataFrame:
     """Search among runs of ideographs, which are segmented: every distinct name is a query."""
     names = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.translate(F.lower("p_name"), _LATIN, _HAN).alias("t"))
     asked = numbered(names.select("t").distinct(), "t", "query_id")
-    terms = lexical.query_terms(asked, "query_id", "t", T.bigrams)
-    return lexical.top_k(lexical.bm25_scores(lexical.tokenized(names, "id", "t", T.bigrams), terms), K)
+    return lexical.best_of_texts(names, asked, K, T.bigrams)
 
 
 _GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

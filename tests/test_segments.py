@@ -261,6 +261,17 @@ def test_equal_texts_are_scored_once(spark, monkeypatch):
     assert seen == [(3, 300)] and [r.id for r in found][:8] == [0, 3, 6, 9, 2, 5, 8, 11]
 
 
+def test_names_of_ideographs_are_scored_once(spark, sf, monkeypatch):
+    from quillspark.plans import registry
+
+    registry.load()
+    seen, best = [], lexical.best
+    monkeypatch.setattr(lexical, "best", lambda docs, *a, **b: seen.append(docs.agg(F.count("*"), F.sum("copies")).first()) or best(docs, *a, **b))
+    registry.QUERIES["bm25_ideographs"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    assert list(map(tuple, seen)) == [tuple(parts.agg(F.count_distinct("p_name"), F.count("*")).first())]
+
+
 def test_best_hands_on_few_rows():
     import numpy as np
     import pyarrow as pa
